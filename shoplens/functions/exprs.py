@@ -200,10 +200,24 @@ def _blank_to_null(c: Column) -> Column:
 
 
 def first_truthy(*cols: Column | str, default: Column | None = None) -> Column:
-    """First value that is not null, not '' and not numerically 0.
+    """X8 for text fields (ids, names, codes): first value not null and not ''.
 
-    The text "0.00" is *truthy* in the source system (a non-empty string), so
-    only an exact "0" / "0.0" integer-like zero falls through.
+    A text "0" is truthy in the source system, so ids like "0" are kept.
+    """
+    parts = []
+    for c in cols:
+        s = col(c).cast("string")
+        parts.append(F.when(s.isNotNull() & (s != ""), s))
+    if default is not None:
+        parts.append(default.cast("string"))
+    return F.coalesce(*parts)
+
+
+def first_truthy_num(*cols: Column | str, default: Column | None = None) -> Column:
+    """X8 for numeric fields: null, '' and a zero number fall through.
+
+    With STRING-typed JSON a number 0 arrives as "0" (or "0.0"), so those fall
+    through; the text "0.00" stays truthy, as in the source system.
     """
     parts = []
     for c in cols:
@@ -259,7 +273,7 @@ def bucket(c: Column | str, edges: Sequence[tuple[str, float | None, float | Non
 
 def is_html(c: Column | str) -> Column:
     """Payload text that starts like an HTML document."""
-    s = F.lower(F.trim(col(c)))
+    s = F.lower(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
     out = F.lit(False)
     for p in K.HTML_PREFIXES:
         out = out | s.startswith(p)

@@ -25,7 +25,8 @@ from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 from shoplens.operators.kpi import _scope
 
-ZERO = F.lit(0).cast("decimal(14,2)")
+def _zero():
+    return F.lit(0).cast("decimal(14,2)")
 
 
 def with_share(df: DataFrame, value: str, out: str, digits: int = 1) -> DataFrame:
@@ -104,7 +105,7 @@ def price_bands(orders: DataFrame, products: DataFrame, window: Window, shop_ids
         F.sum("units").alias("orders"), F.sum("gmv").alias("gmv"), F.count(F.lit(1)).alias("products"))
     full = F.broadcast(_band_frame(orders.sparkSession, K.PRICE_BANDS)).join(b, "band", "left").select(
         "band_idx", "band", F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
-        X.money_out(F.coalesce("gmv", ZERO)).alias("gmv"), F.coalesce("products", F.lit(0)).cast("bigint").alias("products"))
+        X.money_out(F.coalesce("gmv", _zero())).alias("gmv"), F.coalesce("products", F.lit(0)).cast("bigint").alias("products"))
     first_max = F.row_number().over(W.orderBy(F.col(metric).desc(), "band_idx"))
     return full.withColumn("is_main", (first_max == 1) & (F.col(metric) > 0))
 
@@ -165,13 +166,15 @@ def status_mix(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
                     _fixed_share("orders", 1).alias("pct"))
 
 
-ORDER_TYPE = F.when(F.col("is_sample_order"), "sample").when(F.col("is_cod"), "cod").otherwise("normal")
+def order_type() -> Column:
+    """sample > cod > normal."""
+    return F.when(F.col("is_sample_order"), "sample").when(F.col("is_cod"), "cod").otherwise("normal")
 
 
 def order_type_mix(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
     """A9 + T11: sample > cod > normal; orders, non-refunded gmv, label, share %."""
     o = _scope(orders, window, shop_ids)
-    g = o.groupBy(ORDER_TYPE.alias("type")).agg(F.count(F.lit(1)).alias("orders"), X.sum0(X.valid_gmv()).alias("g"))
+    g = o.groupBy(order_type().alias("type")).agg(F.count(F.lit(1)).alias("orders"), X.sum0(X.valid_gmv()).alias("g"))
     return g.select("type", X.label("type", K.ORDER_TYPE_LABELS).alias("label"),
                     F.col("orders").cast("bigint").alias("orders"), X.money_out("g").alias("gmv"),
                     _fixed_share("orders", 1).alias("pct"))

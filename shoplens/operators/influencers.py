@@ -15,7 +15,8 @@ from shoplens import constants as K
 from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 
-ZERO = F.lit(0).cast("decimal(14,2)")
+def _zero():
+    return F.lit(0).cast("decimal(14,2)")
 
 METRIC_COLS = ["creator_id", "name", "category", "gmv", "orders", "roi", "followers",
                "engagement_rate", "conversion_rate", "is_suspicious"]
@@ -85,7 +86,7 @@ def influencer_performance(orders: DataFrame, influencers: DataFrame, window: Wi
         F.round(F.coalesce("conversion_rate", F.lit(0.0)), 4).alias("conversion_rate"),
         F.round(F.coalesce("roi", F.lit(0.0)), 2).alias("roi"),
         F.coalesce("is_suspicious", F.lit(False)).alias("is_suspicious"),
-        X.money_out(F.coalesce("s", ZERO)).alias("total_sales"),
+        X.money_out(F.coalesce("s", _zero())).alias("total_sales"),
         F.coalesce("n_in", F.lit(0)).cast("bigint").alias("total_orders"))
 
 
@@ -172,7 +173,7 @@ def creator_rollup(orders: DataFrame, influencers: DataFrame) -> DataFrame:
     roll = (orders.where(F.col("creator_id").isNotNull()).groupBy("creator_id")
             .agg(X.sum0(X.valid_gmv()).alias("g"), F.count(F.lit(1)).alias("n")))
     j = influencers.select("creator_id", "name", "cost").join(roll, "creator_id", "left")
-    g = F.coalesce("g", ZERO)
+    g = F.coalesce("g", _zero())
     return j.select("creator_id", "name", X.money_out(g).alias("gmv"), F.coalesce("n", F.lit(0)).cast("bigint").alias("orders"),
                     X.money_out("cost").alias("cost"),
                     F.when(F.col("cost") > 0, F.round(g.cast("double") / F.col("cost").cast("double"), 2)).alias("roi"))

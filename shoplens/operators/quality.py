@@ -12,7 +12,8 @@ from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 from shoplens.operators.ranking import global_rank
 
-ZERO = F.lit(0).cast("decimal(14,2)")
+def _zero():
+    return F.lit(0).cast("decimal(14,2)")
 
 
 def row_counts(orders: DataFrame, products: DataFrame, influencers: DataFrame) -> DataFrame:

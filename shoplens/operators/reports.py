@@ -14,7 +14,8 @@ from shoplens import constants as K
 from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 
-ZERO = F.lit(0).cast("decimal(14,2)")
+def _zero():
+    return F.lit(0).cast("decimal(14,2)")
 
 
 def sales_totals(orders: DataFrame, window: Window, platform: str | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def daily_sales(orders: DataFrame, window: Window) -> DataFrame:
     o = orders.where(window.contains("paid_at"))
     g = o.groupBy(F.to_date("paid_at").alias("d")).agg(
         F.sum("gmv").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("u"))
-    return g.select(X.day_str("d").alias("date"), X.money_out(F.coalesce("g", ZERO)).alias("daily_gmv"),
+    return g.select(X.day_str("d").alias("date"), X.money_out(F.coalesce("g", _zero())).alias("daily_gmv"),
                     F.col("n").cast("bigint").alias("daily_orders"), F.coalesce("u", F.lit(0)).cast("bigint").alias("daily_units"))
 
 

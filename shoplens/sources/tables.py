@@ -63,13 +63,13 @@ def _map_expr(d: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_lines(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
     """``lineitem`` deduplicated on (l_orderkey, l_linenumber), latest l_shipdate wins.
 
     Tie-break l_partkey, l_suppkey, l_extendedprice (all descending); unique at
     every scale of the driver data.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem") if li is None else li
     win = F.max(F.struct(
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_discount", "l_quantity", "l_returnflag", "l_linestatus",
@@ -78,15 +78,14 @@ def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("l_orderkey", "l_linenumber", "w.*"))
 
 
-def _raw_lines(spark: SparkSession, sf_dir: str, dedup: bool) -> DataFrame:
-    if dedup:
-        return latest_lines(spark, sf_dir)
-    return table(spark, sf_dir, "lineitem")
+def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: DataFrame | None = None) -> DataFrame:
+    """The standard order fact table (§1.3 of the survey), one row per line.
 
-
-def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True) -> DataFrame:
-    """The standard order fact table (§1.3 of the survey), one row per line."""
-    li = _raw_lines(spark, sf_dir, dedup)
+    ``lines`` replaces the full ``lineitem`` table (e.g. one feed delivery);
+    ``dedup=False`` keeps repeated deliveries of a line (a raw feed batch).
+    """
+    src = table(spark, sf_dir, "lineitem") if lines is None else lines
+    li = latest_lines(spark, sf_dir, src) if dedup else src
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation"))
