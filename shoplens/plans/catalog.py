@@ -42,4 +42,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from shoplens.plans import queries_core, queries_feeds, queries_reports, queries_upload  # noqa: F401
+    from shoplens.plans import queries_core, queries_feeds, queries_reports, queries_streams, queries_upload  # noqa: F401
