@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from shoplens.operators import breakdowns, kpi
 from shoplens.plans.catalog import W30, W365, register, ts
 from shoplens.plans.oracle import with_std
@@ -51,7 +53,7 @@ FROM v
 @register("kpi_overview", KPI_SQL)
 def kpi_overview(m):
     """A1+A2: 30-day KPIs with previous-period deltas (one scan)."""
-    return kpi.kpi_overview(m.orders, W30)
+    return kpi.kpi_overview(m.orders_in(W30, previous=True), W30)
 
 
 # ---------------------------------------------------------------- trends
@@ -70,7 +72,7 @@ FROM cal LEFT JOIN daily USING (day)
 @register("gmv_trend", TREND_SQL)
 def gmv_trend(m):
     """A4 + J8: 30 days of non-refunded daily gmv, missing days as 0."""
-    return kpi.gmv_trend(m.orders, W30)
+    return kpi.gmv_trend(m.orders_in(W30), W30)
 
 
 RANGE_SQL = with_std("""
@@ -113,7 +115,7 @@ FROM t
 @register("top_products", TOP_SQL)
 def top_products(m):
     """A5 + J1 + W1 + T13: top-10 product names over 365 days."""
-    return breakdowns.top_products(m.orders, m.products, W365, 10)
+    return breakdowns.top_products(m.orders_in(W365), m.products, W365, 10)
 
 
 SELL_SQL = with_std(PRODUCT_STATS_CTE + f"""
@@ -127,7 +129,7 @@ FROM stats
 @register("sell_through", SELL_SQL)
 def sell_through(m):
     """T5: product overview (listed, sold, sell-through %, hot)."""
-    return breakdowns.sell_through(m.orders, m.products, W365)
+    return breakdowns.sell_through(m.orders_in(W365), m.products, W365)
 
 
 BANDS_SQL = with_std(PRODUCT_STATS_CTE + """
@@ -150,7 +152,7 @@ SELECT *, (row_number() OVER (ORDER BY gmv DESC, band_idx) = 1 AND gmv > 0) AS i
 @register("price_bands", BANDS_SQL)
 def price_bands(m):
     """T6 + P14: price-band aggregation with main band."""
-    return breakdowns.price_bands(m.orders, m.products, W365)
+    return breakdowns.price_bands(m.orders_in(W365), m.products, W365)
 
 
 DIST_SQL = with_std("""
@@ -183,7 +185,7 @@ FROM g
 @register("category_share", CAT_SQL)
 def category_share(m):
     """Gmv share per category."""
-    return breakdowns.category_share(m.orders, m.products, W365)
+    return breakdowns.category_share(m.orders_in(W365), m.products, W365)
 
 
 @register("category_list", with_std("SELECT DISTINCT category FROM std_products WHERE category IS NOT NULL", products=True))
@@ -219,7 +221,7 @@ GROUP BY province ORDER BY sum(CASE WHEN status <> 'refunded' THEN gmv ELSE 0 EN
 @register("geo_top", GEO_SQL)
 def geo_top(m):
     """Top-20 provinces by gmv."""
-    return breakdowns.geo_top(m.orders, W365, 20)
+    return breakdowns.geo_top(m.orders_in(W365), W365, 20)
 
 
 STATUS_SQL = with_std(f"""
@@ -236,7 +238,7 @@ FROM std_orders WHERE {_in365()} GROUP BY status
 @register("status_mix", STATUS_SQL)
 def status_mix(m):
     """Status distribution with labels and % of orders."""
-    return breakdowns.status_mix(m.orders, W365)
+    return breakdowns.status_mix(m.orders_in(W365), W365)
 
 
 TYPES_SQL = with_std(f"""
@@ -252,7 +254,7 @@ FROM (SELECT *, CASE WHEN is_sample_order THEN 'sample' WHEN is_cod THEN 'cod' E
 @register("order_type_mix", TYPES_SQL)
 def order_type_mix(m):
     """A9 + T11: sample / cod / normal mix."""
-    return breakdowns.order_type_mix(m.orders, W365)
+    return breakdowns.order_type_mix(m.orders_in(W365), W365)
 
 
 SHIP_SQL = with_std(f"""
@@ -265,7 +267,7 @@ SELECT name, orders, round(CAST(orders * 100.0 AS DOUBLE) / CAST(sum(orders) OVE
 @register("shipping_providers", SHIP_SQL)
 def shipping_providers(m):
     """A10 + T11: orders per shipping provider with share."""
-    return breakdowns.shipping_providers(m.orders, W365)
+    return breakdowns.shipping_providers(m.orders_in(W365), W365)
 
 
 DELIV_SQL = with_std(f"""
@@ -278,7 +280,7 @@ FROM std_orders WHERE {_in365()} AND rts_time IS NOT NULL AND delivery_time IS N
 @register("delivery_hours", DELIV_SQL)
 def delivery_hours(m):
     """Mean delivery hours."""
-    return breakdowns.delivery_hours(m.orders, W365)
+    return breakdowns.delivery_hours(m.orders_in(W365), W365)
 
 
 SITE_SQL = with_std(f"""
@@ -292,7 +294,7 @@ FROM std_orders WHERE {_in365()} GROUP BY site_code, currency
 @register("site_breakdown", SITE_SQL)
 def site_breakdown(m):
     """A19 + T14: site x currency breakdown."""
-    return breakdowns.site_breakdown(m.orders, W365)
+    return breakdowns.site_breakdown(m.orders_in(W365), W365)
 
 
 SCATTER_SQL = with_std("""

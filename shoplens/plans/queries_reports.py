@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from shoplens.operators import influencers as inf
@@ -26,7 +28,7 @@ FROM std_orders WHERE {IN365}
 """))
 def sales_totals(m):
     """Period totals, refunds included."""
-    return reports.sales_totals(m.orders, W365)
+    return reports.sales_totals(m.orders_in(W365), W365)
 
 
 @register("sales_totals_tiktok", with_std(f"""
@@ -36,7 +38,7 @@ FROM std_orders WHERE {IN365} AND platform = 'tiktok'
 """))
 def sales_totals_tiktok(m):
     """A12 + F6: period totals for one platform."""
-    return reports.sales_totals(m.orders, W365, platform="tiktok")
+    return reports.sales_totals(m.orders_in(W365), W365, platform="tiktok")
 
 
 @register("tool_top_products", with_std(f"""
@@ -45,7 +47,7 @@ FROM std_orders WHERE {IN365} GROUP BY product_name ORDER BY sum(gmv) DESC, prod
 """))
 def tool_top_products(m):
     """Tool top-10 products with order counts."""
-    return reports.tool_top_products(m.orders, W365)
+    return reports.tool_top_products(m.orders_in(W365), W365)
 
 
 @register("influencer_metrics", with_std(f"""
@@ -88,7 +90,7 @@ FROM g ORDER BY s DESC, creator_id, product_id LIMIT 20
 """, products=True, influencers=True))
 def influencer_product(m):
     """A15 + J2: influencer x product top 20."""
-    return inf.influencer_product(m.orders, m.influencers, m.products, W365)
+    return inf.influencer_product(m.orders_in(W365), m.influencers, m.products, W365)
 
 
 @register("daily_sales", with_std(f"""
@@ -98,7 +100,7 @@ FROM std_orders WHERE {IN30} GROUP BY CAST(paid_at AS DATE)
 """))
 def daily_sales(m):
     """Undensified daily sales."""
-    return reports.daily_sales(m.orders, W30)
+    return reports.daily_sales(m.orders_in(W30), W30)
 
 
 RANKING_CTE = f"""
@@ -120,7 +122,7 @@ SELECT * EXCLUDE (s_) FROM rank_
 """, products=True))
 def product_ranking(m):
     """A17 + J3: product sales ranking (top 10)."""
-    return reports.product_ranking(m.orders, m.products, W365, 10)
+    return reports.product_ranking(m.orders_in(W365), m.products, W365, 10)
 
 
 @register("red_black_products", with_std(RANKING_CTE + """
@@ -131,7 +133,7 @@ UNION ALL SELECT *, 'black' AS list FROM r WHERE rev <= 3
 """, products=True))
 def red_black_products(m):
     """A23 + L8: product red list (first 5) and black list (last 3)."""
-    return reports.red_black_products(reports.product_ranking(m.orders, m.products, W365, 10))
+    return reports.red_black_products(reports.product_ranking(m.orders_in(W365), m.products, W365, 10))
 
 
 PERF_CTE = f"""
@@ -191,7 +193,7 @@ FROM s
 """))
 def trend_class(m):
     """Trend class of the daily gmv series."""
-    return reports.trend_class(reports.daily_sales(m.orders, W30))
+    return reports.trend_class(reports.daily_sales(m.orders_in(W30), W30))
 
 
 @register("fallback_report")
@@ -353,7 +355,7 @@ SELECT metric, round(u, 2) AS utc, round(l, 2) AS local, round(l - u, 2) AS diff
 @register("window_timezone_diff", _tz_sql())
 def window_timezone_diff(m):
     """A25 + J9: UTC vs UTC+8 window reconciliation in one pass."""
-    return quality.window_timezone_diff(m.orders, W30)
+    return quality.window_timezone_diff(m.orders_between(W30.start - dt.timedelta(hours=8), W30.end), W30)
 
 
 @register("id_compliance", with_std("""
@@ -406,7 +408,7 @@ FROM d GROUP BY 1
 """))
 def iso_week_gmv(m):
     """ISO-week roll-up of the densified daily series."""
-    return kpi.iso_week_gmv(m.orders, W365)
+    return kpi.iso_week_gmv(m.orders_in(W365), W365)
 
 
 @register("hourly_events", """
@@ -436,7 +438,7 @@ FROM g2
 """))
 def weekday_gmv(m):
     """Weekday distribution over the densified series."""
-    return kpi.weekday_gmv(m.orders, W365)
+    return kpi.weekday_gmv(m.orders_in(W365), W365)
 
 
 @register("sparkline", with_std(f"""
@@ -448,4 +450,4 @@ FROM cal LEFT JOIN daily USING (day) ORDER BY cal.day DESC LIMIT 14
 """))
 def sparkline(m):
     """T4: last 14 points of the daily series."""
-    return kpi.sparkline(m.orders, W30, 14)
+    return kpi.sparkline(m.orders_in(W30), W30, 14)

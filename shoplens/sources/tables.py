@@ -78,15 +78,28 @@ def latest_lines(spark: SparkSession, sf_dir: str, li: DataFrame | None = None)
               .select("l_orderkey", "l_linenumber", "w.*"))
 
 
-def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: DataFrame | None = None) -> DataFrame:
+def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: DataFrame | None = None,
+               paid_between: tuple | None = None) -> DataFrame:
     """The standard order fact table (§1.3 of the survey), one row per line.
 
     ``lines`` replaces the full ``lineitem`` table (e.g. one feed delivery);
     ``dedup=False`` keeps repeated deliveries of a line (a raw feed batch).
+    ``paid_between=(lo, hi)`` restricts to orders paid in ``[lo, hi)`` and
+    applies that restriction *before* the dedup: every copy of a line shares
+    its order, so a left-semi join of the lines against the window's order
+    keys (broadcast when the window is small, else a shuffle join) drops the
+    out-of-window lines before they are aggregated.  Catalyst cannot push the
+    date filter through the dedup aggregate by itself.
     """
     src = table(spark, sf_dir, "lineitem") if lines is None else lines
-    li = latest_lines(spark, sf_dir, src) if dedup else src
     o = table(spark, sf_dir, "orders")
+    if paid_between is not None:
+        lo, hi = paid_between
+        in_window = (F.col("o_orderdate") >= F.lit(lo)) & (F.col("o_orderdate") < F.lit(hi))
+        o = o.where(in_window)
+        keys = table(spark, sf_dir, "orders").where(in_window).select(F.col("o_orderkey").alias("_wkey"))
+        src = src.join(keys, F.col("l_orderkey") == F.col("_wkey"), "left_semi")
+    li = latest_lines(spark, sf_dir, src) if dedup else src
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation"))
     r = F.broadcast(table(spark, sf_dir, "region"))
@@ -213,6 +226,15 @@ class Model:
             self._orders = std_orders(self.spark, self.sf_dir)
         return self._orders
 
+    def orders_in(self, window, previous: bool = False) -> DataFrame:
+        """Standard orders restricted to a window (and its previous period)
+        before the dedup -- see ``std_orders(paid_between=...)``."""
+        lo = window.prev_start if previous else window.start
+        return std_orders(self.spark, self.sf_dir, paid_between=(lo, window.end))
+
+    def orders_between(self, lo, hi) -> DataFrame:
+        return std_orders(self.spark, self.sf_dir, paid_between=(lo, hi))
+
     @property
     def products(self) -> DataFrame:
         if self._products is None:
