@@ -274,7 +274,8 @@ def strip_code_fence_json(text: Column, schema) -> Column:
     """Decode JSON text, retrying once with Markdown code fences removed."""
     direct = F.from_json(text, schema)
     fenced = F.from_json(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(json)?\s*", ""), r"\s*```$", ""), schema)
-    return F.coalesce(direct, fenced)
+    # a malformed document parses to a struct of nulls, not null: pick by the fence marker
+    return F.when(F.trim(text).startswith("```"), fenced).otherwise(direct)
 
 
 def to_orm_order(dto: DataFrame, columns: list[str]) -> DataFrame:
