@@ -218,3 +218,17 @@ def influencer_scatter(influencers: DataFrame) -> DataFrame:
         F.coalesce("is_suspicious", F.lit(False)).alias("is_suspicious"))
     tot = influencers.agg(F.count_if(F.coalesce("is_suspicious", F.lit(False))).alias("suspicious_count")).withColumn("_k", F.lit(1))
     return pts.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").drop("_k")
+
+
+def filter_products(stats: DataFrame, category: str | None = None, min_price: float | None = None,
+                    max_price: float | None = None, price_col: str = "unit_price") -> DataFrame:
+    """category equality (null category reads as uncategorised) and a
+    ``[min_price, max_price)`` price band on the product frame."""
+    out = stats
+    if category is not None:
+        out = out.where(F.coalesce(F.col("category"), F.lit(K.UNCATEGORISED)) == category)
+    if min_price is not None:
+        out = out.where(F.col(price_col) >= min_price)
+    if max_price is not None:
+        out = out.where(F.col(price_col) < max_price)
+    return out

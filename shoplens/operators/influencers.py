@@ -220,3 +220,10 @@ def sort_nulls_last(df: DataFrame, column: str, descending: bool = True) -> Data
     """L4: user-chosen sort column and direction, nulls always last."""
     c = F.col(column)
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
+
+
+def top_by_roi(influencers: DataFrame, n: int = 3) -> DataFrame:
+    """Top ``n`` influencers by roi (null reads as 0), ties by id."""
+    r = F.coalesce(F.col("roi"), F.lit(0.0))
+    return influencers.orderBy(r.desc(), "creator_id").limit(n).select(
+        "creator_id", "name", F.round(r, 2).alias("roi"), X.money_out("gmv").alias("gmv"))

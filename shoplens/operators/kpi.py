@@ -183,3 +183,33 @@ def sparkline(orders: DataFrame, window: Window, n: int = 14, shop_ids=None) ->
     d = daily_series(orders, window, shop_ids)
     last = d.orderBy(F.col("day").desc()).limit(n)
     return last.select(X.day_str("day").alias("date"), X.money_out("gmv").alias("gmv"))
+
+
+def period_series(orders: DataFrame, as_of, days: int, periods: int, shop_ids=None) -> DataFrame:
+    """``periods`` consecutive ``days``-long windows ending with the as-of
+    day (index 0 = current), each with gmv / orders / refunds and the change
+    against the window before it (``lag`` over at most ``periods`` rows)."""
+    from pyspark.sql import Window as W
+
+    from shoplens.functions.periods import rolling
+    cur = rolling(as_of, days)
+    lo = cur.end - dt.timedelta(days=days * periods)
+    o = orders.where((F.col("paid_at") >= F.lit(lo)) & (F.col("paid_at") < F.lit(cur.end)))
+    if shop_ids:
+        o = o.where(X.shop_filter(shop_ids))
+    idx = F.floor((F.lit(cur.end).cast("double") - F.col("paid_at").cast("double")) / (days * 86400)).cast("int")
+    g = o.groupBy(idx.alias("period")).agg(
+        X.sum0(X.valid_gmv()).alias("g"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("status") == "refunded").alias("r"))
+    spark = orders.sparkSession
+    all_p = spark.range(periods).select(F.col("id").cast("int").alias("period"))
+    full = F.broadcast(all_p).join(g, "period", "left").select(
+        "period", F.coalesce("g", F.lit(0).cast("decimal(14,2)")).alias("g"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("orders"), F.coalesce("r", F.lit(0)).cast("bigint").alias("refunds"))
+    w = W.orderBy(F.col("period").desc())  # bounded: one row per period
+    start = F.lit(cur.end) - F.make_dt_interval(F.lit(days) * (F.col("period") + 1))
+    gmv = F.col("g").cast("double")
+    prev = F.lag(gmv).over(w)
+    return full.select(
+        "period", X.day_str(start).alias("period_start"), X.money_out("g").alias("gmv"), "orders", "refunds",
+        delta_pct(gmv, prev).alias("gmv_delta_pct"))

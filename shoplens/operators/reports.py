@@ -205,3 +205,20 @@ def write_back_payload(analysis: DataFrame, field_map: dict[str, str]) -> DataFr
     for src in field_map:
         any_set = any_set | F.col(src).isNotNull()
     return analysis.where(any_set).select("record_id", F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def llm_payload(summary: DataFrame, name: str = "payload") -> DataFrame:
+    """V4: the summary row(s) as one JSON text column -- what is handed to a
+    language model; the model call itself is not part of this library."""
+    return summary.select(F.to_json(F.struct(*summary.columns)).alias(name))
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """point lookup by key (pushed down to the scan as an equality)."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def report_with_dataset(reports_df: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Each report with the summary of the dataset it analyses."""
+    d = datasets.select("dataset_id", F.col("filename"), F.col("summary").alias("dataset_summary"))
+    return reports_df.join(d, "dataset_id", "left")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from shoplens.functions import exprs as X
 from shoplens.operators import influencers as inf
 from shoplens.operators import kpi, quality, reports
 from shoplens.plans.catalog import W30, W365, register, ts
@@ -451,3 +452,62 @@ FROM cal LEFT JOIN daily USING (day) ORDER BY cal.day DESC LIMIT 14
 def sparkline(m):
     """T4: last 14 points of the daily series."""
     return kpi.sparkline(m.orders_in(W30), W30, 14)
+
+
+# ---------------------------------------------------------------- multi-period series / roi top
+@register("kpi_periods", with_std(f"""
+, p AS (
+  SELECT CAST(floor((epoch(TIMESTAMP '{W30.end.strftime('%Y-%m-%d %H:%M:%S')}') - epoch(paid_at)) / (30 * 86400)) AS INTEGER) AS period,
+         sum(CASE WHEN status <> 'refunded' THEN gmv ELSE 0 END) AS g, count(*) AS n,
+         count(*) FILTER (WHERE status = 'refunded') AS r
+  FROM std_orders
+  WHERE paid_at >= TIMESTAMP '{W30.end.strftime('%Y-%m-%d %H:%M:%S')}' - INTERVAL 180 DAY
+    AND paid_at < TIMESTAMP '{W30.end.strftime('%Y-%m-%d %H:%M:%S')}'
+  GROUP BY 1
+), f AS (
+  SELECT a.period, coalesce(p.g, 0) AS g, CAST(coalesce(p.n, 0) AS BIGINT) AS orders, CAST(coalesce(p.r, 0) AS BIGINT) AS refunds
+  FROM (SELECT CAST(range AS INTEGER) AS period FROM range(6)) a LEFT JOIN p USING (period)
+)
+SELECT period, strftime(TIMESTAMP '{W30.end.strftime('%Y-%m-%d %H:%M:%S')}' - to_days(30 * (period + 1)), '%Y-%m-%d') AS period_start,
+       CAST(round(g, 2) AS DOUBLE) AS gmv, orders, refunds,
+       CASE WHEN lag(CAST(g AS DOUBLE)) OVER w <> 0
+            THEN round((CAST(g AS DOUBLE) - lag(CAST(g AS DOUBLE)) OVER w) / lag(CAST(g AS DOUBLE)) OVER w * 100, 1) END AS gmv_delta_pct
+FROM f WINDOW w AS (ORDER BY period DESC)
+"""))
+def kpi_periods(m):
+    """W7 + J10: six consecutive 30-day periods with period-over-period change."""
+    lo = W30.end - dt.timedelta(days=180)
+    return kpi.period_series(m.orders_between(lo, W30.end), "1998-06-30", 30, 6)
+
+
+@register("top_roi", with_std("""
+SELECT creator_id, name, round(coalesce(roi, 0), 2) AS roi, CAST(round(gmv, 2) AS DOUBLE) AS gmv
+FROM std_influencers ORDER BY coalesce(roi, 0) DESC, creator_id LIMIT 3
+""", influencers=True))
+def top_roi(m):
+    """Top 3 influencers by roi (null as 0)."""
+    return inf.top_by_roi(m.influencers, 3)
+
+
+@register("product_filter", with_std(f"""
+, pre AS (
+  SELECT product_name, product_id, platform,
+         sum(CASE WHEN status <> 'refunded' THEN gmv ELSE 0 END) AS gmv,
+         sum(CASE WHEN status <> 'refunded' THEN quantity ELSE 0 END) AS units
+  FROM std_orders WHERE {IN365} GROUP BY 1, 2, 3
+), stats AS (
+  SELECT product_name AS product, sum(gmv) AS gmv, CAST(sum(units) AS BIGINT) AS units, max(category) AS category, max(price) AS price
+  FROM pre LEFT JOIN std_products USING (product_id, platform) GROUP BY product_name
+)
+SELECT product, CAST(round(gmv, 2) AS DOUBLE) AS gmv, units
+FROM stats
+WHERE coalesce(category, '未分类') = 'STANDARD'
+  AND coalesce(CAST(price AS DOUBLE), CAST(gmv AS DOUBLE) / nullif(CAST(units AS DOUBLE), 0), 0) >= 990
+  AND coalesce(CAST(price AS DOUBLE), CAST(gmv AS DOUBLE) / nullif(CAST(units AS DOUBLE), 0), 0) < 1000
+""", products=True))
+def product_filter(m):
+    """F13 + P14: products of one category inside a [990, 1000) price band."""
+    from shoplens.operators import breakdowns
+    s = breakdowns.priced_products(breakdowns.product_stats(m.orders_in(W365), m.products, W365))
+    f = breakdowns.filter_products(s, "STANDARD", 990, 1000)
+    return f.select("product", X.money_out("gmv").alias("gmv"), "units")

@@ -102,6 +102,10 @@ def _excel_to_pandas(it):
 
 def read_excel_strings(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of one .xlsx/.xls as a STRING DataFrame (needs openpyxl/xlrd)."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise ValueError("Excel uploads need the openpyxl package, which is not installed") from e
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     cells = raw.mapInPandas(_excel_to_pandas, "path string, cells array<string>")
     first = cells.first()
