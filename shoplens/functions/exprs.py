@@ -93,6 +93,19 @@ def suspicious(flag: str = "is_suspicious", eng: str = "engagement_rate", conv:
     return F.coalesce(F.col(flag), F.lit(False)) | F.coalesce(rule, F.lit(False))
 
 
+def attach(base, one_row):
+    """Add the columns of a one-row frame to every row of ``base`` through a
+    scalar subquery: the row is computed once and read as a value -- no join."""
+    r = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
+    return base.select("*", r.alias("_one")).select(
+        *[F.col(f"`{c}`") for c in base.columns], *[F.col("_one")[c].alias(c) for c in one_row.columns])
+
+
+def exists(df) -> Column:
+    """Scalar: does ``df`` hold at least one row (reads at most one row per task)."""
+    return df.limit(1).select(F.count(F.lit(1)) > 0).scalar()
+
+
 def all_of(conds: Iterable[Column | None]) -> Column | None:
     out = None
     for c in conds:

@@ -7,9 +7,9 @@ Scale notes
   joined attributes are per-product, so the result equals joining raw lines
   while the join input shrinks from order lines to distinct products.
 * Share-of-total on outputs whose group count grows with the data (providers,
-  categories) joins the aggregate to its one-row total on a constant key; a
-  global ``over ()`` window is used only where the group count is fixed
-  (statuses, order types, bands).
+  categories) reads the total as a scalar subquery; a global ``over ()``
+  window is used only where the group count is fixed (statuses, order types,
+  bands).
 * Top-k is ``orderBy(...).limit(k)`` -> ``TakeOrderedAndProject``: each task
   keeps k rows, so no task sees more than k rows per input partition.
 """
@@ -30,12 +30,10 @@ def _zero():
 
 
 def with_share(df: DataFrame, value: str, out: str, digits: int = 1) -> DataFrame:
-    """Add ``out = value / sum(value) * 100`` via a one-row total (equi-join on
-    a constant key, so the total is broadcast; any group count is fine)."""
-    tot = df.agg(F.sum(value).alias("_tot")).withColumn("_k", F.lit(1))
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k")
-              .withColumn(out, F.round(X.ratio(F.col(value) * 100.0, "_tot"), digits))
-              .drop("_k", "_tot"))
+    """Add ``out = value / sum(value) * 100``; the total is a scalar subquery
+    (computed once, read as a value), so any group count is fine."""
+    tot = df.agg(F.sum(value)).scalar()
+    return df.withColumn(out, F.round(X.ratio(F.col(value) * 100.0, tot), digits))
 
 
 def _fixed_share(value: str, digits: int = 1) -> Column:
@@ -142,10 +140,9 @@ def shop_list(orders: DataFrame) -> DataFrame:
                      F.coalesce("shop_id", F.lit(K.DEFAULT_SHOP_NAME)).alias("name"),
                      F.col("order_count").cast("bigint").alias("order_count"), X.money_out("g").alias("gmv"))
     spark = orders.sparkSession
-    default = spark.createDataFrame([("", K.DEFAULT_SHOP_NAME, 0, 0.0, 1)],
-                                    "shop_id string, name string, order_count bigint, gmv double, _k int")
-    any_order = orders.select(F.lit(1).alias("_k")).limit(1)  # existence probe, at most one row
-    fallback = default.join(any_order, "_k", "left_anti").drop("_k")
+    default = spark.createDataFrame([("", K.DEFAULT_SHOP_NAME, 0, 0.0)],
+                                    "shop_id string, name string, order_count bigint, gmv double")
+    fallback = default.where(~X.exists(g))
     return shops.unionByName(fallback)
 
 
@@ -210,14 +207,14 @@ def site_breakdown(orders: DataFrame, window: Window) -> DataFrame:
 # ---------------------------------------------------------------- influencer scatter
 def influencer_scatter(influencers: DataFrame) -> DataFrame:
     """P10: scatter points (gmv r2, roi r2, followers) with the suspicious total
-    on every row (an aggregate joined back on a constant key)."""
+    on every row (a scalar subquery)."""
     pts = influencers.select(
         "creator_id", "name", "category", "engagement_rate", "conversion_rate",
         X.money_out("gmv").alias("gmv"), F.round("roi", 2).alias("roi"),
         F.coalesce("followers", F.lit(0)).cast("bigint").alias("followers"),
         F.coalesce("is_suspicious", F.lit(False)).alias("is_suspicious"))
-    tot = influencers.agg(F.count_if(F.coalesce("is_suspicious", F.lit(False))).alias("suspicious_count")).withColumn("_k", F.lit(1))
-    return pts.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").drop("_k")
+    tot = influencers.agg(F.count_if(F.coalesce("is_suspicious", F.lit(False))).alias("suspicious_count"))
+    return X.attach(pts, tot)
 
 
 def filter_products(stats: DataFrame, category: str | None = None, min_price: float | None = None,

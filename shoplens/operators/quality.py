@@ -71,8 +71,8 @@ def update_month_hist(orders: DataFrame, ts: str = "update_time") -> DataFrame:
     """Rows per month of ``ts`` and the overall latest value on every row."""
     g = orders.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.max(ts).alias("m"))
-    mx = g.agg(F.max("m").alias("latest")).withColumn("_k", F.lit(1))
-    return (g.withColumn("_k", F.lit(1)).join(F.broadcast(mx), "_k")
+    mx = g.agg(F.max("m")).scalar()
+    return (g.withColumn("latest", mx)
              .select("month", F.col("rows").cast("bigint").alias("rows"),
                      F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest")))
 
@@ -82,8 +82,8 @@ def head_concentration(orders: DataFrame, share: float = 0.2, key: str = "produc
     (at least one), ranked by gmv desc then key -- a distributed global rank."""
     per = orders.groupBy(key).agg(X.sum0(X.valid_gmv()).alias("g"))
     ranked = global_rank(per, [F.col("g").desc(), F.col(key)], "rk")
-    n = per.agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("tot")).withColumn("_k", F.lit(1))
-    j = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
+    n = per.agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("tot"))
+    j = X.attach(ranked, n)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
     head = j.where(F.col("rk") <= k).agg(F.sum("g").alias("head"), F.first("n").alias("n"), F.first("tot").alias("tot"),
                                         F.count(F.lit(1)).alias("k"))

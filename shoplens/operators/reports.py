@@ -97,7 +97,7 @@ def _collect(df: DataFrame, cols: list[str], order: Column | None = None, name:
     arr = F.collect_list(s)
     if order is not None:
         arr = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("_o"), s.alias("_v")))), lambda x: x["_v"])
-    return df.agg(arr.alias(name)).withColumn("_k", F.lit(1))
+    return df.agg(arr.alias(name))
 
 
 def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFrame, window: Window,
@@ -107,13 +107,13 @@ def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFra
     from shoplens.operators import breakdowns, influencers as inf
 
     o = orders if site_code is None else orders.where(F.col("site_code") == site_code)
-    summ = sales_totals(o, window).withColumn("_k", F.lit(1))
+    summ = sales_totals(o, window)
     rank = product_ranking(o, products, window, 10)
     perf = inf.influencer_performance(o, influencers, window, 10)
     reds = inf.red_list(perf, 5)
     blacks = inf.suspicious_top(influencers, 5)
     sites = breakdowns.site_breakdown(o, window)
-    trend = trend_class(daily_sales(o, window)).withColumn("_k", F.lit(1))
+    trend = trend_class(daily_sales(o, window))
     rb = red_black_products(rank)
 
     red_p = _collect(rb.where(F.col("list") == "red"), ["product_id", "product_name", "total_sales"], F.col("pos"), "product_red_list")
@@ -126,8 +126,9 @@ def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFra
     site_l = _collect(sites, ["site_code", "currency", "total_gmv", "total_orders", "avg_order_value"],
                       F.struct(-F.col("total_gmv"), F.col("site_code"), F.col("currency")), "site_breakdown")
 
-    row = (summ.join(trend, "_k").join(red_p, "_k").join(black_p, "_k").join(red_i, "_k")
-               .join(black_i, "_k").join(site_l, "_k"))
+    row = summ
+    for part in (trend, red_p, black_p, red_i, black_i, site_l):
+        row = X.attach(row, part)
     trend_text = (F.when(F.col("trend") == "volatile",
                          F.format_string("销售波动明显，峰值日GMV(%.2f)较均值(%.2f)高出约20%%以上。", F.col("max_gmv"), F.col("avg_gmv")))
                    .when(F.col("trend") == "dip",
@@ -155,15 +156,15 @@ def daily_digest(orders: DataFrame, influencers: DataFrame, window: Window, date
                  report_md: str = "", max_chars: int = 6000, **rule) -> DataFrame:
     """Digest card row -- totals, top 3 products, suspicious warnings;
     header colour red iff any influencer matches F9; summary cut at ``max_chars``."""
-    tot = sales_totals(orders, window).withColumn("_k", F.lit(1))
+    tot = sales_totals(orders, window)
     top3 = _collect(tool_top_products(orders, window, limit=3), ["product", "gmv", "orders"],
                     F.struct(-F.col("gmv"), F.col("product")), "top_products")
     sus = influencers.where(X.suspicious(**rule))
-    sus_n = sus.agg(F.count(F.lit(1)).alias("suspicious_count")).withColumn("_k", F.lit(1))
+    sus_n = sus.agg(F.count(F.lit(1)).alias("suspicious_count"))
     sus_l = _collect(sus.orderBy(F.col("engagement_rate").desc(), "creator_id").limit(10),
                      ["creator_id", "name", "engagement_rate", "conversion_rate"],
                      F.struct(-F.col("engagement_rate"), F.col("creator_id")), "warnings")
-    row = tot.join(top3, "_k").join(sus_n, "_k").join(sus_l, "_k")
+    row = X.attach(X.attach(X.attach(tot, top3), sus_n), sus_l)
     lines = F.concat_ws("\n",
                         F.format_string("GMV: ¥%s", F.format_number("gmv", 2)),
                         F.format_string("订单数: %d", F.col("orders")),
@@ -183,10 +184,10 @@ def period_label(start: str, end: str) -> str:
 def period_report(summary: DataFrame, platforms: DataFrame, buckets: DataFrame, start: str, end: str) -> DataFrame:
     """Markdown period report over the card summary (A29), platform mix
     (A30) and roi buckets (A31).  All three inputs are small bounded frames."""
-    pl = platforms.agg(F.array_join(F.collect_list(F.format_string("- %s: %d", "platform", "count")), "\n").alias("pl")).withColumn("_k", F.lit(1))
+    pl = platforms.agg(F.array_join(F.collect_list(F.format_string("- %s: %d", "platform", "count")), "\n").alias("pl"))
     bk = buckets.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "range", "count"))),
-                                              lambda x: F.format_string("- ROI %s: %d", x["range"], x["count"])), "\n").alias("bk")).withColumn("_k", F.lit(1))
-    row = summary.withColumn("_k", F.lit(1)).join(pl, "_k").join(bk, "_k")
+                                              lambda x: F.format_string("- ROI %s: %d", x["range"], x["count"])), "\n").alias("bk"))
+    row = X.attach(X.attach(summary, pl), bk)
     md = F.concat_ws("\n",
                      F.lit(f"# 达人周期报告 {period_label(start, end)}"),
                      F.format_string("达人总数: %d", F.col("total")),

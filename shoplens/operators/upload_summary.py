@@ -158,22 +158,19 @@ def creator_top(df: DataFrame, n: int = 10) -> DataFrame:
 def build_summary(df: DataFrame, mapping: dict[str, str], data_type: str) -> DataFrame:
     """The one-row nested summary (metrics, lists, row_count, recognised
     columns as JSON).  Lists are top-k or per-day, bounded by k or the days."""
-    def one(x: DataFrame) -> DataFrame:
-        return x.withColumn("_k", F.lit(1))
-
     if data_type == "creator":
-        row = one(creator_totals(df))
+        row = creator_totals(df)
         if _has(df, "creator") and _has(df, "gmv"):
             top = creator_top(df)
-            row = row.join(one(top.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("gmv"), F.col("creator"), F.struct("creator", "gmv", "roi", "videos")))),
-                                                   lambda x: x[F.lit("col3")]).alias("top10_creators"))), "_k")
+            row = X.attach(row, top.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("gmv"), F.col("creator"), F.struct("creator", "gmv", "roi", "videos")))),
+                                                    lambda x: x[F.lit("col3")]).alias("top10_creators")))
     else:
-        row = one(shop_totals(df))
+        row = shop_totals(df)
         if _has(df, "product") and _has(df, "gmv"):
             top = shop_top_products(df)
-            row = row.join(one(top.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("gmv"), F.col("product"), F.struct("product", "gmv")))),
-                                                   lambda x: x[F.lit("col3")]).alias("top10_products"))), "_k")
+            row = X.attach(row, top.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("gmv"), F.col("product"), F.struct("product", "gmv")))),
+                                                    lambda x: x[F.lit("col3")]).alias("top10_products")))
         if _has(df, "date") and _has(df, "gmv"):
             daily = shop_daily(df).agg(F.array_sort(F.collect_list(F.struct("date", "gmv"))).alias("daily_gmv_trend"))
-            row = row.join(one(daily), "_k").join(one(shop_day_stats(df)), "_k")
-    return row.drop("_k").withColumn("data_type", F.lit(data_type)).withColumn("recognized_columns", F.lit(json.dumps(mapping, ensure_ascii=False)))
+            row = X.attach(X.attach(row, daily), shop_day_stats(df))
+    return row.withColumn("data_type", F.lit(data_type)).withColumn("recognized_columns", F.lit(json.dumps(mapping, ensure_ascii=False)))

@@ -66,7 +66,8 @@ def upsert_outcomes(target: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     o = bk.join(tk, keys, "left").groupBy().agg(
         F.count_if(F.col("_hit").isNull()).alias("inserted"), F.count_if(F.col("_hit")).alias("updated"))
     s = batch.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(~ok).alias("skipped"))
-    return s.withColumn("_k", F.lit(1)).join(o.withColumn("_k", F.lit(1)), "_k").select(
+    from shoplens.functions.exprs import attach
+    return attach(s, o).select(
         F.col("fetched").cast("bigint"), F.col("inserted").cast("bigint"), F.col("updated").cast("bigint"),
         F.col("skipped").cast("bigint"))
 

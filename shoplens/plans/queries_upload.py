@@ -82,9 +82,7 @@ FROM t, ds, best, worst
 def shop_upload_summary(m):
     """U1-U4 + U6 + A35: shop upload totals, day stats and conversion benchmark."""
     df, _ = prepared(dirty_shop_upload(m))
-    tot = U.shop_totals(df).withColumn("_k", F.lit(1))
-    days = U.shop_day_stats(df).withColumn("_k", F.lit(1))
-    return tot.join(days, "_k").drop("_k")
+    return X.attach(U.shop_totals(df), U.shop_day_stats(df))
 
 
 @register("shop_upload_top_products", with_std(SHOP_CTE + """

@@ -36,11 +36,12 @@ def _range(args) -> periods.Window:
 
 def _sales(m: Model, start_date: str, end_date: str, platform: str | None = None) -> DataFrame:
     w = periods.inclusive_days(start_date, end_date)
-    tot = reports.sales_totals(m.orders_in(w), w, platform).withColumn("_k", F.lit(1))
+    tot = reports.sales_totals(m.orders_in(w), w, platform)
     top = reports.tool_top_products(m.orders_in(w), w, platform, 10)
     arr = top.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("gmv"), F.col("product"), F.struct("product", "gmv", "orders")))),
-                              lambda x: x[F.lit("col3")]).alias("top_products")).withColumn("_k", F.lit(1))
-    return tot.join(arr, "_k").drop("_k")
+                              lambda x: x[F.lit("col3")]).alias("top_products"))
+    from shoplens.functions.exprs import attach
+    return attach(tot, arr)
 
 
 def _metrics(m: Model, creator_name: str | None = None, top_n: int = 10) -> DataFrame:

@@ -143,9 +143,8 @@ def default_registry() -> AdapterRegistry:
 def with_fallback(remote: DataFrame, local: DataFrame, configured: bool = True) -> DataFrame:
     """Remote rows when there are any, else local rows; ``source`` and
     ``configured`` columns say which.  No driver-side count: the local side
-    is kept only through an anti-join against a one-row existence probe."""
-    probe = remote.select(F.lit(1).alias("_k")).limit(1)
-    loc = local.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")
+    is filtered by a scalar existence probe that reads at most one row per task."""
+    loc = local.where(~X.exists(remote))
     return (remote.withColumn("source", F.lit("remote"))
             .unionByName(loc.withColumn("source", F.lit("local")), allowMissingColumns=True)
             .withColumn("configured", F.lit(bool(configured))))
