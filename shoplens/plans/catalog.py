@@ -43,3 +43,24 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from shoplens.plans import queries_core, queries_feeds, queries_reports, queries_streams, queries_upload  # noqa: F401
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Build, once per session, what the queries read besides the raw tables:
+    the stored standard model and the landed feed pages / upload exports.
+    Returns the seconds each step took (the ingest side of the system)."""
+    load_all()
+    from shoplens.plans import queries_feeds as QF
+    from shoplens.plans import queries_streams as QS
+    from shoplens.plans import queries_upload as QU
+    from shoplens.sources import tables
+    m = Model(spark, sf_dir)
+    m.orders, m.influencers  # noqa: B018 - builds the stored tables
+    QF.landed(m, "a-orders", QF.platform_a_pages(m))
+    QF.landed(m, "b-orders", QF.platform_b_pages(m))
+    QF.landed(m, "products", QF.product_pages(m))
+    QF.landed(m, "influencers", QF.influencer_pages(m))
+    QS._land_deliveries(m, "orders")
+    QU.shop_export(m)
+    QU.creator_export(m)
+    return dict(tables.PREPARE_SECONDS)

@@ -18,7 +18,8 @@ from shoplens.operators import mappers, upsert
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
 from shoplens.sources import feeds
-from shoplens.sources.tables import std_orders, std_products
+from shoplens.sources.tables import ORDER_SOURCES, std_orders, std_products
+from shoplens.sources.tables import landed as land
 
 TS = "yyyy-MM-dd HH:mm:ss"
 CUTOFF = "1998-01-01"
@@ -37,11 +38,12 @@ def _html_bodies(m) -> DataFrame:
 
 
 def landed(m, name: str, bodies: DataFrame) -> DataFrame:
-    """Land generated feed pages as text files under the shared checkpoint
-    folder (one page per line) and read them back -- the path a feed sync
-    takes, and a lineage cut between page generation and parsing."""
-    path = upsert.staging_path(m.spark, f"feed-{name}")
-    bodies.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+    """Generated feed pages landed as text files (one page per line) under the
+    shared checkpoint folder, once per data set, and read back -- the path a
+    feed sync takes, and a lineage cut between page generation and parsing."""
+    def write(path):
+        bodies.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+    path = land(m.spark, m.sf_dir, f"feed-{name}", write, ORDER_SOURCES + ["events", "pages"])
     return m.spark.read.text(path).select(F.col("value").alias("body"))
 
 

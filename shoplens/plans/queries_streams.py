@@ -17,6 +17,8 @@ from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
 from shoplens.plans.queries_feeds import platform_a_pages
 from shoplens.sources import feeds
+from shoplens.sources.tables import ORDER_SOURCES
+from shoplens.sources.tables import landed as land
 from shoplens.streaming import jobs
 
 TS = "%Y-%m-%d %H:%M:%S"
@@ -110,11 +112,10 @@ MAPPED_A = """
 def _land_deliveries(m, name: str) -> str:
     """Land the platform A pages as two deliveries (orders paid before 1998,
     then the rest) into one landing folder."""
-    landing = U.staging_path(m.spark, f"landing-{name}")
-    pages = platform_a_pages_split(m)
-    for i, df in enumerate(pages):
-        df.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("append").text(landing)
-    return landing
+    def write(path):
+        for df in platform_a_pages_split(m):
+            df.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("append").text(path)
+    return land(m.spark, m.sf_dir, "deliveries-a", write, ORDER_SOURCES + ["pages"])
 
 
 def platform_a_pages_split(m):
@@ -140,7 +141,7 @@ def stream_orders_upsert(m):
     """R1s: landed page deliveries -> micro-batch mapping -> keyed upsert."""
     landing = _land_deliveries(m, "orders")
     table = U.staging_path(m.spark, "orders-table")
-    jobs.ingest_feed(m.spark, landing, table, _parse_a, ["order_id", "platform"], [F.col("update_time")])
+    jobs.ingest_feed(m.spark, landing, table, _parse_a, ["order_id", "platform"], [F.col("update_time")], max_files=16)
     t = U.read_current(m.spark, table)
     return t.select("order_id", "product_name", F.col("gmv").cast("double").alias("gmv"), "quantity", "status",
                     F.date_format("paid_at", "yyyy-MM-dd HH:mm:ss").alias("paid_at"))
@@ -157,7 +158,7 @@ FROM r WHERE rank_no <= 3
 def stream_top_products(m):
     """R3s: top-3 products per 30-day window of the order stream (complete mode)."""
     landing = _land_deliveries(m, "topk")
-    rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=4))
+    rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
     t = jobs.top_per_window(m.spark, rows, "paid_at", "product_name", "gmv", "30 days", 3)
     return t.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "product_name",
                     F.round("v", 2).cast("double").alias("gmv"), F.col("rank_no").cast("int").alias("rank_no"))
@@ -170,7 +171,7 @@ FROM mapped_a ORDER BY paid_at DESC, order_id DESC LIMIT 20
 def stream_latest_orders(m):
     """R4s: the 20 newest orders of the stream (top-N carried between batches)."""
     landing = _land_deliveries(m, "latest")
-    rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=4)).select("order_id", "paid_at", "gmv")
+    rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16)).select("order_id", "paid_at", "gmv")
     t = jobs.latest_n(m.spark, rows, ["paid_at", "order_id"], 20)
     return t.select("order_id", F.date_format("paid_at", "yyyy-MM-dd HH:mm:ss").alias("paid_at"),
                     F.col("gmv").cast("double").alias("gmv"))

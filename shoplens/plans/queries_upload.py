@@ -17,6 +17,8 @@ from shoplens.operators import upload_summary as U
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
 from shoplens.sources import uploads
+from shoplens.sources.tables import ORDER_SOURCES
+from shoplens.sources.tables import landed as land
 
 
 def dirty_shop_upload(m) -> DataFrame:
@@ -40,11 +42,29 @@ def dirty_creator_upload(m) -> DataFrame:
         F.col("name").alias("达人昵称"),
         F.concat(F.format_number(F.col("followers") / 10000.0, 1), F.lit("万")).alias("粉丝数"),
         F.col("orders").cast("string").alias("视频数"),
-        F.concat(F.lit("¥"), F.format_number("gmv", 2)).alias("销售额"),
+        F.concat(F.lit("￥"), F.format_number("gmv", 2)).alias("销售额"),
         F.col("roi").cast("string").alias("投产比"),
         F.concat(F.format_number("conversion_rate", 2), F.lit("%")).alias("转化率"))
 
 
+def exported(m, name: str, df: DataFrame, encoding: str) -> DataFrame:
+    """The export written as CSV part files in ``encoding`` (once per data
+    set, under the shared checkpoint folder), then read back through S1:
+    per-file encoding detection and an all-STRING CSV scan."""
+    def write(path):
+        df.write.option("header", "true").option("encoding", encoding).mode("overwrite").csv(path)
+    path = land(m.spark, m.sf_dir, f"upload-{name}", write, ORDER_SOURCES + ["events"])
+    return uploads.load_csv_folder(m.spark, path)
+
+
+def shop_export(m) -> DataFrame:
+    return exported(m, "shop", dirty_shop_upload(m), "UTF-8")
+
+
+def creator_export(m) -> DataFrame:
+    return exported(m, "creator", dirty_creator_upload(m), "GBK")
+
+
 def prepared(df: DataFrame) -> tuple[DataFrame, dict]:
     """F15 clean -> P1 map -> S12 validate -> canonical column names."""
     c = uploads.clean(df)
@@ -81,7 +101,7 @@ FROM t, ds, best, worst
 """.replace(", arg_max(day, g ORDER BY g DESC, day ASC) AS unused", "")))
 def shop_upload_summary(m):
     """U1-U4 + U6 + A35: shop upload totals, day stats and conversion benchmark."""
-    df, _ = prepared(dirty_shop_upload(m))
+    df, _ = prepared(shop_export(m))
     return X.attach(U.shop_totals(df), U.shop_day_stats(df))
 
 
@@ -92,7 +112,7 @@ ORDER BY coalesce(sum(gmv), 0) DESC, product_name LIMIT 10
 """))
 def shop_upload_top_products(m):
     """Top-10 uploaded products."""
-    df, _ = prepared(dirty_shop_upload(m))
+    df, _ = prepared(shop_export(m))
     return U.shop_top_products(df)
 
 
@@ -102,7 +122,7 @@ FROM up WHERE day IS NOT NULL GROUP BY day
 """))
 def shop_upload_daily(m):
     """U6 + F16: daily gmv of rows whose date parses."""
-    df, _ = prepared(dirty_shop_upload(m))
+    df, _ = prepared(shop_export(m))
     return U.shop_daily(df)
 
 
@@ -131,7 +151,7 @@ FROM up
 """, influencers=True))
 def creator_upload_summary(m):
     """U7-U10 + A35: creator upload totals, roi stats and buckets."""
-    df, _ = prepared(dirty_creator_upload(m))
+    df, _ = prepared(creator_export(m))
     return U.creator_totals(df)
 
 
@@ -142,7 +162,7 @@ FROM up WHERE name IS NOT NULL GROUP BY name ORDER BY coalesce(sum(gmv), 0) DESC
 """, influencers=True))
 def creator_upload_top(m):
     """Top-10 uploaded creators."""
-    df, _ = prepared(dirty_creator_upload(m))
+    df, _ = prepared(creator_export(m))
     return U.creator_top(df)
 
 
@@ -166,5 +186,5 @@ SELECT CAST(count(*) AS BIGINT) AS rows_after_clean FROM up
 """))
 def clean_dedup(m):
     """F15 + D1: rows left after dropping empty rows/columns and exact duplicates."""
-    df = uploads.clean(dirty_shop_upload(m))
+    df = uploads.clean(shop_export(m))
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows_after_clean"))

@@ -80,8 +80,8 @@ def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, s
             spark.conf.set(key, old)
 
 
-def read_csv_strings(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """One CSV with every column as STRING (header row kept as names)."""
+def read_csv_strings(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """CSV file(s) of one encoding with every column as STRING (header row kept as names)."""
     java_enc = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030"}[encoding]
     df = (spark.read.option("header", "true").option("encoding", java_enc).option("multiLine", "true")
           .option("inferSchema", "false").option("mode", "PERMISSIVE").csv(path))
@@ -116,6 +116,22 @@ def read_excel_strings(spark: SparkSession, path: str) -> DataFrame:
     return body.select(*[F.col("cells")[i].alias(h) for i, h in enumerate(header)])
 
 
+def load_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """S1 for an export split over several CSV part files (same header):
+    detect each file's encoding, read each encoding group in one scan, union."""
+    found = detect_encodings(spark, [os.path.join(folder, "*.csv")])
+    if not found or any(e is None for _, e in found):
+        raise ValueError("cannot detect the CSV encoding; save it as UTF-8 and retry")
+    groups: dict[str, list[str]] = {}
+    for p, e in found:
+        groups.setdefault(e, []).append(p)
+    frames = [read_csv_strings(spark, ps, e) for e, ps in sorted(groups.items())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def load_upload(spark: SparkSession, path: str) -> DataFrame:
     """The uploaded table, every column STRING."""
     suffix = os.path.splitext(path)[1].lower()
