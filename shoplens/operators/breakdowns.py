@@ -70,7 +70,7 @@ def top_products(orders: DataFrame, products: DataFrame, window: Window, limit:
     # at most ``limit`` rows below: the rank window is bounded
     r = F.row_number().over(W.orderBy(F.col("gmv").desc(), F.col("product")))
     return top.select(
-        r.alias("rank_no"), "product", X.money_out("gmv").alias("gmv"), F.col("units").alias("orders"),
+        r.cast("bigint").alias("rank_no"), "product", X.money_out("gmv").alias("gmv"), F.col("units").alias("orders"),
         "category", F.col("price").cast("double").alias("price"),
         (r <= 3).alias("is_top3"),
         F.greatest(F.lit(4.0), F.round(X.ratio(F.col("gmv") * 100, F.max("gmv").over(W.partitionBy())), 0)).alias("bar_pct"))

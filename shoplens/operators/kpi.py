@@ -165,7 +165,7 @@ def weekday_gmv(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
     min) and mean of the means."""
     from pyspark.sql import Window as W
     d = daily_series(orders, window, shop_ids)
-    g = d.groupBy((F.dayofweek("day") - 1).alias("weekday")).agg(
+    g = d.groupBy((F.dayofweek("day") - 1).cast("bigint").alias("weekday")).agg(
         F.sum("gmv").alias("s"), F.count(F.lit(1)).alias("days"))
     g = g.select("weekday", "days", X.money_out("s").alias("gmv"),
                  F.round(F.col("s").cast("double") / F.col("days"), 2).alias("avg_gmv"))

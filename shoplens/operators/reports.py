@@ -70,7 +70,7 @@ def red_black_products(ranking: DataFrame, red: int = 5, black: int = 3) -> Data
     o = [F.col("total_sales").desc(), F.col("product_id")]
     pos = F.row_number().over(W.orderBy(*o))
     rev = F.row_number().over(W.orderBy(F.col("total_sales").asc(), F.col("product_id").desc()))
-    r = ranking.select("*", pos.alias("pos"), rev.alias("rev"))
+    r = ranking.select("*", pos.cast("bigint").alias("pos"), rev.cast("bigint").alias("rev"))
     return (r.where(F.col("pos") <= red).withColumn("list", F.lit("red"))
             .unionByName(r.where(F.col("rev") <= black).withColumn("list", F.lit("black"))))
 

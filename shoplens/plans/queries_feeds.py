@@ -165,7 +165,7 @@ def product_pages(m) -> DataFrame:
 @register("map_products", """
 SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'tiktok' AS platform, substr(p_name, 1, 255) AS name,
        substr(CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_type END, 1, 64) AS category,
-       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price, 0.0 AS total_gmv, CAST(p_size AS INTEGER) AS total_sold
+       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price, CAST(0 AS DOUBLE) AS total_gmv, CAST(p_size AS INTEGER) AS total_sold
 FROM part
 """)
 def map_products(m):
@@ -276,7 +276,7 @@ def html_guard(m):
 # ---------------------------------------------------------------- webhook payloads
 @register("map_webhook_payloads", """
 SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'KOL' || lpad(CAST(c_custkey // 5 AS VARCHAR), 5, '0') AS influencer_name,
-       NULL AS platform,
+       CAST(NULL AS VARCHAR) AS platform,
        CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CAST(floor(abs(c_acctbal) * 100) AS BIGINT) END AS followers,
        c_mktsegment AS target_product
 FROM customer

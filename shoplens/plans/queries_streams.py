@@ -161,7 +161,7 @@ def stream_top_products(m):
     rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
     t = jobs.top_per_window(m.spark, rows, "paid_at", "product_name", "gmv", "30 days", 3)
     return t.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "product_name",
-                    F.round("v", 2).cast("double").alias("gmv"), F.col("rank_no").cast("int").alias("rank_no"))
+                    F.round("v", 2).cast("double").alias("gmv"), F.col("rank_no").cast("bigint").alias("rank_no"))
 
 
 @register("stream_latest_orders", with_std(MAPPED_A + f"""

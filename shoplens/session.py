@@ -22,13 +22,33 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # gbk / gb18030 uploads (see sources.uploads) need the full JVM charset list.
     "spark.sql.legacy.javaCharsets": "true",
+    # coalesce to the advisory partition size rather than keeping parallelism:
+    # on a large cluster this is what turns many shuffle partitions into
+    # right-sized tasks
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # session windows: merge sessions inside each input partition before the
+    # shuffle, so a user with a huge share of events is pre-combined map-side
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Shuffle partitions on a cluster where the setting was left at Spark's default
+# (200 partitions cannot hold a 100 TB shuffle).  AQE coalesces the surplus.
+MIN_CLUSTER_SHUFFLE_PARTITIONS = 4000
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session."""
+    """Apply the runtime SQL settings to an existing session.
+
+    On a non-local master whose ``spark.sql.shuffle.partitions`` is still the
+    default, raise it to ``max(MIN_CLUSTER_SHUFFLE_PARTITIONS, 3 x default
+    parallelism)``; an explicitly chosen value is left alone.
+    """
     for k, v in SQL_CONF.items():
         spark.conf.set(k, v)
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        n = max(MIN_CLUSTER_SHUFFLE_PARTITIONS, 3 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return spark
 
 
