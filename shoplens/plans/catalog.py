@@ -60,6 +60,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     QF.landed(m, "b-orders", QF.platform_b_pages(m))
     QF.landed(m, "products", QF.product_pages(m))
     QF.landed(m, "influencers", QF.influencer_pages(m))
+    QF.order_feed(m)
     QS._land_deliveries(m, "orders")
     QU.shop_export(m)
     QU.creator_export(m)

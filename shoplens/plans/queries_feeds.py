@@ -300,11 +300,22 @@ def map_webhook_payloads(m):
 
 
 # ---------------------------------------------------------------- upserts
+def order_feed(m) -> DataFrame:
+    """The raw order feed as standard rows, repeated deliveries included
+    (the binding without the dedup), landed once per data set."""
+    def write(path):
+        std_orders(m.spark, m.sf_dir, dedup=False).write.mode("overwrite").parquet(path)
+    return m.spark.read.parquet(land(m.spark, m.sf_dir, "order-feed", write, ORDER_SOURCES))
+
+
 def _split_feed(m):
-    li = m.raw("lineitem")
-    target = std_orders(m.spark, m.sf_dir, dedup=True, lines=li.where(F.col("l_shipdate") < F.lit(CUTOFF).cast("timestamp")))
-    batch = std_orders(m.spark, m.sf_dir, dedup=False, lines=li.where(F.col("l_shipdate") >= F.lit(CUTOFF).cast("timestamp")))
-    return target, batch
+    """Target = deliveries shipped before the cutoff, deduplicated (the table
+    as it stood); batch = the raw later deliveries."""
+    feed = order_feed(m)
+    cut = F.lit(CUTOFF).cast("timestamp")
+    target = upsert.latest_per_key(feed.where(F.col("update_time") < cut), ORDER_KEY, order_tiebreak())
+    batch = feed.where(F.col("update_time") >= cut)
+    return target.select(*feed.columns), batch
 
 
 ORDER_KEY = ["order_id", "platform"]
