@@ -38,23 +38,6 @@ def gate_uploads(spark: SparkSession, path: str, max_bytes: int = K.UPLOAD_MAX_B
          .when(~ok_size, "too_large").alias("reason"))
 
 
-def _strict_codec(content, codecs=("gbk", "gb18030")):
-    """Pandas UDF body: first codec that decodes the bytes strictly, else None."""
-    import pandas as pd
-
-    def pick(b):
-        if b is None:
-            return None
-        for c in codecs:
-            try:
-                bytes(b).decode(c)
-                return c
-            except UnicodeDecodeError:
-                continue
-        return None
-    return pd.Series([pick(b) for b in content])
-
-
 def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None]]:
     """(path, encoding) per file -- the first of utf-8-sig, utf-8, gbk,
     gb18030 that decodes the whole file.  BOM and UTF-8 validity are checked
@@ -62,7 +45,23 @@ def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, s
     strict Python decode (no native GBK validator), a few files per Arrow batch
     (uploads are at most 50 MB after the S11 gate).  Returns one small row per
     file to the driver."""
-    codec = F.pandas_udf(_strict_codec, "string")
+    def strict_codec(content):
+        # defined inline so it is shipped by value: workers need no import of this package
+        import pandas as pd
+
+        def pick(b):
+            if b is None:
+                return None
+            for c in ("gbk", "gb18030"):
+                try:
+                    bytes(b).decode(c)
+                    return c
+                except UnicodeDecodeError:
+                    continue
+            return None
+        return pd.Series([pick(b) for b in content])
+
+    codec = F.pandas_udf(strict_codec, "string")
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
     c = F.col("content")
     bom = F.substring(F.hex(c), 1, 6) == "EFBBBF"
@@ -89,25 +88,25 @@ def read_csv_strings(spark: SparkSession, path: str | list[str], encoding: str)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def _excel_to_pandas(it):
-    import io
-
-    import pandas as pd
-    for pdf in it:
-        for _, row in pdf.iterrows():
-            book = pd.read_excel(io.BytesIO(row["content"]), dtype=str, header=None)
-            rows = book.where(book.notna(), None).values.tolist()
-            yield pd.DataFrame({"path": [row["path"]] * len(rows), "cells": rows})
-
-
 def read_excel_strings(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of one .xlsx/.xls as a STRING DataFrame (needs openpyxl/xlrd)."""
     try:
         import openpyxl  # noqa: F401
     except ImportError as e:
         raise ValueError("Excel uploads need the openpyxl package, which is not installed") from e
+    def excel_to_pandas(it):
+        # inline so it is shipped by value (workers need no import of this package)
+        import io
+
+        import pandas as pd
+        for pdf in it:
+            for _, row in pdf.iterrows():
+                book = pd.read_excel(io.BytesIO(row["content"]), dtype=str, header=None)
+                rows = book.where(book.notna(), None).values.tolist()
+                yield pd.DataFrame({"path": [row["path"]] * len(rows), "cells": rows})
+
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    cells = raw.mapInPandas(_excel_to_pandas, "path string, cells array<string>")
+    cells = raw.mapInPandas(excel_to_pandas, "path string, cells array<string>")
     first = cells.first()
     if first is None:
         raise ValueError("empty workbook")
