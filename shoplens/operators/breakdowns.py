@@ -123,7 +123,8 @@ def category_share(orders: DataFrame, products: DataFrame, window: Window, shop_
     """Gmv per category (null -> uncategorised) with % of total, desc."""
     s = product_stats(orders, products, window, shop_ids)
     g = s.groupBy(F.coalesce("category", F.lit(K.UNCATEGORISED)).alias("category")).agg(F.sum("gmv").alias("gmv_d"))
-    return with_share(g, "gmv_d", "pct", 1).select("category", X.money_out("gmv_d").alias("gmv"), "pct")
+    return (with_share(g, "gmv_d", "pct", 1).select("category", X.money_out("gmv_d").alias("gmv"), "pct")
+            .orderBy(F.col("gmv").desc(), "category"))
 
 
 def category_list(products: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def shipping_providers(orders: DataFrame, window: Window, shop_ids=None) -> Data
     o = _scope(orders, window, shop_ids)
     g = o.groupBy("shipping_provider").agg(F.count(F.lit(1)).cast("bigint").alias("orders"))
     g = g.select(F.coalesce("shipping_provider", F.lit(K.UNKNOWN_PROVIDER)).alias("name"), "orders")
-    return with_share(g, "orders", "pct", 1)
+    return with_share(g, "orders", "pct", 1).orderBy(F.col("orders").desc(), "name")
 
 
 def delivery_hours(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:

@@ -112,7 +112,8 @@ def gmv_trend(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
     # ``daily`` holds at most one row per window day (days <= 3660): bounded.
     return (cal.join(F.broadcast(daily), "day", "left")
                .select(X.day_str("day").alias("date"),
-                       X.money_out(F.coalesce("gmv", F.lit(0).cast("decimal(14,2)"))).alias("gmv")))
+                       X.money_out(F.coalesce("gmv", F.lit(0).cast("decimal(14,2)"))).alias("gmv"))
+               .orderBy("date"))
 
 
 def daily_series(orders: DataFrame, window: Window, shop_ids=None, densify: bool = True) -> DataFrame:
@@ -137,7 +138,7 @@ def iso_week_gmv(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
     wk = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), "day"), F.weekofyear("day"))
     return d.groupBy(wk.alias("week")).agg(
         X.money_out(F.sum("gmv")).alias("gmv"), F.sum("orders").alias("orders"),
-        F.count(F.lit(1)).alias("days"))
+        F.count(F.lit(1)).alias("days")).orderBy("week")
 
 
 def hourly_gmv(fact: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -182,7 +183,7 @@ def sparkline(orders: DataFrame, window: Window, n: int = 14, shop_ids=None) ->
     """T4: the last ``n`` days of the densified series."""
     d = daily_series(orders, window, shop_ids)
     last = d.orderBy(F.col("day").desc()).limit(n)
-    return last.select(X.day_str("day").alias("date"), X.money_out("gmv").alias("gmv"))
+    return last.select(X.day_str("day").alias("date"), X.money_out("gmv").alias("gmv")).orderBy("date")
 
 
 def period_series(orders: DataFrame, as_of, days: int, periods: int, shop_ids=None) -> DataFrame:

@@ -41,7 +41,8 @@ def daily_sales(orders: DataFrame, window: Window) -> DataFrame:
     g = o.groupBy(F.to_date("paid_at").alias("d")).agg(
         F.sum("gmv").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("u"))
     return g.select(X.day_str("d").alias("date"), X.money_out(F.coalesce("g", _zero())).alias("daily_gmv"),
-                    F.col("n").cast("bigint").alias("daily_orders"), F.coalesce("u", F.lit(0)).cast("bigint").alias("daily_units"))
+                    F.col("n").cast("bigint").alias("daily_orders"),
+                    F.coalesce("u", F.lit(0)).cast("bigint").alias("daily_units")).orderBy("date")
 
 
 def product_ranking(orders: DataFrame, products: DataFrame, window: Window, limit: int = 10) -> DataFrame:

@@ -85,7 +85,7 @@ def parsed_days(df: DataFrame) -> DataFrame:
 def shop_daily(df: DataFrame) -> DataFrame:
     """Gmv per parsed day (undensified)."""
     d = parsed_days(df).groupBy("day").agg(F.coalesce(F.sum("gmv"), F.lit(0.0)).alias("g"))
-    return d.select(X.day_str("day").alias("date"), _r2(F.col("g")).alias("gmv"))
+    return d.select(X.day_str("day").alias("date"), _r2(F.col("g")).alias("gmv")).orderBy("date")
 
 
 def shop_day_stats(df: DataFrame) -> DataFrame:
@@ -174,3 +174,32 @@ def build_summary(df: DataFrame, mapping: dict[str, str], data_type: str) -> Dat
             daily = shop_daily(df).agg(F.array_sort(F.collect_list(F.struct("date", "gmv"))).alias("daily_gmv_trend"))
             row = X.attach(X.attach(row, daily), shop_day_stats(df))
     return row.withColumn("data_type", F.lit(data_type)).withColumn("recognized_columns", F.lit(json.dumps(mapping, ensure_ascii=False)))
+
+
+def register_upload(spark, path: str, data_type: str, registry_path: str, dataset_id: str | None = None,
+                    created_at=None) -> DataFrame:
+    """S11 -> S1/S2 -> F15 -> P1 -> S12 -> U12 -> K6: gate one uploaded file,
+    read it as STRING columns, clean, map headers, validate, summarise and
+    append the dataset record (filename, type, row count, columns, summary
+    JSON) to the registry.  Returns the appended record."""
+    import datetime as dt
+    import os
+    import uuid
+
+    from shoplens import schemas
+    from shoplens.operators import upsert
+    from shoplens.sources import uploads
+
+    gate = uploads.gate_uploads(spark, path).first()
+    if gate is None or not gate["accepted"]:
+        raise ValueError(f"upload refused: {gate['reason'] if gate else 'missing file'}")
+    df = uploads.clean(uploads.load_upload(spark, path))
+    mapping = uploads.map_columns(df.columns)
+    uploads.validate(df, mapping)
+    summary = build_summary(uploads.standardize(df, mapping), mapping, data_type)
+    row = summary.select(F.to_json(F.struct(*summary.columns)).alias("summary"),
+                         F.col("row_count")).first()
+    rec = (dataset_id or uuid.uuid4().hex, os.path.basename(path), data_type, int(row["row_count"]),
+           [str(c) for c in df.columns], row["summary"], created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    upsert.append_record(spark, [rec], schemas.DATASETS, registry_path)
+    return spark.createDataFrame([rec], schemas.DATASETS)

@@ -140,3 +140,19 @@ def test_clean_drops_empty_and_duplicates(spark):
     c = uploads.clean(df)
     assert sorted(c.columns) == ["x", "z"]
     assert c.count() == 2
+
+
+def test_register_upload_flow(spark, tmp_dir):
+    import json
+
+    p = _write(tmp_dir, "flow.csv", SHOP_CSV, "utf-8-sig")
+    reg = os.path.join(tmp_dir, "registry")
+    rec = U.register_upload(spark, p, "shop", reg, dataset_id="ds1").first()
+    assert (rec["dataset_id"], rec["filename"], rec["row_count"]) == ("ds1", "flow.csv", 6)
+    summary = json.loads(rec["summary"])
+    assert summary["total_gmv"] == 7604.5 and summary["best_day"] == "2026-07-16"
+    assert spark.read.parquet(reg).count() == 1
+    bad = os.path.join(tmp_dir, "bad.exe")
+    open(bad, "wb").write(b"MZ")
+    with pytest.raises(ValueError):
+        U.register_upload(spark, bad, "shop", reg)
