@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
@@ -151,20 +152,15 @@ def hourly_gmv(fact: DataFrame, ts: str = "ts", value: str = "value") -> DataFra
     full = hours.join(h, "hour", "left").select(
         "hour", F.round(F.coalesce("v", F.lit(0.0)), 2).alias("value"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("events"))
-    w = F.row_number().over(_global_order(F.col("value").desc(), F.col("hour")))
+    # 24 rows: the ordering window is bounded
+    w = F.row_number().over(W.orderBy(F.col("value").desc(), F.col("hour")))
     return full.withColumn("is_peak", w == 1)
 
 
-def _global_order(*cols):
-    from pyspark.sql import Window as W
-    return W.orderBy(*cols)
-
-
 def weekday_gmv(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
     """Weekday (Sun=0) sum, mean per observed day and day count over the
     densified daily series; best weekday (first max), worst (>0 only, first
-    min) and mean of the means."""
-    from pyspark.sql import Window as W
+    min) and mean of the means.  Seven rows: the windows below are bounded."""
     d = daily_series(orders, window, shop_ids)
     g = d.groupBy((F.dayofweek("day") - 1).cast("bigint").alias("weekday")).agg(
         F.sum("gmv").alias("s"), F.count(F.lit(1)).alias("days"))
@@ -190,8 +186,6 @@ def period_series(orders: DataFrame, as_of, days: int, periods: int, shop_ids=No
     """``periods`` consecutive ``days``-long windows ending with the as-of
     day (index 0 = current), each with gmv / orders / refunds and the change
     against the window before it (``lag`` over at most ``periods`` rows)."""
-    from pyspark.sql import Window as W
-
     from shoplens.functions.periods import rolling
     cur = rolling(as_of, days)
     lo = cur.end - dt.timedelta(days=days * periods)
