@@ -310,3 +310,24 @@ FROM std_influencers
 def influencer_scatter(m):
     """P10: influencer scatter points with suspicious total."""
     return breakdowns.influencer_scatter(m.influencers)
+
+
+# ---------------------------------------------------------------- shop filter
+SHOPS = ["", "SHOP_1", "SHOP_3"]
+SHOP_SQL = "(shop_id IS NULL OR shop_id IN ('SHOP_1', 'SHOP_3'))"
+
+
+@register("kpi_overview_shops", KPI_SQL.replace(
+    f"FROM std_orders WHERE paid_at >= {P30} AND paid_at < {E30}",
+    f"FROM std_orders WHERE paid_at >= {P30} AND paid_at < {E30} AND {SHOP_SQL}"))
+def kpi_overview_shops(m):
+    """A2 + F5: KPIs for the default shop (null id) and two named shops."""
+    return kpi.kpi_overview(m.orders_in(W30, previous=True), W30, SHOPS)
+
+
+@register("top_products_shops", TOP_SQL.replace(
+    f"FROM std_orders WHERE {_in365()} GROUP BY 1, 2, 3",
+    f"FROM std_orders WHERE {_in365()} AND {SHOP_SQL} GROUP BY 1, 2, 3"))
+def top_products_shops(m):
+    """A5 + F5: top products of the selected shops."""
+    return breakdowns.top_products(m.orders_in(W365), m.products, W365, 10, SHOPS)
