@@ -6,6 +6,7 @@ row then gets its index inside its partition from
 ``monotonically_increasing_id`` (partition id in the upper bits, position in
 the lower 33), and a per-partition row count -- one row per partition, a size
 bounded by the partition count -- supplies the offset of every partition.
+The numbered rows are checkpointed (reliably, to ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ def global_rank(df: DataFrame, order_cols, out: str = "rank") -> DataFrame:
     The order must be total (include a unique tie-break key) for the result
     to be deterministic.
     """
+    from shoplens.session import checkpoint_root
+    checkpoint_root(df.sparkSession)  # make sure a shared checkpoint folder is set
     s = (df.orderBy(*order_cols)
            .withColumn("_mid", F.monotonically_increasing_id())
            .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
            .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(LOW_BITS))))
-    # ``s`` is not cached: both branches below re-read the same deterministic
-    # sorted input, so partition ids and positions agree between them.
+    # reliable checkpoint (files under spark.checkpoint.dir): both branches
+    # below read the same numbered partitions, and a lost executor recovers
+    # them from files instead of re-sorting
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window here sees at most #partitions rows
     offs = counts.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_off"))
