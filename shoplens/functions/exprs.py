@@ -301,3 +301,45 @@ def verdict(delta: Column | str, higher_is_better: Column | str) -> Column:
 def score_band(c: Column | str) -> Column:
     """Match score band."""
     return F.when(col(c) >= 80, "high").when(col(c) >= 60, "medium").otherwise("low")
+
+
+# ---------------------------------------------------------------- X19 display formatting
+def fmt_yuan(c: Column | str) -> Column:
+    """'¥1,234.50' (two decimals, thousands separators)."""
+    return F.concat(F.lit("¥"), F.format_number(col(c).cast("double"), 2))
+
+
+def fmt_thousands(c: Column | str) -> Column:
+    """'1,234' (integer with thousands separators)."""
+    return F.format_number(col(c).cast("double"), 0)
+
+
+def fmt_roi(c: Column | str) -> Column:
+    """'3.50', or 'N/A' when missing (format_string would print 'nu' for null)."""
+    v = col(c).cast("double")
+    return F.when(v.isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f", v))
+
+
+def fmt_kpi(value: Column | str, fmt: Column | str, currency: str = "฿") -> Column:
+    """Dashboard KPI text: '-' for null or 0; currency = symbol + rounded
+    integer with separators, percent = one decimal + '%', else integer."""
+    v = col(value).cast("double")
+    f = col(fmt)
+    rounded = F.format_number(F.round(v, 0), 0)
+    text = (F.when(f == "currency", F.concat(F.lit(currency), rounded))
+             .when(f == "percent", F.concat(F.format_string("%.1f", v), F.lit("%")))
+             .otherwise(rounded))
+    return F.when(v.isNull() | (v == 0), F.lit("-")).otherwise(text)
+
+
+def fmt_date_short(c: Column | str) -> Column:
+    """'YYYY-MM-DD' -> 'MM-DD'."""
+    return F.substring(col(c), 6, 5)
+
+
+def fmt_followers(c: Column | str, wan_label: str = "万") -> Column:
+    """'15.2 万' from 10,000 up, else separators; '—' when missing."""
+    n = col(c).cast("double")
+    return (F.when(n.isNull(), F.lit("—"))
+             .when(n >= 10000, F.concat(F.format_string("%.1f", n / 10000), F.lit(" " + wan_label)))
+             .otherwise(F.format_number(n, 0)))

@@ -72,3 +72,14 @@ def test_benchmark_verdict_and_band(spark):
                   X.score_band("score").alias("s")).collect()
     assert [(x["b"], x["v"], x["s"]) for x in r] == [("below", True, "high"), ("within", True, "medium"),
                                                        ("above", True, "low")]
+
+
+def test_display_formatting(spark):
+    df = spark.createDataFrame([(1234.5, "currency", "2026-07-16", 152000), (2.91, "percent", "2026-07-01", 8700),
+                                (0.0, "int", None, None)], "v double, f string, d string, fol long")
+    r = df.select(X.fmt_yuan("v").alias("y"), X.fmt_kpi("v", "f").alias("k"), X.fmt_date_short("d").alias("s"),
+                  X.fmt_followers("fol").alias("fo"), X.fmt_roi(F.lit(None).cast("double")).alias("roi")).collect()
+    assert [(x["y"], x["k"], x["s"], x["fo"], x["roi"]) for x in r] == [
+        ("¥1,234.50", "฿1,235", "07-16", "15.2 万", "N/A"),
+        ("¥2.91", "2.9%", "07-01", "8,700", "N/A"),
+        ("¥0.00", "-", None, "—", "N/A")]
