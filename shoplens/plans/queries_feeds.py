@@ -424,7 +424,7 @@ def utc_migration(m):
 , req AS (
   SELECT c_custkey AS record_id, 'KOL' || lpad(CAST(c_custkey // 5 AS VARCHAR), 5, '0') AS influencer_name,
          CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS followers
-  FROM customer WHERE c_custkey % 5 = 0
+  FROM customer
 ), best AS (
   SELECT name, roi, is_suspicious FROM (
     SELECT *, row_number() OVER (PARTITION BY name ORDER BY gmv DESC, creator_id DESC) AS rn FROM std_influencers) WHERE rn = 1
@@ -435,16 +435,20 @@ def utc_migration(m):
                    + least(CAST(coalesce(r.followers, 0) AS DOUBLE), 1e6) / 1e6 * 40) AS INTEGER))) END AS ai_match_score
   FROM req r LEFT JOIN best b ON r.influencer_name = b.name
 ), sc AS (SELECT *, CASE WHEN ai_match_score >= 80 THEN 'high' WHEN ai_match_score >= 60 THEN 'medium' ELSE 'low' END AS band FROM s)
-SELECT record_id, influencer_name,
-       CASE WHEN record_id % 2 = 0 THEN least(ai_match_score + 1, 98) ELSE ai_match_score END AS ai_match_score,
-       band, CASE WHEN record_id % 2 = 0 THEN 'done' ELSE 'processing' END AS status
-FROM sc
+SELECT sc.record_id, sc.influencer_name,
+       CASE WHEN b.name IS NOT NULL THEN least(sc.ai_match_score + 1, 98) ELSE sc.ai_match_score END AS ai_match_score,
+       sc.band, CASE WHEN b.name IS NOT NULL THEN 'done' ELSE 'processing' END AS status
+FROM sc LEFT JOIN best b ON sc.influencer_name = b.name
 """, influencers=True))
 def analysis_merge(m):
-    """K8: analysis records updated field-wise; absent (null) fields keep the stored value."""
+    """K8: analysis records updated field-wise; absent (null) fields keep the
+    stored value.  The update batch = analyses whose creator was found (they
+    complete); the others stay 'processing'."""
     from shoplens.plans.queries_reports import _requests
-    scores = inf.match_scores(_requests(m), m.influencers).withColumn("status", F.lit("processing"))
-    upd = scores.where(F.col("record_id") % 2 == 0).select(
+    req = _requests(m)
+    scores = inf.match_scores(req, m.influencers).withColumn("status", F.lit("processing"))
+    found = req.join(m.influencers.select(F.col("name").alias("influencer_name")).distinct(), "influencer_name", "left_semi")
+    upd = scores.join(found.select("record_id"), "record_id", "left_semi").select(
         "record_id", F.lit(None).cast("string").alias("influencer_name"),
         F.least(F.col("ai_match_score") + 1, F.lit(98)).alias("ai_match_score"),
         F.lit(None).cast("string").alias("band"), F.lit("done").alias("status"))

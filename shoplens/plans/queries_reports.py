@@ -294,7 +294,7 @@ def creator_rollup(m):
 
 
 def _requests(m):
-    c = m.raw("customer").where(F.col("c_custkey") % 5 == 0)
+    c = m.raw("customer")
     return c.select(F.col("c_custkey").alias("record_id"),
                     F.concat(F.lit("KOL"), F.lpad((F.col("c_custkey") / 5).cast("bigint").cast("string"), 5, "0")).alias("influencer_name"),
                     F.floor(F.abs(F.col("c_acctbal")) * 100).alias("followers"))
@@ -304,7 +304,7 @@ def _requests(m):
 , req AS (
   SELECT c_custkey AS record_id, 'KOL' || lpad(CAST(c_custkey // 5 AS VARCHAR), 5, '0') AS influencer_name,
          CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS followers
-  FROM customer WHERE c_custkey % 5 = 0
+  FROM customer
 ), best AS (
   SELECT name, roi, is_suspicious FROM (
     SELECT *, row_number() OVER (PARTITION BY name ORDER BY gmv DESC, creator_id DESC) AS rn FROM std_influencers) WHERE rn = 1
