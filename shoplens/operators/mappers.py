@@ -198,6 +198,26 @@ def map_influencer_feed(raw: DataFrame, legacy_int: bool = False) -> DataFrame:
     )
 
 
+def filter_feed(feed: DataFrame, site: str | None = None, platform: str | None = None, status: str | None = None,
+                keyword: str | None = None, category: str | None = None) -> DataFrame:
+    """S7 query parameters (siteId, platformId, status, keyword, category)
+    applied to mapped feed rows: equality on site code, platform, status and
+    niche; keyword = case-insensitive substring of the name.  Unset = no filter."""
+    conds = []
+    if site:
+        conds.append(F.col("site_code") == site.upper())
+    if platform:
+        conds.append(F.lower(F.col("platform")) == platform.lower())
+    if status:
+        conds.append(F.col("status") == status)
+    if keyword:
+        conds.append(F.lower(F.col("influencer_name")).contains(keyword.lower()))
+    if category:
+        conds.append(F.col("niche") == category)
+    c = X.all_of(conds)
+    return feed if c is None else feed.where(c)
+
+
 def created_between(feed: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """createdAt within [start, end] (ISO; naive = UTC).  With any valid
     bound, rows whose time is missing or unparseable are dropped; an

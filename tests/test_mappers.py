@@ -156,3 +156,16 @@ def test_product_upsert_preserves_total_gmv(spark):
     got = {r["product_id"]: r for r in upsert.product_upsert(target, batch).collect()}
     assert (got["p1"]["name"], got["p1"]["price"], got["p1"]["total_gmv"]) == ("new", 2.0, 50.0)
     assert got["p2"]["total_gmv"] == 0.0
+
+
+def test_feed_query_filters(spark):
+    rows = [dict(FEED_ROW, id="a", name="Alpha Beauty", site_code="TH", niche="Beauty"),
+            dict(FEED_ROW, id="b", name="beta", site_code="MY", niche="Fashion", status="rejected"),
+            dict(FEED_ROW, id="c", name="Gamma", site_code="TH", niche="Fashion", platform="Shopee")]
+    f = mappers.map_influencer_feed(_pages(spark, "influencer_feed", rows, "items"))
+    ids = lambda df: sorted(r["influencer_id"] for r in df.collect())
+    assert ids(mappers.filter_feed(f, site="th")) == ["a", "c"]
+    assert ids(mappers.filter_feed(f, platform="tiktok", category="Fashion")) == ["b"]
+    assert ids(mappers.filter_feed(f, keyword="BEAUTY")) == ["a"]
+    assert ids(mappers.filter_feed(f, status="rejected")) == ["b"]
+    assert ids(mappers.filter_feed(f)) == ["a", "b", "c"]
