@@ -63,6 +63,14 @@ class Window:
     def label_end(self) -> str:
         return (self.end - dt.timedelta(seconds=1)).strftime("%Y-%m-%d")
 
+    @property
+    def prev_label_start(self) -> str:
+        return self.prev_start.strftime("%Y-%m-%d")
+
+    @property
+    def prev_label_end(self) -> str:
+        return (self.prev_end - dt.timedelta(seconds=1)).strftime("%Y-%m-%d")
+
 
 def rolling(as_of: dt.date | dt.datetime | str, days: int) -> Window:
     """``days`` whole days ending with the as-of day, and the ones before.

@@ -86,6 +86,8 @@ def kpi_overview(orders: DataFrame, window: Window, shop_ids=None) -> DataFrame:
         "k.higher_is_better", "k.format",
         F.lit(window.label_start).alias("period_start"),
         F.lit(window.label_end).alias("period_end"),
+        F.lit(window.prev_label_start).alias("prev_period_start"),
+        F.lit(window.prev_label_end).alias("prev_period_end"),
     )
     return out.withColumn("good", X.verdict("delta_pct", "higher_is_better"))
 

@@ -45,6 +45,7 @@ SELECT key, label, round(cur, 2) AS value, round(prev, 2) AS prev_value,
        CASE WHEN prev <> 0 THEN round((cur - prev) / prev * 100, 1) END AS delta_pct,
        higher_is_better, format,
        '{W30.label_start}' AS period_start, '{W30.label_end}' AS period_end,
+       '{W30.prev_label_start}' AS prev_period_start, '{W30.prev_label_end}' AS prev_period_end,
        CASE WHEN prev = 0 THEN true ELSE ((CASE WHEN prev <> 0 THEN round((cur - prev) / prev * 100, 1) END) >= 0) = higher_is_better END AS good
 FROM v
 """)

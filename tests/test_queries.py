@@ -44,7 +44,7 @@ def test_contract(spark):
     df = entry.entry(spark)
     assert df.count() == 4
     assert df.columns == ["key", "label", "value", "prev_value", "delta_pct", "higher_is_better", "format",
-                          "period_start", "period_end", "good"]
+                          "period_start", "period_end", "prev_period_start", "prev_period_end", "good"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
