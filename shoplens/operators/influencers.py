@@ -8,7 +8,6 @@ of all orders is combined map-side instead of being shuffled as raw lines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens import constants as K

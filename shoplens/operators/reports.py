@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shoplens import constants as K
 from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens import constants as K

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from shoplens.operators import breakdowns, kpi
 from shoplens.plans.catalog import W30, W365, register, ts

@@ -15,7 +15,6 @@ from shoplens.operators import mappers
 from shoplens.operators import upsert as U
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
-from shoplens.plans.queries_feeds import platform_a_pages
 from shoplens.sources import feeds
 from shoplens.sources.tables import ORDER_SOURCES
 from shoplens.sources.tables import landed as land
