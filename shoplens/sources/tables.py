@@ -343,3 +343,37 @@ class Model:
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
+
+
+def build_standard_model(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
+    """Write the three standard tables under ``out_dir`` (orders partitioned
+    by ``paid_month`` after a rebalance) -- the batch ingest job of a
+    deployment.  Returns the table paths; read them with ``StoredModel``."""
+    paths = {n: os.path.join(out_dir, n) for n in ("std_orders", "std_products", "std_influencers")}
+    orders = std_orders(spark, sf_dir).withColumn(
+        "paid_month", F.coalesce(F.date_format("paid_at", "yyyy-MM"), F.lit("none")))
+    orders.hint("rebalance", "paid_month").write.mode("overwrite").partitionBy("paid_month").parquet(paths["std_orders"])
+    stored_orders = spark.read.parquet(paths["std_orders"]).drop("paid_month")
+    std_products(spark, sf_dir).write.mode("overwrite").parquet(paths["std_products"])
+    std_influencers(spark, sf_dir, stored_orders).write.mode("overwrite").parquet(paths["std_influencers"])
+    return paths
+
+
+class StoredModel(Model):
+    """The standard model read from tables written by ``build_standard_model``
+    (or by the upsert jobs); raw driver tables are not needed."""
+
+    def __init__(self, spark: SparkSession, model_dir: str):
+        super().__init__(spark, sf_dir=model_dir, store=True)
+        self.model_dir = model_dir
+
+    def _orders_table(self) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.model_dir, "std_orders"))
+
+    @property
+    def products(self) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.model_dir, "std_products"))
+
+    @property
+    def influencers(self) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.model_dir, "std_influencers"))

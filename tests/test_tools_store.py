@@ -87,3 +87,20 @@ def test_widen_and_migration(spark):
     once = upsert.utc_migration(w)
     twice = upsert.utc_migration(once)
     assert str(twice.first()["paid_at"]) == "2024-01-01 00:00:00"
+
+
+def test_build_and_read_stored_model(spark, tmp_dir):
+    from shoplens.functions import periods
+    from shoplens.operators import kpi
+    from shoplens.sources.tables import Model, StoredModel, build_standard_model
+
+    out = os.path.join(tmp_dir, "model")
+    build_standard_model(spark, SF, out)
+    stored = StoredModel(spark, out)
+    live = Model(spark, SF, store=False)
+    w = periods.rolling("1998-06-30", 365)
+    a = sorted(tuple(r) for r in kpi.kpi_overview(stored.orders_in(w, previous=True), w).collect())
+    b = sorted(tuple(r) for r in kpi.kpi_overview(live.orders_in(w, previous=True), w).collect())
+    assert a == b
+    assert stored.influencers.count() == live.influencers.count()
+    assert stored.products.count() == live.products.count()
