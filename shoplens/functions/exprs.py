@@ -174,21 +174,38 @@ def epoch_to_ts(c: Column | str, ms_mode: str = "floor") -> Column:
     return F.when(v >= 1e12, F.timestamp_millis(F.floor(v).cast("bigint"))).otherwise(F.timestamp_seconds(v))
 
 
-TEXT_TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss"]
-
-
-def text_to_ts(c: Column | str, formats: Sequence[str] = TEXT_TIME_FORMATS) -> Column:
-    """First format that parses wins; failures -> null."""
+# Text datetime shapes, tried in order: (shape regex, parse format).  The
+# regex guard means a parser runs only on text it can match -- failing parses
+# are expensive, and pandas-style lenient parsing accepts these shapes.
+TEXT_TIME_SHAPES = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-M-d H:mm:ss.SSSSSS"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+]
+
+
+def text_to_ts(c: Column | str, shapes=TEXT_TIME_SHAPES) -> Column:
+    """The first shape that matches decides the format; text that
+    matches no shape, or an impossible date, -> null."""
     s = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    t = F.regexp_replace(s, "T", " ")
+    out = None
+    for rx, fmt in shapes:
+        # 'SSSSSS' parses 1 to 6 fraction digits
+        parsed = F.try_to_timestamp(t, F.lit(fmt))
+        out = F.when(s.rlike(rx), parsed) if out is None else out.when(s.rlike(rx), parsed)
+    return out
 
 
 def iso_to_ts(c: Column | str) -> Column:
     """ISO-8601 with 'Z', an offset, or naive (= UTC); failures -> null."""
     s = F.trim(col(c).cast("string"))
-    fmts = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X",
-            "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd"]
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts])
+    zoned = s.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    with_zone = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")),
+                           F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")))
+    return F.when(zoned, with_zone).otherwise(text_to_ts(s))
 
 
 def any_time(c: Column | str) -> Column:

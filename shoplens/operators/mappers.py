@@ -46,8 +46,7 @@ def platform_a_time(c: Column) -> Column:
     digits = s.rlike(r"^\d+$")
     v = F.when(digits, s.cast("decimal(20,0)"))
     secs = F.when(v > 1000000000000, F.floor(v / 1000)).otherwise(v).cast("bigint")
-    text = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in
-                        ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd")])
+    text = X.text_to_ts(s)  # shape-guarded: date, date time, date time.fraction
     return F.when((s == "") | (s == "0") | s.isNull(), None).when(digits, F.timestamp_seconds(secs)).otherwise(text)
 
 

@@ -38,6 +38,18 @@ def gate_uploads(spark: SparkSession, path: str, max_bytes: int = K.UPLOAD_MAX_B
          .when(~ok_size, "too_large").alias("reason"))
 
 
+_ENCODINGS: dict[tuple, str | None] = {}
+
+
+def _file_key(path: str):
+    p = path[5:] if path.startswith("file:") else path
+    try:
+        st = os.stat(p)
+        return (path, st.st_size, int(st.st_mtime))
+    except OSError:
+        return None
+
+
 def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None]]:
     """(path, encoding) per file -- the first of utf-8-sig, utf-8, gbk,
     gb18030 that decodes the whole file.  BOM and UTF-8 validity are checked
@@ -67,16 +79,28 @@ def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, s
     bom = F.substring(F.hex(c), 1, 6) == "EFBBBF"
     utf8 = F.is_valid_utf8(c.cast("string"))
     enc = F.when(bom, F.lit("utf-8-sig")).when(utf8, F.lit("utf-8")).otherwise(codec(c))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "4")
-    try:
-        return [(r["path"], r["encoding"]) for r in raw.select("path", enc.alias("encoding")).collect()]
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+    # per-file results are metadata: remembered by (path, size, mtime) for local files
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    keys = {p: _file_key(p) for p in listed}
+    known = {p: _ENCODINGS[k] for p, k in keys.items() if k is not None and k in _ENCODINGS}
+    todo = [p for p in listed if p not in known]
+    found = dict(known)
+    if todo:
+        conf_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        old = spark.conf.get(conf_key, None)
+        spark.conf.set(conf_key, "4")
+        try:
+            rows = raw.where(F.col("path").isin(todo)).select("path", enc.alias("encoding")).collect()
+        finally:
+            if old is None:
+                spark.conf.unset(conf_key)
+            else:
+                spark.conf.set(conf_key, old)
+        for r in rows:
+            found[r["path"]] = r["encoding"]
+            if keys.get(r["path"]) is not None:
+                _ENCODINGS[keys[r["path"]]] = r["encoding"]
+    return [(p, found.get(p)) for p in listed]
 
 
 def read_csv_strings(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
@@ -145,10 +169,13 @@ def load_upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- cleaning / header mapping
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, materialize: bool = True) -> DataFrame:
     """trim header names, drop all-null rows, all-null columns, exact duplicates.
 
-    The empty-column test is one aggregate pass (one count per column).
+    The empty-column test is one aggregate pass (one count per column).  An
+    upload is size-bounded (S11 gate), so the cleaned table is checkpointed
+    (reliably, under ``spark.checkpoint.dir``) and every summary aggregate
+    reads it instead of re-parsing and re-deduplicating the file.
     """
     df = df.toDF(*[str(c).strip() for c in df.columns])
     blank = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))  # noqa: E731 - '' reads as missing
@@ -156,7 +183,12 @@ def clean(df: DataFrame) -> DataFrame:
     df = df.na.drop(how="all")
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     keep = [c for i, c in enumerate(df.columns) if counts[f"c{i}"] > 0]
-    return df.select(*[F.col(f"`{c}`") for c in keep]).dropDuplicates()
+    out = df.select(*[F.col(f"`{c}`") for c in keep]).dropDuplicates()
+    if materialize:
+        from shoplens.session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def normalize_header(name: str) -> str:
