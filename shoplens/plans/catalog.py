@@ -55,7 +55,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     from shoplens.plans import queries_upload as QU
     from shoplens.sources import tables
     m = Model(spark, sf_dir)
-    m.orders, m.influencers  # noqa: B018 - builds the stored tables
+    m.orders, m.products, m.influencers  # noqa: B018 - builds the stored tables
     QF.landed(m, "a-orders", QF.platform_a_pages(m))
     QF.landed(m, "b-orders", QF.platform_b_pages(m))
     QF.landed(m, "products", QF.product_pages(m))

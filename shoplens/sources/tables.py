@@ -218,6 +218,7 @@ def std_influencers(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
 
 # ---------------------------------------------------------------- stored standard model
 _STORED: dict[tuple, str] = {}
+_STORED_DF: dict[tuple, DataFrame] = {}
 PREPARE_SECONDS: dict[str, float] = {}
 
 
@@ -261,7 +262,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str
         w.parquet(path)
         _STORED[key] = path
         PREPARE_SECONDS[f"{os.path.basename(os.path.normpath(sf_dir))}/{name}"] = round(time.perf_counter() - t0, 3)
-    return spark.read.parquet(path)
+    # one DataFrame per stored table and session: its file index (the listing
+    # of the month directories) is built once and reused by every query
+    df = _STORED_DF.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _STORED_DF[key] = df
+    return df
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, write, sources: list[str]) -> str:
@@ -327,7 +334,11 @@ class Model:
     @property
     def products(self) -> DataFrame:
         if self._products is None:
-            self._products = std_products(self.spark, self.sf_dir)
+            if self.store:
+                self._products = stored(self.spark, self.sf_dir, "std_products",
+                                        lambda: std_products(self.spark, self.sf_dir), ["part"])
+            else:
+                self._products = std_products(self.spark, self.sf_dir)
         return self._products
 
     @property
