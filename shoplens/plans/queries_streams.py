@@ -65,9 +65,9 @@ def stream_sliding_kpi(m):
 
 @register("stream_alerts", DAILY_CTE + """
 SELECT window_start, purchase_value, errors,
-       round((purchase_value - lag(purchase_value) OVER w) * 100.0 / lag(purchase_value) OVER w, 2) AS value_change_pct,
-       coalesce((purchase_value - lag(purchase_value) OVER w) * 100.0 / lag(purchase_value) OVER w < -30.0, false) AS gmv_drop,
-       coalesce((errors - lag(errors) OVER w) * 100.0 / lag(errors) OVER w > 50.0, false) AS error_surge
+       round((purchase_value - lag(purchase_value) OVER w) * 100.0 / nullif(lag(purchase_value) OVER w, 0), 2) AS value_change_pct,
+       coalesce((purchase_value - lag(purchase_value) OVER w) * 100.0 / nullif(lag(purchase_value) OVER w, 0) < -30.0, false) AS gmv_drop,
+       coalesce((errors - lag(errors) OVER w) * 100.0 / nullif(CAST(lag(errors) OVER w AS DOUBLE), 0) > 50.0, false) AS error_surge
 FROM closed WINDOW w AS (ORDER BY window_start)
 """)
 def stream_alerts(m):
@@ -174,3 +174,22 @@ def stream_latest_orders(m):
     t = jobs.latest_n(m.spark, rows, ["paid_at", "order_id"], 20)
     return t.select("order_id", F.date_format("paid_at", "yyyy-MM-dd HH:mm:ss").alias("paid_at"),
                     F.col("gmv").cast("double").alias("gmv"))
+
+
+@register("stream_order_alerts", with_std(MAPPED_A + """
+, d AS (
+  SELECT strftime(date_trunc('day', paid_at), '%Y-%m-%d') AS day,
+         CAST(sum(CASE WHEN status <> 'refunded' THEN gmv ELSE 0 END) AS DOUBLE) AS gmv,
+         CAST(count(*) AS BIGINT) AS orders, CAST(count(*) FILTER (WHERE status = 'refunded') AS BIGINT) AS refunds
+  FROM mapped_a WHERE paid_at IS NOT NULL GROUP BY 1
+), r AS (SELECT *, refunds * 100.0 / orders AS rr FROM d)
+SELECT day, round(gmv, 2) AS gmv, orders, refunds, round(rr, 2) AS refund_rate,
+       coalesce((gmv - lag(gmv) OVER w) * 100.0 / nullif(lag(gmv) OVER w, 0) < -30.0, false) AS gmv_drop,
+       coalesce(rr - lag(rr) OVER w > 10.0, false) AS refund_surge
+FROM r WINDOW w AS (ORDER BY day)
+"""))
+def stream_order_alerts(m):
+    """R6s: day-over-day gmv-drop and refund-rate-surge flags maintained from the order stream."""
+    landing = _land_deliveries(m, "alerts")
+    rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
+    return jobs.order_alerts(jobs.daily_order_kpis(m.spark, rows))
