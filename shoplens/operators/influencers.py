@@ -191,7 +191,7 @@ def match_scores(requests: DataFrame, influencers: DataFrame) -> DataFrame:
     Unknown name -> 72.  Known -> clamp(int(roi*30 + min(followers,1e6)/1e6*40),
     20, 98) with roi null/0 -> 1.0 and followers from the request; a suspicious
     influencer scores 25.  A name matching several influencers uses the one
-    with the highest gmv (the reference takes the first of its top-N list).
+    with the highest gmv (the source system takes the first of its top-N list).
     """
     best = (influencers.groupBy("name")
             .agg(F.max(F.struct("gmv", F.col("creator_id"), "roi", F.col("is_suspicious"))).alias("b"))

@@ -2,7 +2,7 @@
 
 All inputs are standard-order DataFrames; all outputs are small aggregated
 frames.  Current and previous periods come out of one scan with conditional
-aggregates (the reference issues one query per period).
+aggregates (the source system issues one query per period).
 """
 
 from __future__ import annotations
