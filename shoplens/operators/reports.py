@@ -154,25 +154,34 @@ def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFra
 
 def daily_digest(orders: DataFrame, influencers: DataFrame, window: Window, date_label: str,
                  report_md: str = "", max_chars: int = 6000, **rule) -> DataFrame:
-    """Digest card row -- totals, top 3 products, suspicious warnings;
-    header colour red iff any influencer matches F9; summary cut at ``max_chars``."""
+    """Digest card row -- totals, top 3 products and suspicious warnings
+    as card text; header colour red iff any influencer matches F9; summary
+    cut at ``max_chars``.  Lists are top-k (3 and 10 rows) and joined into
+    text in an explicit order."""
     tot = sales_totals(orders, window)
-    top3 = _collect(tool_top_products(orders, window, limit=3), ["product", "gmv", "orders"],
-                    F.struct(-F.col("gmv"), F.col("product")), "top_products")
+    top3 = tool_top_products(orders, window, limit=3)
+    top_text = top3.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("gmv")).alias("o"), F.col("product"), F.col("gmv")))),
+        lambda x: F.concat(x["product"], F.lit(" ¥"), F.format_number(x["gmv"], 2))), "\n").alias("top_products_text"))
     sus = influencers.where(X.suspicious(**rule))
     sus_n = sus.agg(F.count(F.lit(1)).alias("suspicious_count"))
-    sus_l = _collect(sus.orderBy(F.col("engagement_rate").desc(), "creator_id").limit(10),
-                     ["creator_id", "name", "engagement_rate", "conversion_rate"],
-                     F.struct(-F.col("engagement_rate"), F.col("creator_id")), "warnings")
-    row = X.attach(X.attach(X.attach(tot, top3), sus_n), sus_l)
+    warn = sus.orderBy(F.col("engagement_rate").desc(), "creator_id").limit(10)
+    warn_text = warn.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("engagement_rate")).alias("o"), F.col("creator_id"), F.col("name"),
+                                             F.col("engagement_rate"), F.col("conversion_rate")))),
+        lambda x: F.concat(F.lit("🚨 "), x["name"], F.lit(" 互动率 "), F.format_number(x["engagement_rate"], 1),
+                           F.lit("% 转化率 "), F.format_number(x["conversion_rate"], 2), F.lit("%"))), "\n").alias("warnings_text"))
+    row = X.attach(X.attach(X.attach(tot, top_text), sus_n), warn_text)
     lines = F.concat_ws("\n",
-                        F.format_string("GMV: ¥%s", F.format_number("gmv", 2)),
+                        F.concat(F.lit("GMV: ¥"), F.format_number("gmv", 2)),
                         F.format_string("订单数: %d", F.col("orders")),
-                        F.format_string("客单价: ¥%s", F.format_number("avg_order_value", 2)))
+                        F.concat(F.lit("客单价: ¥"), F.format_number("avg_order_value", 2)))
     return row.select(
         F.lit(f"每日经营日报 {date_label}").alias("title"),
         F.when(F.col("suspicious_count") > 0, "red").otherwise("blue").alias("header_template"),
-        lines.alias("kpi_text"), "top_products", "suspicious_count", "warnings",
+        lines.alias("kpi_text"), F.coalesce("top_products_text", F.lit("")).alias("top_products_text"),
+        F.col("suspicious_count").cast("bigint").alias("suspicious_count"),
+        F.coalesce("warnings_text", F.lit("")).alias("warnings_text"),
         F.substring(F.lit(report_md or ""), 1, max_chars).alias("summary"))
 
 
@@ -184,7 +193,10 @@ def period_label(start: str, end: str) -> str:
 def period_report(summary: DataFrame, platforms: DataFrame, buckets: DataFrame, start: str, end: str) -> DataFrame:
     """Markdown period report over the card summary (A29), platform mix
     (A30) and roi buckets (A31).  All three inputs are small bounded frames."""
-    pl = platforms.agg(F.array_join(F.collect_list(F.format_string("- %s: %d", "platform", "count")), "\n").alias("pl"))
+    # explicit order (count desc, platform): collect_list alone keeps no order
+    pl = platforms.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), F.col("platform"), F.col("count")))),
+        lambda x: F.format_string("- %s: %d", x["platform"], x["count"])), "\n").alias("pl"))
     bk = buckets.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "range", "count"))),
                                               lambda x: F.format_string("- ROI %s: %d", x["range"], x["count"])), "\n").alias("bk"))
     row = X.attach(X.attach(summary, pl), bk)

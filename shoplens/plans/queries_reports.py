@@ -203,10 +203,39 @@ def fallback_report(m):
     return reports.fallback_report(m.orders, m.products, m.influencers, W365, "weekly")
 
 
-@register("daily_digest")
+@register("daily_digest", with_std(f"""
+, tot AS (
+  SELECT CAST(round(coalesce(sum(gmv), 0), 2) AS DOUBLE) AS gmv, CAST(count(*) AS BIGINT) AS orders,
+         coalesce(round(CAST(sum(gmv) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0) AS aov
+  FROM std_orders WHERE {IN30}
+), top3 AS (
+  SELECT product_name AS product, CAST(round(sum(gmv), 2) AS DOUBLE) AS g
+  FROM std_orders WHERE {IN30} GROUP BY product_name ORDER BY sum(gmv) DESC, product_name LIMIT 3
+), tt AS (
+  SELECT string_agg(product || ' ¥' || format('{{:,.2f}}', g), chr(10) ORDER BY g DESC, product) AS t FROM top3
+), sus AS (
+  SELECT * FROM std_influencers
+  WHERE coalesce(is_suspicious, false)
+     OR (coalesce(engagement_rate, 0) >= 20.0 AND conversion_rate IS NOT NULL AND conversion_rate < 0.5)
+), warn AS (SELECT * FROM sus ORDER BY engagement_rate DESC, creator_id LIMIT 10),
+wt AS (
+  SELECT string_agg('🚨 ' || name || ' 互动率 ' || format('{{:,.1f}}', engagement_rate) || '% 转化率 '
+                    || format('{{:,.2f}}', conversion_rate) || '%', chr(10) ORDER BY engagement_rate DESC, creator_id) AS w
+  FROM warn
+)
+SELECT '每日经营日报 {W30.label_end}' AS title,
+       CASE WHEN (SELECT count(*) FROM sus) > 0 THEN 'red' ELSE 'blue' END AS header_template,
+       concat_ws(chr(10), 'GMV: ¥' || format('{{:,.2f}}', gmv), printf('订单数: %d', orders),
+                 '客单价: ¥' || format('{{:,.2f}}', aov)) AS kpi_text,
+       coalesce((SELECT t FROM tt), '') AS top_products_text,
+       CAST((SELECT count(*) FROM sus) AS BIGINT) AS suspicious_count,
+       coalesce((SELECT w FROM wt), '') AS warnings_text,
+       '' AS summary
+FROM tot
+""", influencers=True))
 def daily_digest(m):
-    """Daily digest card (rows-only check)."""
-    return reports.daily_digest(m.orders, m.influencers, W30, W30.label_end)
+    """Daily digest card (totals, top 3, suspicious warnings) as card text."""
+    return reports.daily_digest(m.orders_in(W30), m.influencers, W30, W30.label_end)
 
 
 # ---------------------------------------------------------------- influencer cards
@@ -260,9 +289,30 @@ def top_followers(m):
     return inf.top_followers(inf.cards(m.influencers))
 
 
-@register("period_report")
+@register("period_report", with_std(CARDS_CTE + f"""
+, summ AS (
+  SELECT count(*) AS total, CAST(coalesce(sum(coalesce(followers, 0)), 0) AS BIGINT) AS total_followers,
+         coalesce(round(avg(roi), 2), 0) AS avg_roi, count(*) FILTER (WHERE is_suspicious) AS suspicious
+  FROM cards
+), pl AS (
+  SELECT string_agg(printf('- %s: %d', platform, cnt), chr(10) ORDER BY cnt DESC, platform) AS pl
+  FROM (SELECT coalesce(platform, '未知') AS platform, count(*) AS cnt FROM cards GROUP BY 1)
+), b AS (
+  SELECT CASE WHEN roi < 1 THEN '0-1' WHEN roi >= 1 AND roi < 3 THEN '1-3' WHEN roi >= 3 AND roi < 5 THEN '3-5'
+              WHEN roi >= 5 THEN '5+' END AS range, count(*) AS n
+  FROM cards WHERE roi IS NOT NULL GROUP BY 1
+), bk AS (
+  SELECT string_agg(printf('- ROI %s: %d', names.range, coalesce(n, 0)), chr(10) ORDER BY names.idx) AS bk
+  FROM (VALUES (0, '0-1'), (1, '1-3'), (2, '3-5'), (3, '5+')) AS names(idx, range) LEFT JOIN b USING (range)
+)
+SELECT '{W30.label_start} ~ {W30.label_end}' AS period,
+       concat_ws(chr(10), '# 达人周期报告 {W30.label_start} ~ {W30.label_end}', printf('达人总数: %d', total),
+                 '粉丝总量: ' || format('{{:,}}', total_followers), printf('平均ROI: %.2f', avg_roi),
+                 printf('疑似水军: %d', suspicious), '## 平台分布', pl, '## ROI 分布', bk) AS markdown
+FROM summ, pl, bk
+""", influencers=True))
 def period_report(m):
-    """Markdown period report over the card aggregates (rows-only)."""
+    """Markdown period report over the card aggregates."""
     c = inf.cards(m.influencers)
     return reports.period_report(inf.card_summary(c), inf.platform_mix(c), inf.roi_buckets(c),
                                  W30.label_start, W30.label_end)
