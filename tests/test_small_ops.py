@@ -83,3 +83,15 @@ def test_display_formatting(spark):
         ("¥1,234.50", "฿1,235", "07-16", "15.2 万", "N/A"),
         ("¥2.91", "2.9%", "07-01", "8,700", "N/A"),
         ("¥0.00", "-", None, "—", "N/A")]
+
+
+def test_shop_list_default_row_when_empty(spark):
+    from shoplens.operators import breakdowns
+    sch = "shop_id string, gmv decimal(14,2), status string"
+    empty = spark.createDataFrame([], sch)
+    rows = breakdowns.shop_list(empty).collect()
+    assert [(r["shop_id"], r["name"], r["order_count"], r["gmv"]) for r in rows] == [("", "默认店铺", 0, 0.0)]
+    from decimal import Decimal
+    some = spark.createDataFrame([(None, Decimal("10.00"), "paid"), ("SHOP_1", Decimal("5.00"), "refunded")], sch)
+    got = sorted((r["shop_id"], r["name"], r["order_count"], r["gmv"]) for r in breakdowns.shop_list(some).collect())
+    assert got == [("", "默认店铺", 1, 10.0), ("SHOP_1", "SHOP_1", 1, 5.0)]
