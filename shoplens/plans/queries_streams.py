@@ -193,3 +193,13 @@ def stream_order_alerts(m):
     landing = _land_deliveries(m, "alerts")
     rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
     return jobs.order_alerts(jobs.daily_order_kpis(m.spark, rows))
+
+
+@register("stream_dedup_batched", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+def stream_dedup_batched(m):
+    """R5s (batch-wise): repeated deliveries dropped with a map-side combine per
+    micro-batch and a published table of seen keys (exactly-once on replay)."""
+    table = U.staging_path(m.spark, "dedup-batched")
+    s = jobs.event_stream(m.spark, m.sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return jobs.dedup_batched(m.spark, s, ["l_orderkey", "l_linenumber"], "l_shipdate", table).select(
+        "l_orderkey", "l_linenumber")
