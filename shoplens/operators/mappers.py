@@ -126,7 +126,9 @@ def map_platform_a_product(raw: DataFrame) -> DataFrame:
     price chain, product price fallback; total_gmv 0 on insert)."""
     cats = F.coalesce(F.when(F.size("categories") > 0, F.col("categories")),
                       F.when(F.size("recommended_categories") > 0, F.col("recommended_categories")))
-    cat = F.coalesce(F.try_element_at(cats, F.lit(-1))["name"], X.first_truthy(F.col("category"), F.col("category_name")))
+    # a non-empty category list decides, even when its last entry has no name
+    cat = F.when(cats.isNotNull(), F.try_element_at(cats, F.lit(-1))["name"]).otherwise(
+        X.first_truthy(F.col("category"), F.col("category_name")))
     sku = F.try_element_at(F.col("skus"), F.lit(1))["price"]
     p1 = F.coalesce(_num(X.first_truthy_num(sku["tax_exclusive_price"], sku["original_price"], sku["price"])), F.lit(0.0))
     p2 = F.coalesce(_num(X.first_truthy_num(F.col("price"), F.col("original_price"))), F.lit(0.0))
