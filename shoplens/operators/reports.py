@@ -235,3 +235,12 @@ def report_with_dataset(reports_df: DataFrame, datasets: DataFrame) -> DataFrame
     """Each report with the summary of the dataset it analyses."""
     d = datasets.select("dataset_id", F.col("filename"), F.col("summary").alias("dataset_summary"))
     return reports_df.join(d, "dataset_id", "left")
+
+
+def generate_report(model, kind: str, as_of, site_code: str | None = None) -> DataFrame:
+    """F19 + A21: the structured report for a weekly / monthly / last30 /
+    daily range ending at ``as_of`` (inclusive days), over a ``Model``."""
+    from shoplens.functions import periods
+    start, end = periods.report_range(kind, as_of)
+    w = periods.inclusive_days(start, end)
+    return fallback_report(model.orders, model.products, model.influencers, w, kind, site_code)

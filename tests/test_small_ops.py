@@ -95,3 +95,14 @@ def test_shop_list_default_row_when_empty(spark):
     some = spark.createDataFrame([(None, Decimal("10.00"), "paid"), ("SHOP_1", Decimal("5.00"), "refunded")], sch)
     got = sorted((r["shop_id"], r["name"], r["order_count"], r["gmv"]) for r in breakdowns.shop_list(some).collect())
     assert got == [("", "默认店铺", 1, 10.0), ("SHOP_1", "SHOP_1", 1, 5.0)]
+
+
+def test_generate_report_ranges(spark):
+    from shoplens.operators import reports
+    from shoplens.sources.tables import Model
+    m = Model(spark, "/root/testdata/sf0.001")
+    r = reports.generate_report(m, "monthly", "1998-06-30").first()
+    assert r["report_type"] == "monthly" and r["period"] == "1998-06-01 ~ 1998-06-30"
+    w = reports.generate_report(m, "weekly", "1998-06-30").first()
+    assert w["period"] == "1998-06-24 ~ 1998-06-30"
+    assert w["core_summary"]["total_orders"] <= r["core_summary"]["total_orders"]
