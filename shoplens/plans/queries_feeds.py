@@ -48,8 +48,9 @@ def landed(m, name: str, bodies: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- platform A orders
-def platform_a_pages(m) -> DataFrame:
-    o = m.orders.where(F.col("platform") == "tiktok")
+def platform_a_pages(m, orders: DataFrame | None = None) -> DataFrame:
+    """Platform A order pages built from (a slice of) the standard orders."""
+    o = (m.orders if orders is None else orders).where(F.col("platform") == "tiktok")
     raw_status = (F.when(F.col("is_sample_order"), "PARTIAL_SHIP").when(F.col("status") == "refunded", "CANCELLED")
                    .when(F.col("status") == "completed", "delivered").when(F.col("status") == "shipped", "IN_TRANSIT")
                    .otherwise("AWAITING_SHIPMENT"))

@@ -118,14 +118,11 @@ def _land_deliveries(m, name: str) -> str:
 
 
 def platform_a_pages_split(m):
+    """Two deliveries: orders paid before 1998, then the rest."""
     from shoplens.plans import queries_feeds as QF
-    early = m.orders.where(F.col("paid_at") < F.lit("1998-01-01").cast("timestamp"))
-    late = m.orders.where(F.col("paid_at") >= F.lit("1998-01-01").cast("timestamp"))
-
-    class _M:  # same model, orders restricted to one delivery
-        def __init__(self, o):
-            self.orders, self.raw, self.spark = o, m.raw, m.spark
-    return [QF.platform_a_pages(_M(early)), QF.platform_a_pages(_M(late))]
+    cut = F.lit("1998-01-01").cast("timestamp")
+    return [QF.platform_a_pages(m, m.orders.where(F.col("paid_at") < cut)),
+            QF.platform_a_pages(m, m.orders.where(F.col("paid_at") >= cut))]
 
 
 def _parse_a(batch):
