@@ -202,7 +202,7 @@ def site_breakdown(orders: DataFrame, window: Window) -> DataFrame:
                                                F.avg("gmv").alias("a"))
     return g.select("site_code", F.coalesce("currency", F.lit("USD")).alias("currency"),
                     X.money_out("g").alias("total_gmv"), F.col("orders").cast("bigint").alias("total_orders"),
-                    X.money_out("a").alias("avg_order_value"))
+                    X.money_out("a").alias("avg_order_value")).orderBy(F.col("total_gmv").desc(), "site_code", "currency")
 
 
 # ---------------------------------------------------------------- influencer scatter
