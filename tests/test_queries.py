@@ -65,3 +65,19 @@ def test_query_matches_oracle(spark, duck, name):
     idx = sorted(range(len(ocols)), key=lambda i: ocols[i])
     orows = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=_key)
     assert srows == orows
+
+
+def test_fallback_report_matches_its_parts(spark):
+    q = entry.queries()
+    rep = q["fallback_report"](spark, SF).first()
+    tot = q["sales_totals"](spark, SF).first()
+    assert (rep["core_summary"]["total_gmv"], rep["core_summary"]["total_orders"]) == (tot["gmv"], tot["orders"])
+    rb = q["red_black_products"](spark, SF).collect()
+    red = [r["product_id"] for r in sorted((r for r in rb if r["list"] == "red"), key=lambda r: r["pos"])]
+    black = [r["product_id"] for r in sorted((r for r in rb if r["list"] == "black"), key=lambda r: r["pos"])]
+    assert [x["product_id"] for x in rep["product_red_list"]] == red
+    assert [x["product_id"] for x in rep["product_black_list"]] == black
+    sites = sorted((r["site_code"], r["currency"], r["total_gmv"]) for r in q["site_breakdown"](spark, SF).collect())
+    assert sorted((x["site_code"], x["currency"], x["total_gmv"]) for x in rep["site_breakdown"]) == sites
+    reds = [r["influencer_id"] for r in q["influencer_red_list"](spark, SF).collect()]
+    assert sorted(x["influencer_id"] for x in rep["influencer_red_list"]) == sorted(reds)
