@@ -45,27 +45,46 @@ def configure(spark: SparkSession) -> SparkSession:
     """
     for k, v in SQL_CONF.items():
         spark.conf.set(k, v)
-    master = spark.sparkContext.master or ""
+    sc = _context(spark)
+    master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
     if not master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        n = max(MIN_CLUSTER_SHUFFLE_PARTITIONS, 3 * spark.sparkContext.defaultParallelism)
+        n = max(MIN_CLUSTER_SHUFFLE_PARTITIONS, 3 * (sc.defaultParallelism if sc is not None else 0))
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where there is none (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no context
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    """Application id (session-scoped caches key on it)."""
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "session")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, streaming checkpoints and staged tables.
 
     Reads ``spark.checkpoint.dir`` from the session (on a cluster it names a
     shared file system).  Only when it is unset -- local tests -- a fresh
-    temporary folder is created and recorded in the session.
+    temporary folder is created and recorded in the session.  The context's
+    checkpoint directory is kept in step, so ``DataFrame.checkpoint()`` works
+    even when the setting was changed at runtime.
     """
+    sc = _context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

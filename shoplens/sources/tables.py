@@ -243,8 +243,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str
     the model: dashboards query the stored table (as the source system's
     dashboards query its standard tables), and the write cuts the lineage of
     the 7-way binding join and the dedup."""
-    from shoplens.session import checkpoint_root
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name, _fingerprint(sf_dir, sources))
+    from shoplens.session import app_id, checkpoint_root
+    key = (app_id(spark), os.path.abspath(sf_dir), name, _fingerprint(sf_dir, sources))
     path = _STORED.get(key)
     if path is None:
         t0 = time.perf_counter()
@@ -276,8 +276,8 @@ def landed(spark: SparkSession, sf_dir: str, name: str, write, sources: list[str
     ``sf_dir``, written once per session by ``write(path)`` under
     ``spark.checkpoint.dir``.  These are the inputs the feed and upload
     operators read -- files that already exist in a real deployment."""
-    from shoplens.session import checkpoint_root
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), "landed:" + name, _fingerprint(sf_dir, sources))
+    from shoplens.session import app_id, checkpoint_root
+    key = (app_id(spark), os.path.abspath(sf_dir), "landed:" + name, _fingerprint(sf_dir, sources))
     path = _STORED.get(key)
     if path is None:
         t0 = time.perf_counter()
