@@ -298,8 +298,9 @@ def _month(d: dt.datetime) -> str:
 class Model:
     """The three standard tables for one data directory.
 
-    Orders and influencers are stored once per session (``stored``); orders
-    are partitioned by ``paid_month`` so a paid-date window prunes partitions.
+    All three are stored once per session (``stored``) unless ``store=False``;
+    orders are partitioned by ``paid_month`` so a paid-date window prunes
+    partitions.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
