@@ -20,6 +20,8 @@ def _one(spark, expr, value, dtype="string"):
     ("¥1,234.50", 1234.5), ("￥2,100.00", 2100.0), ("$99", 99.0), ("12.3%", 0.123), ("1.2万", 12000.0),
     ("15.2万", 152000.0), ("3k", 3000.0), ("3K", 3000.0), (" 42 ", 42.0), ("abc", None), ("", None), (None, None),
     ("1e3", 1000.0), ("-5", -5.0),
+    # whitespace rules of the source parser: strip first, then drop symbols, the number may keep inner spaces
+    ("¥ 1,234", 1234.0), ("1.2 万", 12000.0), ("3k%", None), ("-", None), ("$1,000.50", 1000.5),
 ])
 def test_parse_dirty_number(spark, text, expected):
     got = _one(spark, X.parse_dirty_number, text)
