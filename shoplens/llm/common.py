@@ -109,3 +109,14 @@ def row_numbers(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     start = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for p in starts for x in p]), F.col("pid").cast("bigint"))
     w = Window.partitionBy("pid").orderBy(*[F.col(c).asc_nulls_first() for c in order], "salt")
     return parts.withColumn("row", F.row_number().over(w) - 1 + start).drop("pid", "salt"), total
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` (a stored table) with a broadcast hint if it has ``max_rows`` rows
+    at most; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= max_rows else df

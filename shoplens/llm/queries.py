@@ -3,9 +3,10 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import feistel
+from shoplens.llm import feistel, imatch
 
 QUERIES = {
+    "op5_imatch": imatch.op5_imatch,
     "op8_feistel_shards": feistel.op8_feistel_shards,
 }
 
