@@ -3,11 +3,16 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import feistel, imatch
+from shoplens.llm import containment, feistel, imatch, winnow
 
 QUERIES = {
+    "op6_containment": containment.op6_containment,
+    "op7_winnow_lines": winnow.op7_winnow_lines,
     "op5_imatch": imatch.op5_imatch,
     "op8_feistel_shards": feistel.op8_feistel_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_containment": containment.ORACLE,
+    "op7_winnow_lines": winnow.ORACLE,
+}
