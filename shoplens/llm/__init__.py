@@ -1,4 +1,12 @@
 """Operators for preparing language-model training data, one module each.
 
-Nothing outside this folder (and ``corpus_pipeline.py``) imports it.
+Nothing outside this folder (and ``corpus_pipeline.py``) imports it.  Functions
+that run in Python workers are sent by value, so executors need no copy of the
+package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
