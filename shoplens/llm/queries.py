@@ -3,9 +3,10 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, factor_machine, feistel, imatch, winnow
+from shoplens.llm import containment, crf, factor_machine, feistel, imatch, winnow
 
 QUERIES = {
+    "op4_crf_toxicity": crf.op4_crf_toxicity,
     "op10_factor_machine": factor_machine.op10_factor_machine,
     "op6_containment": containment.op6_containment,
     "op7_winnow_lines": winnow.op7_winnow_lines,
