@@ -3,9 +3,11 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, crf, factor_machine, feistel, imatch, winnow
+from shoplens.llm import containment, crf, factor_machine, feistel, imatch, mixing, winnow, zstd_ids
 
 QUERIES = {
+    "op2_soft_mixing": mixing.op2_soft_mixing,
+    "op9_zstd_ids": zstd_ids.op9_zstd_ids,
     "op4_crf_toxicity": crf.op4_crf_toxicity,
     "op10_factor_machine": factor_machine.op10_factor_machine,
     "op6_containment": containment.op6_containment,
