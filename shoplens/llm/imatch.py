@@ -100,20 +100,26 @@ def imatch_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH,
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("after"), F.lit(1), half))
     paired = (rows.withColumn("after", F.coalesce(F.lead("text").over(order), F.lit("")))
               .withColumn("row", F.row_number().over(order))
-              .select("part", "row", "extra", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited")))
-    marks = lambda text, which: F.concat(
-        F.array(F.struct(F.lit(which).alias("edited"), F.lit(None).cast("bigint").alias("term"))),
-        F.transform(terms(text), lambda h: F.struct(F.lit(which).alias("edited"), h.alias("term"))))
+              .select("part", "row", "extra", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+              .withColumn("text_terms", terms(F.col("text"))).withColumn("edited_terms", terms(F.col("edited"))))
+
+    def marks(of: str, which: int) -> Column:
+        """One entry with what the result needs, one for each term."""
+        info = F.struct("extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
+                        F.when(F.size(of) > 0, F.xxhash64(F.sort_array(of))).alias("all_terms"))
+        key = F.col("row").cast("bigint") * 2 + which
+        return F.concat(
+            F.array(F.struct(key.alias("key"), F.lit(None).cast("bigint").alias("term"), info.alias("info"))),
+            F.transform(of, lambda h: F.struct(key.alias("key"), h.alias("term"), F.lit(None).cast(
+                "struct<extra:int,doc_id:bigint,n_chars:bigint,sha:string,all_terms:bigint>").alias("info"))))
+
     # Grouping keeps the partitioning by part: no shuffle from here on.
-    each = (paired.select("part", "row", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
-                          F.explode(F.concat(marks(F.col("text"), 0), marks(F.col("edited"), 1))).alias("t"))
-            .select("part", "row", "extra", "doc_id", "n_chars", "sha", "t.*")
-            .join(lex, "term", "left")
-            .groupBy("part", "row", "edited")
-            .agg(F.sort_array(F.collect_list(F.when(F.col("in_band"), F.col("term")))).alias("in_band"),
-                 F.bit_xor("term").alias("all_terms"),
-                 *[F.first(c).alias(c) for c in ("extra", "doc_id", "n_chars", "sha")])
-            .withColumn("fp", fingerprint(F.col("in_band"), F.col("all_terms"))))
+    each = (paired.select("part", F.explode(F.concat(marks("text_terms", 0), marks("edited_terms", 1))).alias("t"))
+            .select("part", "t.*").join(lex, "term", "left").where("term IS NULL OR in_band")
+            .groupBy("key", "part").agg(F.sort_array(F.collect_list("term")).alias("in_band"),
+                                        F.first("info", ignorenulls=True).alias("info"))
+            .select("part", F.shiftright("key", 1).alias("row"), (F.col("key") % 2).alias("edited"), "info.*",
+                    fingerprint(F.col("in_band"), F.col("info.all_terms")).alias("fp")))
     both = each.groupBy("part", "row").agg(
         *[F.first(c).alias(c) for c in ("extra", "doc_id", "n_chars", "sha")],
         F.max(F.when(F.col("edited") == 0, F.col("fp"))).alias("fingerprint"),
