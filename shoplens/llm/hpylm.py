@@ -31,6 +31,7 @@ unknown word; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -151,6 +152,11 @@ def send_cells(rows: Iterable, n: int, spread: np.ndarray) -> Iterator[tuple]:
                        b.hashes[b.word[cells]].tobytes(), pressed(b.counts[cells].astype(np.int32)))
 
 
+def place(batch: int, n: int) -> int:
+    """Partition of a batch."""
+    return int((batch >> 32) * 7 + (batch & 0xFFFFFFFF)) % n
+
+
 # -- seating ----------------------------------------------------------------
 def log_stirling(d: float) -> np.ndarray:
     """log generalised Stirling numbers S(c, t) for c, t up to STIRLING."""
@@ -197,7 +203,8 @@ def reseat(c, first, p, d, rng) -> np.ndarray:
         with np.errstate(over="ignore", divide="ignore"):
             m = np.ceil(d * tl + (n[live] - d * tl) * rng.random(len(live)) ** (-1 / weight))
         opened = m < c[live]
-        live, n[live] = live[opened], m + 1
+        live = live[opened]
+        n[live] = m[opened] + 1
         t[live] += 1
     return t
 
@@ -263,7 +270,23 @@ class Bucket:
         pairs = [totals[int(u)] for u in self.contexts[self.spread]]
         return weight, (np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], np.int64))
 
-    def ask(self, t: np.ndarray, with_words: bool) -> Iterator[tuple]:
+    def answered(self, answers: dict[int, dict], stats: list[dict], burn_in: int) -> Iterator[tuple]:
+        """To every batch the averaged probability of each of its cells, and the
+        customers of its contexts."""
+        total, d, n = np.zeros(len(self.c)), stats[0]["d"], 0
+        for k, (t, per_context, p, customers) in enumerate(islice(self.states(answers, stats), len(stats))):
+            if k >= burn_in:
+                back = (THETA + d * per_context)[self.context_of] * p[self.word_of]
+                total += (np.maximum(self.c - d * t, 0) + back) / (THETA + customers[self.context_of])
+                n += 1
+        at = 0
+        for r, head, size in zip(self.sent, self.heads, self.n_cells, strict=True):
+            cells = self.cell_of[at:at + size]
+            at += size
+            yield r[1], (self.number, (total[cells] / n).astype(np.float32).tobytes(),
+                         pressed(customers[np.searchsorted(self.contexts, head)].astype(np.int64)))
+
+    def ask(self, t: np.ndarray, state: int) -> Iterator[tuple]:
         """Tables per word to the words' parts; of spread contexts the customers
         and tables here."""
         per_word = np.bincount(self.word_of, t, len(self.words)).astype(np.int64)
@@ -277,20 +300,20 @@ class Bucket:
             mine = self.order[self.cuts[part]:self.cuts[part + 1]]
             own = part == self.number % self.parts
             if len(mine) or part in heavy or own:
-                yield part, ("tables", self.number, self.words[mine].tobytes() if with_words else b"",
+                yield part, ("tables", self.number, b"" if state else self.words[mine].tobytes(),
                              pressed(per_word[mine].astype(np.int32)), heavy.get(part, {}),
-                             (int(self.c.sum()), int(seen[1]), int(seen[2])) if own else (0, 0, 0))
+                             (int(self.c.sum()), int(seen[1]), int(seen[2])) if own else (0, 0, 0), state)
 
 
 class Part:
     """The parent's customers for one part of the words."""
 
-    def __init__(self, number: int, names: list[tuple], asked: list[tuple]):
+    def __init__(self, number: int, records: list[tuple], state: int):
         self.number = number
-        self.names = sorted(names, key=lambda r: r[1])
-        by_bucket = {r[1]: r for r in asked}
-        self.asked = [by_bucket[r[1]] for r in self.names]
-        words = [np.frombuffer(r[2], np.uint64) for r in self.names]
+        names = sorted((r for r in records if r[6] == 0), key=lambda r: r[1])
+        by_bucket = {r[1]: r for r in records if r[6] == state}
+        self.asked = [by_bucket[r[1]] for r in names]
+        words = [np.frombuffer(r[2], np.uint64) for r in names]
         self.sizes = [len(w) for w in words]
         self.words, self.at = np.unique(np.concatenate(words), return_inverse=True)
         self.t = np.bincount(self.at, np.concatenate([loosed(r[3], np.int32) for r in self.asked]), len(self.words)).astype(np.int64)
@@ -311,6 +334,12 @@ class Part:
             yield r[1], (self.number, pressed(weight[a:z]), {u: totals[u] for u in r[4]})
 
 
+def last(items: Iterable):
+    for x in items:
+        pass
+    return x
+
+
 def grouped(records: Iterable) -> dict[int, list]:
     out: dict[int, list] = {}
     for key, value in records:
@@ -332,8 +361,8 @@ class Model:
         rows = docs.select("doc_id", "text", "train").mapInPandas(
             batches_of, "batch bigint, ids array<bigint>, train array<boolean>, lengths binary, vocabulary binary, tokens binary").rdd
         # one shuffle keeps the batches for both uses
-        self.batches = rows.map(lambda r: (int((r[0] >> 32) * 7 + (r[0] & 0xFFFFFFFF)) % n,
-                                           ("batch", (r[0], list(r[1]), list(r[2]), bytes(r[3]), bytes(r[4]), bytes(r[5]))))).partitionBy(n, same)
+        self.batches = rows.map(lambda r: (place(r[0], n), (
+            "batch", (r[0], list(r[1]), list(r[2]), bytes(r[3]), bytes(r[4]), bytes(r[5]))))).partitionBy(n, same)
         share = 1 / (4 * n)
         heavy = (self.batches.flatMap(lambda r: [*(b := Batch(r[1][1])).heavy(share / 2), (-1, len(b.tokens))])
                  .reduceByKey(lambda a, b: a + b, n))
@@ -343,11 +372,9 @@ class Model:
         self.cells = self.batches.mapPartitions(lambda rows: send_cells(((k, v[1]) for k, v in rows), n, spread)).partitionBy(n, same)
         self.answers, self.stats, names = [], [], None
         for state in range(sweeps + 1):
-            asked = self._buckets(lambda b, answers, stats, first=state == 0: b.ask(last(b.states(answers, stats))[0], first))
-            asked = asked.partitionBy(n, same)
-            names = asked if state == 0 else names
-            both = asked if state == 0 else names.union(asked)
-            self._root(both, state)
+            asked = self._buckets(lambda b, answers, stats, state=state: b.ask(last(b.states(answers, stats))[0], state)).partitionBy(n, same)
+            names = names or asked
+            self._root(asked if state == 0 else names.union(asked), state)
 
     def _buckets(self, act):
         n, spread, stats = self.n, self.spread, list(self.stats)
@@ -368,18 +395,84 @@ class Model:
         return rdd.mapPartitions(run)
 
     def _root(self, asked, state: int) -> None:
-        """Seats the parent for a state, and has its weights sent back."""
-        n_names = state + 1
+        """Seats the parent for a state and has its weights sent to the buckets."""
+        n = self.n
 
         def parts(records: Iterable) -> Iterator[Part]:
             for number, own in sorted(grouped(records).items()):
-                names = [r for r in own if r[2]] if n_names == 1 else [r for r in own if r[-1] == "names"]
-                yield Part(number, names, own if n_names == 1 else [r for r in own if r[-1] != "names"])
+                yield Part(number, own, state)
 
-        raise NotImplementedError
+        if state == 0:
+            def sums(records: Iterable) -> Iterator[tuple]:
+                for p in parts(records):
+                    tokens = np.array([r[5] for r in p.asked]).reshape(-1, 3).sum(axis=0)
+                    yield (*map(int, tokens), int((p.t > 0).sum()), int((p.t == 1).sum()), int((p.t == 2).sum()))
 
+            tokens, c1, c2, v, t1, t2 = np.array(asked.mapPartitions(sums).collect(), np.int64).reshape(-1, 6).sum(axis=0)
+            first = {"tokens": int(tokens), "v": int(v), "d": discount(int(c1), int(c2)), "d_root": discount(int(t1), int(t2))}
+        else:
+            first = self.stats[0]
+        d, v, before = first["d_root"], first["v"], self.stats[-1]["s"] if self.stats else first["v"]
 
-def last(items: Iterable):
-    for x in items:
-        pass
-    return x
+        def seats(records: Iterable) -> Iterator[tuple]:
+            for p in parts(records):
+                yield int(p.t.sum()), int(p.seated(d, v, before, state).sum())
+
+        t, s = np.array(asked.mapPartitions(seats).collect(), np.int64).reshape(-1, 2).sum(axis=0)
+        self.stats.append(first | {"t": int(t), "s": int(s)})
+
+        def answers(records: Iterable) -> Iterator[tuple]:
+            for p in parts(records):
+                for bucket, (number, raw, totals) in p.answers(p.seated(d, v, before, state), d):
+                    yield bucket, ("answer", state, number, raw, totals)
+
+        self.answers.append(asked.mapPartitions(answers).partitionBy(n, same))
+
+    def scores(self):
+        """RDD of (doc_id, train, n_tokens, n_known, train_tokens, base_score, score)."""
+        n, burn_in, spread, first = self.n, self.burn_in, self.spread, self.stats[0]
+
+        def reply(b: Bucket, answers: dict, stats: list) -> Iterator[tuple]:
+            for batch, (bucket, p, customers) in b.answered(answers, stats, burn_in):
+                yield place(batch, n), ("scores", batch, bucket, p, customers)
+
+        replies = self._buckets(reply).partitionBy(n, same)
+
+        def run(records: Iterable) -> Iterator[tuple]:
+            scores: dict[int, dict] = {}
+            rows = []
+            for _, r in records:
+                if r[0] == "scores":
+                    scores.setdefault(r[1], {})[r[2]] = r[3:]
+                else:
+                    rows.append(r[1])
+            for row in rows:
+                b = Batch(row)
+                p, customers = np.zeros(len(b.context)), np.zeros(len(b.hashes), np.int64)
+                for bucket, cells in b.routed(n, spread):
+                    probability, counts = scores[b.key][bucket]
+                    p[cells] = np.frombuffer(probability, np.float32)
+                    u = b.context[cells]
+                    customers[u[runs(u)]] = loosed(counts, np.int64)
+                customers[-2] = customers[-1]  # as many ends as starts
+                c = customers[b.tokens]
+                base = np.log10((c + 0.5) / (first["tokens"] + 0.5 * (first["v"] + 1)))
+                total = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731, B023
+                for out in zip(b.ids, b.train, b.lengths.tolist(), total((c > 0).astype(np.int64)).tolist(),
+                               total(base).tolist(), total(np.log10(p)[b.cell_of]).tolist(), strict=True):
+                    yield (*out[:4], first["tokens"], *out[4:])
+
+        return self.batches.union(replies).mapPartitions(run)
+
+
+def language_scores(docs: DataFrame) -> DataFrame:
+    """Scores of ``docs`` (doc_id, text, train) by a model of its train rows."""
+    return docs.sparkSession.createDataFrame(
+        Model(docs).scores(), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                              "base_score double, score double", verifySchema=False)
+
+
+def op1_pitman_yor(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold(5).eqNullSafe(1).alias("held"))
+    out = language_scores(docs.select("doc_id", "text", (~docs["held"]).alias("train")))
+    return out.selectExpr("doc_id", "NOT train AS held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

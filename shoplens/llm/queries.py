@@ -3,9 +3,10 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, crf, factor_machine, feistel, imatch, mixing, winnow, zstd_ids
+from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, winnow, zstd_ids
 
 QUERIES = {
+    "op1_pitman_yor": hpylm.op1_pitman_yor,
     "op2_soft_mixing": mixing.op2_soft_mixing,
     "op9_zstd_ids": zstd_ids.op9_zstd_ids,
     "op4_crf_toxicity": crf.op4_crf_toxicity,
