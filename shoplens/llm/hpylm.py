@@ -85,7 +85,7 @@ def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for doc_id, text, train in zip(f["doc_id"].astype("Int64"), f["text"], f["train"], strict=True):
             found = WORDS.findall((text or "").translate(ASCII_LOWER))
-            docs.append((None if doc_id is pd.NA else int(doc_id), bool(train)))
+            docs.append((None if doc_id is pd.NA else int(doc_id), train))
             tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
             size += len(found) + 1
             if size >= BATCH_TOKENS:

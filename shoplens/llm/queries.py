@@ -3,9 +3,10 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, winnow, zstd_ids
+from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, signature_tree, winnow, zstd_ids
 
 QUERIES = {
+    "op3_signature_tree": signature_tree.op3_signature_tree,
     "op1_pitman_yor": hpylm.op1_pitman_yor,
     "op2_soft_mixing": mixing.op2_soft_mixing,
     "op9_zstd_ids": zstd_ids.op9_zstd_ids,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_signature_tree": signature_tree.ORACLE,
     "op6_containment": containment.ORACLE,
     "op7_winnow_lines": winnow.ORACLE,
 }
