@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shoplens.llm.common import table
 from shoplens.llm.features import fold, labelled_sample
@@ -282,6 +283,20 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
         run, "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
+def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.__dict__)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = ToxicChain.__new__(ToxicChain)
+        m.__dict__.update(sent.value)
+        for b in batches:
+            texts = [t or "" for t in b]
+            yield pd.Series([s for at in range(0, len(texts), 1000) for s, _ in m.results(texts[at:at + 1000])], dtype="float64")
+
+    return docs.where(F.pandas_udf(run, "double")(F.col("text")) < threshold)
+
+
 def op4_crf_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold(5) != 0))
