@@ -72,9 +72,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = THRESHO
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     pairs = contaminated_pairs(docs, items)
-    bad = stored(pairs.select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct(), "contaminated")
-    same = text_key(F.col("text")).eqNullSafe(F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-    return docs.join(broadcast_if(bad, MAX_BROADCAST), same, "left_anti")
+    bad = stored(pairs.select("doc_id", "doc_key").distinct(), "contaminated")
+    whole = docs.select(F.struct("*").alias("doc"))  # no name can clash
+    same = text_key(F.col("doc.text")).eqNullSafe(F.col("doc_key")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))
+    return whole.join(broadcast_if(bad, MAX_BROADCAST), same, "left_anti").select("doc.*")
 
 
 def op6_containment(spark, sf_dir):

@@ -195,11 +195,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with each row repeated ``copies`` times (0: dropped)."""
-    fitted = rates(docs, labels, targets).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), "copies").dropDuplicates(["_id", "_key"])
-    same = (text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return (docs.join(fitted, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+    fitted = rates(docs, labels, targets).where("copies > 0").select("doc_id", "doc_key", "copies").dropDuplicates(["doc_id", "doc_key"])
+    whole = docs.select(F.struct("*").alias("doc"))  # no name can clash
+    same = (text_key(F.col("doc.text")) == F.col("doc_key")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))
+    return (whole.join(fitted, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+            .select("doc.*"))
 
 
 def op2_soft_mixing(spark, sf_dir):

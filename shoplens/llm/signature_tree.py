@@ -427,13 +427,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that of the least id."""
     found = stored(jaccard_components(docs), "components")
     kept = (found.groupBy("component").agg(F.min_by(F.struct("doc_id", "tag"), F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k"))
-            .select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag")).distinct())
-    tag = F.xxhash64("text")
-    out = docs.join(kept, tag.eqNullSafe(F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if found.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
-        return out
-    # rows equal in id and text: one stays
-    return out.withColumn("_tag", tag).dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+            .select("k.*").distinct())
+    whole = docs.select(F.struct("*").alias("doc"))  # no name can clash
+    text = F.xxhash64("doc.text")
+    out = whole.join(kept, text.eqNullSafe(F.col("tag")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    if not found.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        # rows equal in id and text: one stays
+        out = (out.select("doc", F.col("doc.doc_id").alias("doc_id"), text.alias("tag"))
+               .dropDuplicates(["doc_id", "tag"]).select("doc"))
+    return out.select("doc.*")
 
 
 def op3_signature_tree(spark, sf_dir):

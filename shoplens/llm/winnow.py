@@ -65,16 +65,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept lines, and ``n_lines`` and
     ``n_removed``."""
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    gone = repeated_lines(keyed.select("doc_id", F.col("_key").alias("doc_key"), "text"), min_words).select(
-        F.col("doc_id").alias("_id"), F.col("doc_key").alias("_gone_key"), "removed")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    joined = keyed.join(gone, (F.col("_key") == F.col("_gone_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return (joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-            .withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint"))
-            .withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
-            .drop("_key", "_id", "_gone_key", "removed"))
+    whole = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key"))  # no name can clash
+    gone = repeated_lines(docs.select("doc_id", text_key(F.col("text")).alias("doc_key"), "text"), min_words).alias("gone")
+    text = F.col("doc.text")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone.removed"), i)), "\n")
+    joined = whole.join(gone, (F.col("key") == F.col("doc_key")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    return joined.select(
+        *[F.col(f"doc.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
+        F.when(F.col("gone.removed").isNull(), text).otherwise(kept).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone.removed"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def op7_winnow_lines(spark, sf_dir):
