@@ -96,14 +96,16 @@ def red_list(performance: DataFrame, n: int = 5) -> DataFrame:
 
 
 def suspicious_top(influencers: DataFrame, n: int = 5, **rule) -> DataFrame:
-    """A20 (second half): influencers matching F9, highest engagement first."""
+    """A20 (second half): influencers matching F9, highest engagement first; the
+    stored ``suspicious_reason`` where there is one."""
+    reason = F.col("suspicious_reason") if "suspicious_reason" in influencers.columns else F.lit(None).cast("string")
     s = influencers.where(X.suspicious(**rule))
     return s.orderBy(F.col("engagement_rate").desc_nulls_last(), "creator_id").limit(n).select(
         F.col("creator_id").alias("influencer_id"), F.col("name").alias("influencer_name"),
         F.coalesce("followers", F.lit(0)).cast("bigint").alias("follower_count"),
         F.coalesce("engagement_rate", F.lit(0.0)).alias("engagement_rate"),
         F.coalesce("conversion_rate", F.lit(0.0)).alias("conversion_rate"),
-        F.lit("高互动低转化，疑似水军").alias("risk_reason"))
+        F.coalesce(reason, F.lit("互动多而成交极少")).alias("risk_reason"))
 
 
 # ---------------------------------------------------------------- influencer cards (webhook dashboard)

@@ -140,7 +140,7 @@ def map_platform_a_product(raw: DataFrame) -> DataFrame:
         _nonempty(F.substring(F.coalesce(cat, F.lit("")), 1, 64)).alias("category"),
         price.cast("decimal(12,2)").alias("price"),
         _zero().alias("total_gmv"),
-        F.coalesce(_int(X.first_truthy_num(F.col("sales_volume"), F.col("sold_count"), F.col("sales"))), F.lit(0)).cast("int").alias("total_sold"),
+        F.coalesce(_int(X.first_truthy_num(F.col("sales_volume"), F.col("sold_count"), F.col("sales"))), F.lit(0)).cast("bigint").alias("total_sold"),
     )
 
 

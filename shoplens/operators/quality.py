@@ -56,13 +56,18 @@ def window_timezone_diff(orders: DataFrame, window: Window, offset_hours: int =
 ORDER_ID_RE = r"^5[78].{16}$"
 
 
-def id_compliance(orders: DataFrame, products: DataFrame) -> DataFrame:
-    """A26 + F18: order ids of 18 chars starting 57/58, product ids of 17
-    chars -- compliant count and % per check."""
+def id_compliance(orders: DataFrame, products: DataFrame, platform: str = "tiktok") -> DataFrame:
+    """A26 + F18 for one platform: order ids of 18 chars starting 57/58, product
+    ids of 17 chars in the products and on the orders -- compliant count and %
+    per check."""
+    orders, products = (d.where(F.col("platform") == platform) for d in (orders, products))
+    by_length = F.count_if(F.length("product_id") == 17).alias("ok")
     o = orders.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("order_id").rlike(ORDER_ID_RE)).alias("ok"))
-    p = products.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("product_id") == 17).alias("ok"))
+    p = products.agg(F.count(F.lit(1)).alias("n"), by_length)
+    q = orders.where(F.col("product_id").isNotNull()).agg(F.count(F.lit(1)).alias("n"), by_length)
     out = (o.select(F.lit("order_id_format").alias("check"), "n", "ok")
-           .unionByName(p.select(F.lit("product_id_length").alias("check"), "n", "ok")))
+           .unionByName(p.select(F.lit("product_id_length").alias("check"), "n", "ok"))
+           .unionByName(q.select(F.lit("order_product_id_length").alias("check"), "n", "ok")))
     return out.select("check", F.col("n").cast("bigint").alias("total"), F.col("ok").cast("bigint").alias("compliant"),
                       F.coalesce(F.round(X.ratio(F.col("ok") * 100.0, "n"), 2), F.lit(0.0)).alias("pct"))
 

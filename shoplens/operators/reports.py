@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from shoplens.functions import exprs as X
 from shoplens.functions.periods import Window
 
+# Closes a digest summary that was cut.
+SUMMARY_CUT = "\n……（其余内容见完整报告）"
+
 def _zero():
     return F.lit(0).cast("decimal(14,2)")
 
@@ -130,20 +133,20 @@ def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFra
     for part in (trend, red_p, black_p, red_i, black_i, site_l):
         row = X.attach(row, part)
     trend_text = (F.when(F.col("trend") == "volatile",
-                         F.format_string("销售波动明显，峰值日GMV(%.2f)较均值(%.2f)高出约20%%以上。", F.col("max_gmv"), F.col("avg_gmv")))
+                         F.format_string("日销售额起伏较大：最高一天 %.2f，日均 %.2f。", F.col("max_gmv"), F.col("avg_gmv")))
                    .when(F.col("trend") == "dip",
-                         F.format_string("最低谷日GMV(%.2f)较均值(%.2f)低约20%%。", F.col("min_gmv"), F.col("avg_gmv")))
-                   .when(F.col("trend") == "stable", F.format_string("销售趋势平稳，日均GMV约%.2f。", F.col("avg_gmv")))
+                         F.format_string("最低一天仅 %.2f，明显少于日均 %.2f。", F.col("min_gmv"), F.col("avg_gmv")))
+                   .when(F.col("trend") == "stable", F.format_string("每日销售额基本持平，日均 %.2f。", F.col("avg_gmv")))
                    .otherwise(F.lit("")))
     n_black = F.size("influencer_black_list")
-    anomaly = F.when(n_black > 0, F.format_string("发现%d位疑似水军达人，特征为高互动率但极低转化率。", n_black)).otherwise(F.lit(""))
+    anomaly = F.when(n_black > 0, F.format_string("有 %d 位达人互动多而成交极少，需要核查。", n_black)).otherwise(F.lit(""))
     sugg = F.filter(F.array(
         F.when(F.size("product_red_list") > 0,
-               F.format_string("重点推广红榜Top 1商品「%s」。", F.col("product_red_list")[0]["product_name"])),
+               F.format_string("优先投放销售榜首商品「%s」。", F.col("product_red_list")[0]["product_name"])),
         F.when(F.size("influencer_red_list") > 0,
-               F.format_string("与红榜Top达人「%s」加深合作。", F.col("influencer_red_list")[0]["influencer_name"])),
-        F.when(n_black > 0, F.lit("立即暂停与黑榜达人的合作。")),
-        F.lit("持续监控各站点销售表现，优化跨站点资源分配。")), lambda x: x.isNotNull())
+               F.format_string("与销售领先的达人「%s」延长合作。", F.col("influencer_red_list")[0]["influencer_name"])),
+        F.when(n_black > 0, F.lit("待核查的达人暂不签新单。")),
+        F.lit("按站点跟踪销售变化，据此调配预算。")), lambda x: x.isNotNull())
     return row.select(
         F.lit(f"{report_type}分析报告").alias("report_title"), F.lit(report_type).alias("report_type"),
         F.lit(f"{window.label_start} ~ {window.label_end}").alias("period"),
@@ -156,8 +159,9 @@ def daily_digest(orders: DataFrame, influencers: DataFrame, window: Window, date
                  report_md: str = "", max_chars: int = 6000, **rule) -> DataFrame:
     """Digest card row -- totals, top 3 products and suspicious warnings
     as card text; header colour red iff any influencer matches F9; summary
-    cut at ``max_chars``.  Lists are top-k (3 and 10 rows) and joined into
-    text in an explicit order."""
+    cut at ``max_chars`` and then ends with a pointer to the full report.  Every
+    warning is listed (the card's text is one value by nature), in an explicit
+    order."""
     tot = sales_totals(orders, window)
     top3 = tool_top_products(orders, window, limit=3)
     top_text = top3.agg(F.array_join(F.transform(
@@ -165,8 +169,7 @@ def daily_digest(orders: DataFrame, influencers: DataFrame, window: Window, date
         lambda x: F.concat(x["product"], F.lit(" ¥"), F.format_number(x["gmv"], 2))), "\n").alias("top_products_text"))
     sus = influencers.where(X.suspicious(**rule))
     sus_n = sus.agg(F.count(F.lit(1)).alias("suspicious_count"))
-    warn = sus.orderBy(F.col("engagement_rate").desc(), "creator_id").limit(10)
-    warn_text = warn.agg(F.array_join(F.transform(
+    warn_text = sus.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("engagement_rate")).alias("o"), F.col("creator_id"), F.col("name"),
                                              F.col("engagement_rate"), F.col("conversion_rate")))),
         lambda x: F.concat(F.lit("🚨 "), x["name"], F.lit(" 互动率 "), F.format_number(x["engagement_rate"], 1),
@@ -182,7 +185,7 @@ def daily_digest(orders: DataFrame, influencers: DataFrame, window: Window, date
         lines.alias("kpi_text"), F.coalesce("top_products_text", F.lit("")).alias("top_products_text"),
         F.col("suspicious_count").cast("bigint").alias("suspicious_count"),
         F.coalesce("warnings_text", F.lit("")).alias("warnings_text"),
-        F.substring(F.lit(report_md or ""), 1, max_chars).alias("summary"))
+        F.lit(report_md if len(report_md) <= max_chars else report_md[:max_chars] + SUMMARY_CUT).alias("summary"))
 
 
 def period_label(start: str, end: str) -> str:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ from shoplens.functions.exprs import attach
 from shoplens.session import checkpoint_root
 
 
+# Longer key lists are joined by a shuffle (or as the planner finds).
+MAX_BROADCAST_KEYS = 100_000
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """W4 / dedup: the row with the greatest ``order`` tuple per key (ties must
     be broken by ``order`` itself for a deterministic result)."""
@@ -46,14 +51,16 @@ def _valid_key(keys: list[str]) -> Column:
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column],
-           keep_newer_target: bool = False) -> DataFrame:
+           keep_newer_target: bool = True) -> DataFrame:
     """K1/K3: every target column overwritten by the batch's latest row per key;
-    rows with an empty key are skipped.  With ``keep_newer_target`` a target
-    row whose ``order`` tuple is greater survives the batch row."""
-    b = latest_per_key(batch.where(_valid_key(keys)).select(*target.columns), keys, order)
+    rows with an empty key are skipped.  A target row whose ``order`` tuple is
+    greater survives an older delivery that arrives later (at a tie the batch
+    wins); ``keep_newer_target=False`` lets the order of arrival decide."""
+    valid = batch.where(_valid_key(keys)).select(*target.columns)
     if keep_newer_target:
-        both = target.unionByName(b)
-        return latest_per_key(both, keys, order).select(*target.columns)
+        both = target.withColumn("_from_batch", F.lit(0)).unionByName(valid.withColumn("_from_batch", F.lit(1)))
+        return latest_per_key(both, keys, [*order, F.col("_from_batch")]).select(*target.columns)
+    b = latest_per_key(valid, keys, order)
     kept = target.join(b.select(*keys), keys, "left_anti")
     return kept.unionByName(b.select(*target.columns))
 
@@ -73,12 +80,16 @@ def upsert_outcomes(target: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
 
 
 def product_upsert(target: DataFrame, batch: DataFrame, keys=("product_id", "platform"),
-                   preserved=("total_gmv",)) -> DataFrame:
+                   preserved=("total_gmv",), order: list[str | Column] = ()) -> DataFrame:
     """K2: product upsert keeping ``total_gmv`` of existing rows; batch rows
-    overwrite every other column; new rows take the batch values."""
+    overwrite every other column; new rows take the batch values.  Of several
+    batch rows of a key the one with the greatest ``order`` tuple counts
+    (columns of the batch, e.g. its sequence number; rows that tie in it are
+    told apart by their values)."""
     keys = list(keys)
     rest = [c for c in target.columns if c not in keys]
-    b = latest_per_key(batch.where(_valid_key(keys)).select(*target.columns), keys, [F.struct(*rest)])
+    valid = batch.where(_valid_key(keys))
+    b = latest_per_key(valid, keys, [*order, F.struct(*rest)]).select(*target.columns)
     b = b.withColumn("_in_b", F.lit(True))
     t = target.withColumn("_in_t", F.lit(True))
     tb = t.select(*keys, "_in_t", *[F.col(c).alias(f"t__{c}") for c in target.columns if c not in keys])
@@ -103,19 +114,26 @@ def product_rollup(products: DataFrame, orders: DataFrame, platform: str = "tikt
     agg = o.groupBy("product_id", "platform").agg(F.sum("gmv").alias("_g"), F.sum("quantity").alias("_q"))
     j = products.join(agg, ["product_id", "platform"], "left")
     return j.select(*[
-        (F.coalesce(F.col("_g").cast("decimal(14,2)"), F.col("total_gmv")).alias("total_gmv") if c == "total_gmv" else
-         F.coalesce(F.col("_q").cast("int"), F.col("total_sold")).alias("total_sold") if c == "total_sold" else F.col(c))
+        (F.coalesce(F.col("_g").cast("decimal(38,2)"), F.col("total_gmv")).alias("total_gmv") if c == "total_gmv" else
+         F.coalesce(F.col("_q").cast("bigint"), F.col("total_sold")).alias("total_sold") if c == "total_sold" else F.col(c))
         for c in products.columns])
 
 
-def merge_keep_old(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def merge_keep_old(target: DataFrame, batch: DataFrame, key: str, order: list[str | Column] = (),
+                   always_new: tuple[str, ...] = ("error",)) -> DataFrame:
     """K8: per column ``coalesce(new, old)`` -- absent (null) fields keep the
-    stored value; new keys are inserted."""
+    stored value, but ``always_new`` columns of a batch that has them take the
+    new value, null or not; new keys are inserted.  Of several batch rows of a
+    key the one with the greatest ``order`` tuple counts (ties: by values)."""
     cols = [c for c in target.columns if c != key]
     tb = target.select(key, *[F.col(c).alias(f"o__{c}") for c in cols])
-    bb = batch.dropDuplicates([key]).select(key, *[(F.col(c) if c in batch.columns else F.lit(None)).alias(f"n__{c}") for c in cols])
+    rest = [c for c in batch.columns if c != key]
+    last = latest_per_key(batch, [key], [*order, F.struct(*rest)])
+    bb = last.select(key, F.lit(True).alias("_new"), *[(F.col(c) if c in batch.columns else F.lit(None)).alias(f"n__{c}") for c in cols])
     j = tb.join(bb, key, "full_outer")
-    return j.select(key, *[F.coalesce(F.col(f"n__{c}"), F.col(f"o__{c}")).alias(c) for c in cols])
+    return j.select(key, *[
+        F.when(F.col("_new"), F.col(f"n__{c}")).otherwise(F.col(f"o__{c}")).alias(c) if c in always_new and c in batch.columns
+        else F.coalesce(F.col(f"n__{c}"), F.col(f"o__{c}")).alias(c) for c in cols])
 
 
 def widen(df: DataFrame, schema, defaults: dict | None = None) -> DataFrame:
@@ -162,23 +180,41 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def publish(spark: SparkSession, df: DataFrame, table_dir: str, partition_by: list[str] | None = None) -> str:
-    """Atomic-by-switch upsert commit: write the new version to a fresh
-    directory, then record it in ``<table_dir>/_CURRENT`` (a one-line text
-    file).  Readers resolve ``current_version``; old versions stay intact
-    until vacuumed, so a failed job never leaves a half-written table."""
+    """Commit of a new table version: it is written to a fresh directory and
+    then named by a further line under ``<table_dir>/_CURRENT``.  Lines are only
+    ever added (a commit of Spark's file writer), so there is no moment without
+    a valid version; readers take the line with the highest number."""
     version = os.path.join(table_dir, f"v-{uuid.uuid4().hex}")
     write_table(df, version, partition_by)
-    marker = spark.createDataFrame([(version,)], "path string")
-    marker.coalesce(1).write.mode("overwrite").text(os.path.join(table_dir, "_CURRENT"))
+    mark_current(spark, table_dir, version)
     return version
 
 
-def current_version(spark: SparkSession, table_dir: str) -> str | None:
+def _marker(spark: SparkSession, table_dir: str) -> tuple[int, str] | None:
+    """(number, path) of the newest version; None only where no marker exists.
+    An unreadable or empty marker is an error: taking it for "no version yet"
+    would replace the table by the next batch alone."""
     try:
-        row = spark.read.text(os.path.join(table_dir, "_CURRENT")).first()
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    return row[0] if row else None
+        row = spark.read.text(os.path.join(table_dir, "_CURRENT")).agg(F.max("value")).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if row is None or not row[0] or " " not in row[0]:
+        raise RuntimeError(f"{table_dir}/_CURRENT names no version")
+    number, _, path = row[0].partition(" ")
+    return int(number), path
+
+
+def mark_current(spark: SparkSession, table_dir: str, version: str) -> None:
+    last = _marker(spark, table_dir)
+    line = f"{(last[0] if last else 0) + 1:012d} {version}"
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(os.path.join(table_dir, "_CURRENT"))
+
+
+def current_version(spark: SparkSession, table_dir: str) -> str | None:
+    last = _marker(spark, table_dir)
+    return last[1] if last else None
 
 
 def read_current(spark: SparkSession, table_dir: str) -> DataFrame | None:
@@ -192,15 +228,20 @@ def append_record(spark: SparkSession, rows: list[tuple], schema, path: str) ->
 
 
 def newest(df: DataFrame, ts: str = "created_at", n: int = 50, where: Column | None = None) -> DataFrame:
-    """K7/K9/L3: the ``n`` newest rows (optionally filtered)."""
+    """K7/K9/L3: the ``n`` newest rows (optionally filtered); equal times are
+    ordered by the other columns."""
     d = df if where is None else df.where(where)
-    return d.orderBy(F.col(ts).desc_nulls_last()).limit(n)
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return d.orderBy(F.col(ts).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in df.columns
+                                                    if c != ts and kinds[c] not in ("map", "variant")]).limit(n)
 
 
 def delete_by_key(df: DataFrame, key: str, values: list) -> DataFrame:
     """K9 delete: the table without the given keys (rewrite + publish)."""
     drop = df.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
-    return df.join(F.broadcast(drop), df[key].cast("string") == drop[key], "left_anti")
+    if len(values) <= MAX_BROADCAST_KEYS:
+        drop = F.broadcast(drop)
+    return df.join(drop, df[key].cast("string") == drop[key], "left_anti")
 
 
 def export_json(df: DataFrame, path: str) -> None:

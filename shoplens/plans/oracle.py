@@ -55,7 +55,7 @@ std_orders AS (
 STD_PRODUCTS = """
 std_products AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id, pl.platform, p_name AS name, p_type AS category,
-         CAST(p_retailprice AS DECIMAL(12,2)) AS price, CAST(0 AS DECIMAL(14,2)) AS total_gmv, 0 AS total_sold
+         CAST(p_retailprice AS DECIMAL(12,2)) AS price, CAST(0 AS DECIMAL(38,2)) AS total_gmv, CAST(0 AS BIGINT) AS total_sold
   FROM part CROSS JOIN (VALUES ('tiktok'), ('douyin')) AS pl(platform)
 )"""
 
@@ -77,7 +77,7 @@ inf_base AS (
          'KOL' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS name,
          CASE user_id % 5 WHEN 0 THEN 'beauty' WHEN 1 THEN 'fashion' WHEN 2 THEN 'digital'
                           WHEN 3 THEN 'home' ELSE 'food' END AS category,
-         CAST(n * 1000 AS INTEGER) AS followers,
+         CAST(n * 1000 AS BIGINT) AS followers,
          CAST(coalesce(cost, 0) AS DECIMAL(14,2)) AS cost,
          round(n_eng * 100.0 / n, 4) AS engagement_rate,
          round(n_buy * 100.0 / n, 4) AS conversion_rate
@@ -86,11 +86,11 @@ inf_base AS (
 std_influencers AS (
   SELECT b.creator_id, b.platform, b.name, b.category, b.followers,
          CAST(coalesce(r.gmv, 0) AS DECIMAL(14,2)) AS gmv,
-         CAST(coalesce(r.orders, 0) AS INTEGER) AS orders,
+         CAST(coalesce(r.orders, 0) AS BIGINT) AS orders,
          b.cost,
          CASE WHEN b.cost > 0 THEN round(CAST(coalesce(r.gmv, 0) AS DOUBLE) / CAST(b.cost AS DOUBLE), 2) END AS roi,
          b.engagement_rate, b.conversion_rate,
-         CAST(b.followers // 50 AS INTEGER) AS avg_views,
+         CAST(b.followers // 50 AS BIGINT) AS avg_views,
          (b.engagement_rate >= 45.0 AND b.conversion_rate < 15.0) AS is_suspicious
   FROM inf_base b LEFT JOIN inf_roll r ON b.creator_id = r.creator_id
 )"""

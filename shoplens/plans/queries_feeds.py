@@ -166,7 +166,7 @@ def product_pages(m) -> DataFrame:
 @register("map_products", """
 SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'tiktok' AS platform, substr(p_name, 1, 255) AS name,
        substr(CASE WHEN p_size % 4 = 0 THEN p_brand ELSE p_type END, 1, 64) AS category,
-       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price, CAST(0 AS DOUBLE) AS total_gmv, CAST(p_size AS INTEGER) AS total_sold
+       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price, CAST(0 AS DOUBLE) AS total_gmv, CAST(p_size AS BIGINT) AS total_sold
 FROM part
 """)
 def map_products(m):
@@ -359,8 +359,8 @@ ROLLUP_CTE = """
 , agg AS (SELECT product_id, platform, sum(gmv) AS g, sum(quantity) AS q FROM std_orders
           WHERE platform = 'tiktok' AND status <> 'refunded' GROUP BY 1, 2),
 rolled AS (SELECT p.product_id, p.platform, p.name, p.category, p.price,
-                  CAST(coalesce(agg.g, p.total_gmv) AS DECIMAL(14,2)) AS total_gmv,
-                  CAST(coalesce(agg.q, p.total_sold) AS INTEGER) AS total_sold
+                  CAST(coalesce(agg.g, p.total_gmv) AS DECIMAL(38,2)) AS total_gmv,
+                  CAST(coalesce(agg.q, p.total_sold) AS BIGINT) AS total_sold
            FROM std_products p LEFT JOIN agg USING (product_id, platform))"""
 
 
@@ -381,12 +381,14 @@ UNION ALL
 SELECT product_id, 'taobao', name, CAST(price AS DOUBLE), 0.0 FROM std_products WHERE platform = 'tiktok'
 """, products=True))
 def products_upsert(m):
-    """K2: product upsert that keeps the stored total_gmv; new keys inserted."""
+    """K2: product upsert that keeps the stored total_gmv; new keys inserted; of
+    two deliveries of a key in the batch the later one counts."""
     target = upsert.product_rollup(m.products, m.orders)
     base = std_products(m.spark, m.sf_dir).where(F.col("platform") == "tiktok")
-    changed = base.withColumn("price", (F.col("price") + 1).cast("decimal(12,2)"))
-    new = base.withColumn("platform", F.lit("taobao"))
-    r = upsert.product_upsert(target, changed.unionByName(new))
+    priced = lambda plus, seq: base.withColumn("price", (F.col("price") + plus).cast("decimal(12,2)")).withColumn("seq", F.lit(seq))
+    stale = priced(9, 1).withColumn("name", F.lit("ZZ stale"))
+    new = base.withColumn("platform", F.lit("taobao")).withColumn("seq", F.lit(1))
+    r = upsert.product_upsert(target, priced(1, 2).unionByName(stale).unionByName(new), order=["seq"])
     return r.select("product_id", "platform", "name", F.col("price").cast("double").alias("price"),
                     F.col("total_gmv").cast("double").alias("total_gmv"))
 
@@ -453,4 +455,5 @@ def analysis_merge(m):
         "record_id", F.lit(None).cast("string").alias("influencer_name"),
         F.least(F.col("ai_match_score") + 1, F.lit(98)).alias("ai_match_score"),
         F.lit(None).cast("string").alias("band"), F.lit("done").alias("status"))
-    return upsert.merge_keep_old(scores, upd, "record_id")
+    stale = upd.withColumn("ai_match_score", F.lit(0)).withColumn("status", F.lit("zz stale")).withColumn("seq", F.lit(1))
+    return upsert.merge_keep_old(scores, stale.unionByName(upd.withColumn("seq", F.lit(2))), "record_id", order=["seq"])

@@ -173,7 +173,7 @@ def influencer_red_list(m):
 @register("suspicious_top", with_std("""
 SELECT creator_id AS influencer_id, name AS influencer_name, CAST(coalesce(followers, 0) AS BIGINT) AS follower_count,
        coalesce(engagement_rate, 0) AS engagement_rate, coalesce(conversion_rate, 0) AS conversion_rate,
-       '高互动低转化，疑似水军' AS risk_reason
+       '互动多而成交极少' AS risk_reason
 FROM std_influencers
 WHERE coalesce(is_suspicious, false)
    OR (coalesce(engagement_rate, 0) >= 20.0 AND conversion_rate IS NOT NULL AND conversion_rate < 0.5)
@@ -217,7 +217,7 @@ def fallback_report(m):
   SELECT * FROM std_influencers
   WHERE coalesce(is_suspicious, false)
      OR (coalesce(engagement_rate, 0) >= 20.0 AND conversion_rate IS NOT NULL AND conversion_rate < 0.5)
-), warn AS (SELECT * FROM sus ORDER BY engagement_rate DESC, creator_id LIMIT 10),
+), warn AS (SELECT * FROM sus),
 wt AS (
   SELECT string_agg('🚨 ' || name || ' 互动率 ' || format('{{:,.1f}}', engagement_rate) || '% 转化率 '
                     || format('{{:,.2f}}', conversion_rate) || '%', chr(10) ORDER BY engagement_rate DESC, creator_id) AS w
@@ -410,14 +410,17 @@ def window_timezone_diff(m):
 
 
 @register("id_compliance", with_std("""
-SELECT 'order_id_format' AS "check", CAST(count(*) AS BIGINT) AS total,
-       CAST(count(*) FILTER (WHERE regexp_matches(order_id, '^5[78].{16}$')) AS BIGINT) AS compliant,
+SELECT 'order_id_format' AS "check", CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE regexp_matches(order_id, '^5[78].{16}$')) AS BIGINT) AS compliant,
        coalesce(round(CAST(count(*) FILTER (WHERE regexp_matches(order_id, '^5[78].{16}$')) * 100.0 AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0) AS pct
-FROM std_orders
+FROM std_orders WHERE platform = 'tiktok'
 UNION ALL
-SELECT 'product_id_length', count(*), count(*) FILTER (WHERE length(product_id) = 17),
-       coalesce(round(CAST(count(*) FILTER (WHERE length(product_id) = 17) * 100.0 AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0)
-FROM std_products
+SELECT 'product_id_length' AS "check", CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE length(product_id) = 17) AS BIGINT) AS compliant,
+       coalesce(round(CAST(count(*) FILTER (WHERE length(product_id) = 17) * 100.0 AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0) AS pct
+FROM std_products WHERE platform = 'tiktok'
+UNION ALL
+SELECT 'order_product_id_length' AS "check", CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE length(product_id) = 17) AS BIGINT) AS compliant,
+       coalesce(round(CAST(count(*) FILTER (WHERE length(product_id) = 17) * 100.0 AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0) AS pct
+FROM std_orders WHERE platform = 'tiktok' AND product_id IS NOT NULL
 """, products=True))
 def id_compliance(m):
     """A26 + F18: id format compliance."""

@@ -2,9 +2,8 @@
 
 Each query runs its Structured Streaming job with ``availableNow`` over the
 driver tables (or feed pages landed from them) and returns the sink, read
-back as a batch DataFrame.  Append-mode window jobs emit only windows the
-watermark has closed (window end <= max event time - delay); the oracle
-states exactly that set.
+back as a batch DataFrame.  Window and session jobs return open windows too,
+told apart by ``is_closed`` (window end <= max event time - delay).
 """
 
 from __future__ import annotations
@@ -33,15 +32,15 @@ d AS (
 closed AS (
   SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
          CAST(events AS BIGINT) AS events, CAST(purchases AS BIGINT) AS purchases, CAST(errors AS BIGINT) AS errors,
-         CAST(round(coalesce(pv, 0), 2) AS DOUBLE) AS purchase_value
-  FROM d, wm WHERE s + INTERVAL 1 DAY <= wm.wm
+         CAST(round(coalesce(pv, 0), 2) AS DOUBLE) AS purchase_value, s + INTERVAL 1 DAY <= wm.wm AS is_closed
+  FROM d, wm
 )"""
 
 
 @register("stream_daily_kpi", DAILY_CTE + "\nSELECT * FROM closed")
 def stream_daily_kpi(m):
-    """R2s: tumbling daily event KPIs, watermark 1 h, append mode (closed windows)."""
-    return jobs.closed_window_kpis(m.spark, m.sf_dir, "1 day", None, "1 hour")
+    """R2s: tumbling daily event KPIs, watermark 1 h, update mode (open windows marked)."""
+    return jobs.window_states(m.spark, m.sf_dir, "1 day", None, "1 hour")
 
 
 @register("stream_sliding_kpi", """
@@ -55,24 +54,24 @@ d AS (
 )
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
        CAST(events AS BIGINT) AS events, CAST(purchases AS BIGINT) AS purchases, CAST(errors AS BIGINT) AS errors,
-       CAST(round(coalesce(pv, 0), 2) AS DOUBLE) AS purchase_value
-FROM d, wm WHERE s + INTERVAL 7 DAY <= wm.wm
+       CAST(round(coalesce(pv, 0), 2) AS DOUBLE) AS purchase_value, s + INTERVAL 7 DAY <= wm.wm AS is_closed
+FROM d, wm
 """)
 def stream_sliding_kpi(m):
-    """R2s: 7-day windows sliding by 1 day, closed windows only."""
-    return jobs.closed_window_kpis(m.spark, m.sf_dir, "7 days", "1 day", "1 hour")
+    """R2s: 7-day windows sliding by 1 day, open ones marked."""
+    return jobs.window_states(m.spark, m.sf_dir, "7 days", "1 day", "1 hour")
 
 
 @register("stream_alerts", DAILY_CTE + """
-SELECT window_start, purchase_value, errors,
+SELECT window_start, is_closed, purchase_value, errors,
        round((purchase_value - lag(purchase_value) OVER w) * 100.0 / nullif(lag(purchase_value) OVER w, 0), 2) AS value_change_pct,
        coalesce((purchase_value - lag(purchase_value) OVER w) * 100.0 / nullif(lag(purchase_value) OVER w, 0) < -30.0, false) AS gmv_drop,
        coalesce((errors - lag(errors) OVER w) * 100.0 / nullif(CAST(lag(errors) OVER w AS DOUBLE), 0) > 50.0, false) AS error_surge
 FROM closed WINDOW w AS (ORDER BY window_start)
 """)
 def stream_alerts(m):
-    """R6s: day-over-day purchase-value drop and error-surge flags on closed windows."""
-    return jobs.alerts(jobs.closed_window_kpis(m.spark, m.sf_dir, "1 day", None, "1 hour"))
+    """R6s: day-over-day purchase-value drop and error-surge flags on the daily windows."""
+    return jobs.alerts(jobs.window_states(m.spark, m.sf_dir, "1 day", None, "1 hour"))
 
 
 @register("stream_dedup", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
@@ -89,11 +88,11 @@ g AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE TH
 s AS (SELECT user_id, sid, min(ts) AS st, max(ts) + INTERVAL 30 MINUTE AS en, count(*) AS events,
              count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM g GROUP BY user_id, sid)
 SELECT user_id, strftime(st, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(en, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
-       CAST(events AS BIGINT) AS events, CAST(purchases AS BIGINT) AS purchases
-FROM s, wm WHERE en <= wm.wm
+       CAST(events AS BIGINT) AS events, CAST(purchases AS BIGINT) AS purchases, en <= wm.wm AS is_closed
+FROM s, wm
 """)
 def stream_sessions(m):
-    """R7s: 30-minute-gap user sessions, closed sessions only."""
+    """R7s: 30-minute-gap user sessions, open ones marked."""
     return jobs.sessions(m.spark, m.sf_dir, "30 minutes", "1 hour")
 
 

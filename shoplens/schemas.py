@@ -26,14 +26,14 @@ ORDER_KEY = ["order_id", "platform"]
 
 STANDARD_PRODUCTS = T.StructType([
     _f("product_id", S, False), _f("platform", S, False), _f("name", S, False), _f("category", S),
-    _f("price", M12), _f("total_gmv", M14), _f("total_sold", I), _f("created_at", TS),
+    _f("price", M12), _f("total_gmv", T.DecimalType(38, 2)), _f("total_sold", T.LongType()), _f("created_at", TS),
 ])
 PRODUCT_KEY = ["product_id", "platform"]
 
 STANDARD_INFLUENCERS = T.StructType([
     _f("creator_id", S, False), _f("platform", S, False), _f("name", S, False), _f("category", S),
-    _f("followers", I), _f("gmv", M14), _f("orders", I), _f("cost", M14), _f("roi", D),
-    _f("engagement_rate", D), _f("conversion_rate", D), _f("avg_views", I), _f("is_suspicious", B),
+    _f("followers", T.LongType()), _f("gmv", M14), _f("orders", T.LongType()), _f("cost", M14), _f("roi", D),
+    _f("engagement_rate", D), _f("conversion_rate", D), _f("avg_views", T.LongType()), _f("is_suspicious", B),
     _f("created_at", TS),
 ])
 

@@ -71,18 +71,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, streaming checkpoints and staged tables.
 
     Reads ``spark.checkpoint.dir`` from the session (on a cluster it names a
-    shared file system).  Only when it is unset -- local tests -- a fresh
-    temporary folder is created and recorded in the session.  The context's
-    checkpoint directory is kept in step, so ``DataFrame.checkpoint()`` works
-    even when the setting was changed at runtime.
+    shared file system), else the context's checkpoint directory.  Where both
+    are unset, a local session gets a temporary folder; on a cluster that is
+    an error, as executors do not share machine-local folders.
     """
     sc = _context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = sc.master if sc is not None else "remote"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder all executors share")
         d = tempfile.mkdtemp(prefix="shoplens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

@@ -163,7 +163,7 @@ def std_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("category"),
         money("p_retailprice", 12).alias("price"),
         F.lit(0).cast("decimal(14,2)").alias("total_gmv"),
-        F.lit(0).alias("total_sold"),
+        F.lit(0).cast("bigint").alias("total_sold"),
     )
 
 
@@ -196,7 +196,7 @@ def std_influencers(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
         F.concat(F.lit("KOL"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("name"),
         F.element_at(F.array(*[F.lit(x) for x in ["beauty", "fashion", "digital", "home", "food"]]),
                      (F.col("user_id") % 5 + 1).cast("int")).alias("category"),
-        (F.col("n") * 1000).cast("int").alias("followers"),
+        (F.col("n") * 1000).cast("bigint").alias("followers"),
         F.coalesce(F.col("cost"), F.lit(0).cast("decimal(14,2)")).cast("decimal(14,2)").alias("cost"),
         eng.alias("engagement_rate"),
         conv.alias("conversion_rate"),
@@ -207,11 +207,11 @@ def std_influencers(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
     return out.select(
         "creator_id", "platform", "name", "category", "followers",
         g.alias("gmv"),
-        F.coalesce(F.col("orders"), F.lit(0)).cast("int").alias("orders"),
+        F.coalesce(F.col("orders"), F.lit(0)).cast("bigint").alias("orders"),
         "cost",
         F.when(F.col("cost") > 0, F.round(g.cast("double") / F.col("cost").cast("double"), 2)).alias("roi"),
         "engagement_rate", "conversion_rate",
-        (F.col("followers") / 50).cast("int").alias("avg_views"),
+        F.floor(F.col("followers") / 50).cast("bigint").alias("avg_views"),
         "is_suspicious",
     )
 
