@@ -363,13 +363,40 @@ def components(edges: DataFrame) -> DataFrame:
                   .union(pairs.select(F.col("lo").alias("gid"), F.col("lo").alias("label")).distinct()), "labels")
 
 
+def per_group(rows: DataFrame, keys: list[str], act) -> DataFrame:
+    """``act(group)`` for each group of ``keys``, as (a, b) rows.  Groups pass by
+    in sorted order, many to a task: one at a time is held in memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, found = None, []
+        for b in batches:
+            if rest is not None:
+                b = pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            key = b[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i > 1:
+                    found.append(act(b.iloc[i:j]))
+            rest = b.iloc[cuts[-1]:]  # may go on in the next batch
+            if found:
+                yield pd.concat(found)
+                found = []
+        if rest is not None and len(rest) > 1:
+            yield act(rest)
+
+    n = n_partitions(rows.sparkSession)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
+
+
 def block_links(candidates: DataFrame, at: int) -> DataFrame:
     """Links within the groups of the ``at``-th shared shingle."""
     keyed = candidates.where(F.size("keys") > at).select("gid", "grams", F.col("keys")[at].alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     blocks = keyed.join(counts, "key").withColumn(
         "block", F.pmod(F.xxhash64("gid"), F.ceil(F.col("members") / BLOCK)).cast("int"))
-    return blocks.groupBy("key", "block").applyInPandas(lambda b: tree_links(b), "a bigint, b bigint")
+    return per_group(blocks.select("key", "block", "gid", "grams"), ["key", "block"], tree_links)
 
 
 def open_pairs(candidates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -389,7 +416,7 @@ def open_pairs(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     sided = rows.join(mixed_keys, "key").withColumn("side", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
     met = (sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")))
-    return met.groupBy("key", "one", "two").applyInPandas(lambda b: tree_candidates(b), "a bigint, b bigint").distinct()
+    return per_group(met.select("key", "one", "two", "side", "gid", "n", "signature", "label"), ["key", "one", "two"], tree_candidates).distinct()
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
