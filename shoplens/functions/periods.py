@@ -77,8 +77,8 @@ def rolling(as_of: dt.date | dt.datetime | str, days: int) -> Window:
 
     ``end = midnight(as_of) + 1 day`` so ``days=1`` is the as-of day itself.
     """
-    if not 1 <= int(days) <= 3660:
-        raise ValueError("days must be between 1 and 3660")
+    if int(days) < 1:
+        raise ValueError("days must be 1 or more")
     end = _as_datetime(_as_date(as_of)) + DAY
     start = end - dt.timedelta(days=int(days))
     return Window(start, end, start - dt.timedelta(days=int(days)), start, int(days))

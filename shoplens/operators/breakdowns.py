@@ -62,8 +62,8 @@ def top_products(orders: DataFrame, products: DataFrame, window: Window, limit:
     """A5 + W1 + T13: top ``limit`` product names by non-refunded gmv.
 
     ``rank_no`` 1 = best (ties broken by name), ``is_top3`` highlights the first
-    three, ``bar_pct`` = max(4, round(gmv / max gmv * 100)).  Display order
-    (ascending) is ``orderBy('rank', ascending=False)`` on the result.
+    three, ``bar_pct`` = max(4, round(gmv / max gmv * 100)).  For charts drawn
+    from the bottom up see ``display_order``.
     """
     s = product_stats(orders, products, window, shop_ids)
     top = s.orderBy(F.col("gmv").desc(), F.col("product")).limit(limit)
@@ -76,6 +76,13 @@ def top_products(orders: DataFrame, products: DataFrame, window: Window, limit:
         F.greatest(F.lit(4.0), F.round(X.ratio(F.col("gmv") * 100, F.max("gmv").over(W.partitionBy())), 0)).alias("bar_pct"))
 
 
+def display_order(top: DataFrame) -> DataFrame:
+    """A top list (with ``rank_no``) reversed for display: ``display_no`` 1
+    is the last rank.  ``top`` is bounded by its limit."""
+    last = F.max("rank_no").over(W.partitionBy())
+    return top.withColumn("display_no", last - F.col("rank_no") + 1).orderBy("display_no")
+
+
 def priced_products(stats: DataFrame) -> DataFrame:
     """price = price, else gmv / orders, else 0."""
     return stats.withColumn("unit_price", F.coalesce(

@@ -217,10 +217,11 @@ def benchmark_flag(c, lo_hi) -> "F.Column":
     return F.when(x.isNull(), None).when(x < lo, "below").when(x > hi, "above").otherwise("within")
 
 
-def sort_nulls_last(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
-    """L4: user-chosen sort column and direction, nulls always last."""
+def sort_nulls_last(df: DataFrame, column: str, descending: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
+    """User-chosen sort column and direction (of influencers or
+    products), nulls always last, equal values in ascending order of ``ties``."""
     c = F.col(column)
-    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *[F.col(t) for t in ties])
 
 
 def top_by_roi(influencers: DataFrame, n: int = 3) -> DataFrame:

@@ -104,3 +104,34 @@ def test_build_and_read_stored_model(spark, tmp_dir):
     assert a == b
     assert stored.influencers.count() == live.influencers.count()
     assert stored.products.count() == live.products.count()
+
+
+def test_upserts_take_the_last_of_several_rows_of_a_key(spark):
+    from shoplens.operators import upsert as U
+
+    target = spark.createDataFrame([("p", "tiktok", "old", 5)], "product_id string, platform string, name string, total_gmv int")
+    batch = spark.createDataFrame([("p", "tiktok", "Zed", 0, 1), ("p", "tiktok", "Abc", 0, 2)],
+                                  "product_id string, platform string, name string, total_gmv int, seq int")
+    assert [tuple(r) for r in U.product_upsert(target, batch, order=["seq"]).collect()] == [("p", "tiktok", "Abc", 5)]
+    old = spark.createDataFrame([("r", 1, "failed")], "id string, score int, error string")
+    new = spark.createDataFrame([("r", 9, "x", 1), ("r", None, None, 2)], "id string, score int, error string, seq int")
+    assert [tuple(r) for r in U.merge_keep_old(old, new, "id", order=["seq"]).collect()] == [("r", 1, None)]
+
+
+def test_wide_sums_do_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from shoplens.operators import upsert as U
+
+    products = spark.createDataFrame([("p", "tiktok", 0)], "product_id string, platform string, total_sold long").withColumn(
+        "total_gmv", F.lit(0).cast("decimal(38,2)"))
+    orders = spark.createDataFrame([("p", "tiktok", "paid", 2_000_000_000)] * 3, "product_id string, platform string, status string, quantity int").withColumn(
+        "gmv", F.lit(999_999_999_999).cast("decimal(14,2)"))
+    r = U.product_rollup(products, orders).first()
+    assert r["total_sold"] == 6_000_000_000 and int(r["total_gmv"]) == 2_999_999_999_997
+
+
+def test_digest_summary_says_that_it_was_cut(spark):
+    from shoplens.operators import reports
+
+    assert len(reports.SUMMARY_CUT) > 1
