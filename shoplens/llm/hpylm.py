@@ -43,13 +43,32 @@ from pyspark.sql import DataFrame
 from shoplens.llm.common import ASCII_LOWER, WORDS, n_partitions, table
 from shoplens.llm.features import fold
 
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 2_000_000
 SWEEPS = 2
 BURN_IN = 1
 THETA, THETA_ROOT = 1.0, 10.0
 STIRLING = 32
 # hashes of the end token and of the context before the first token
 END, START = 1, 2
+# A batch is numbered by its partition and, in so many bits, within it.
+SEQ_BITS = 20
+# Words are known by 56 bits of their hash: a thousand million words have
+# about seven pairs that share one.
+HASH_BYTES = 7
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) & (1 << 8 * HASH_BYTES) - 1
+
+
+def narrow(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def same(key: int) -> int:
@@ -78,9 +97,9 @@ def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def row() -> pd.DataFrame:
         lengths = np.array([len(t) + 1 for t in tokens], np.int32)
         flat = np.concatenate([np.append(t, len(known)) for t in tokens]).astype(np.int32)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        return pd.DataFrame({"batch": [(part << 32) + seq], "ids": [[d[0] for d in docs]], "train": [[d[1] for d in docs]],
-                             "lengths": [lengths.tobytes()], "vocabulary": [hashes.tobytes()], "tokens": [pressed(flat)]})
+        hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
+        return pd.DataFrame({"batch": [(part << SEQ_BITS) + seq], "ids": [[d[0] for d in docs]], "train": [[d[1] for d in docs]],
+                             "lengths": [lengths.tobytes()], "vocabulary": [narrow(hashes)], "tokens": [pressed(flat)]})
 
     for f in frames:
         for doc_id, text, train in zip(f["doc_id"].astype("Int64"), f["text"], f["train"], strict=True):
@@ -102,7 +121,7 @@ class Batch:
     def __init__(self, row: tuple):
         self.key, self.ids, self.train, lengths, vocabulary, tokens = row
         self.lengths = np.frombuffer(lengths, np.int32)
-        words = np.frombuffer(vocabulary, np.uint64)
+        words = wide(vocabulary)
         v = len(words)
         self.hashes = np.concatenate([words, np.array([END, START], np.uint64)])
         self.tokens = loosed(tokens, np.int32).astype(np.int64)
@@ -148,13 +167,13 @@ def send_cells(rows: Iterable, n: int, spread: np.ndarray) -> Iterator[tuple]:
             u = b.context[cells]
             at = runs(u)
             sizes = np.diff(np.append(at, len(u)))
-            yield to, ("cells", b.key, b.hashes[u[at]].tobytes(), pressed(sizes.astype(np.int32)),
-                       b.hashes[b.word[cells]].tobytes(), pressed(b.counts[cells].astype(np.int32)))
+            yield to, ("cells", b.key, narrow(b.hashes[u[at]]), pressed(sizes.astype(np.int32)),
+                       narrow(b.hashes[b.word[cells]]), pressed(b.counts[cells].astype(np.int32)))
 
 
 def place(batch: int, n: int) -> int:
     """Partition of a batch."""
-    return int((batch >> 32) * 7 + (batch & 0xFFFFFFFF)) % n
+    return int((batch >> SEQ_BITS) * 7 + batch % (1 << SEQ_BITS)) % n
 
 
 # -- seating ----------------------------------------------------------------
@@ -215,11 +234,11 @@ class Bucket:
     def __init__(self, number: int, records: list[tuple], parts: int, spread: np.ndarray):
         self.number, self.parts = number, parts
         self.sent = sorted(records, key=lambda r: r[1])
-        heads = [np.frombuffer(r[2], np.uint64) for r in self.sent]
+        heads = [wide(r[2]) for r in self.sent]
         sizes = [loosed(r[3], np.int32) for r in self.sent]
         self.heads, self.n_cells = heads, [int(s.sum()) for s in sizes]
         hu = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes, strict=True)])
-        hw = np.concatenate([np.frombuffer(r[4], np.uint64) for r in self.sent])
+        hw = np.concatenate([wide(r[4]) for r in self.sent])
         counts = np.concatenate([loosed(r[5], np.int32) for r in self.sent]).astype(np.int64)
         order = np.lexsort((hw, hu))
         su, sw = hu[order], hw[order]
@@ -300,7 +319,7 @@ class Bucket:
             mine = self.order[self.cuts[part]:self.cuts[part + 1]]
             own = part == self.number % self.parts
             if len(mine) or part in heavy or own:
-                yield part, ("tables", self.number, b"" if state else self.words[mine].tobytes(),
+                yield part, ("tables", self.number, b"" if state else narrow(self.words[mine]),
                              pressed(per_word[mine].astype(np.int32)), heavy.get(part, {}),
                              (int(self.c.sum()), int(seen[1]), int(seen[2])) if own else (0, 0, 0), state)
 
@@ -313,7 +332,7 @@ class Part:
         names = sorted((r for r in records if r[6] == 0), key=lambda r: r[1])
         by_bucket = {r[1]: r for r in records if r[6] == state}
         self.asked = [by_bucket[r[1]] for r in names]
-        words = [np.frombuffer(r[2], np.uint64) for r in names]
+        words = [wide(r[2]) for r in names]
         self.sizes = [len(w) for w in words]
         self.words, self.at = np.unique(np.concatenate(words), return_inverse=True)
         self.t = np.bincount(self.at, np.concatenate([loosed(r[3], np.int32) for r in self.asked]), len(self.words)).astype(np.int64)

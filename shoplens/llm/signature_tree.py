@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import SHINGLE_WORDS, n_partitions, stored, table
-from shoplens.llm.hpylm import batches_of, grouped, loosed, mixed, place, pressed, same
+from shoplens.llm.hpylm import batches_of, grouped, loosed, mixed, place, pressed, same, wide
 
 PERCENT = 80
 BLOCK = 1000
@@ -50,6 +50,8 @@ LEAF, FANOUT = 8, 8
 ROUNDS = 2
 SIGNATURE_BITS = 512
 MAX_BITS = 1 << 17
+# a row's number is its batch's and, in so many bits, its place in the batch
+DOC_BITS = 22
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -222,7 +224,7 @@ class Texts:
     def __init__(self, row: tuple):
         self.key, self.ids, self.tags, lengths, vocabulary, tokens = row
         lengths = np.frombuffer(lengths, np.int32)
-        words = np.append(np.frombuffer(vocabulary, np.uint64), np.uint64(0))
+        words = np.append(wide(vocabulary), np.uint64(0))
         flat = words[loosed(tokens, np.int32)]
         m = max(0, len(flat) - SHINGLE_WORDS + 1)
         gram = np.zeros(m, np.uint64)
@@ -243,7 +245,7 @@ class Texts:
     def rows(self) -> Iterator[tuple]:
         for i, (doc_id, tag, s) in enumerate(zip(self.ids, self.tags, self.sets, strict=True)):
             h = xxhash.xxh3_128_intdigest(s.tobytes())
-            yield (self.key << 24) + i, doc_id, tag, len(s), signed(h >> 64), signed(h & (1 << 64) - 1)
+            yield (self.key << DOC_BITS) + i, doc_id, tag, len(s), signed(h >> 64), signed(h & (1 << 64) - 1)
 
 
 def signed(x: int) -> int:
@@ -294,7 +296,7 @@ def candidate_sets(docs: DataFrame):
     sets = stored(spark.createDataFrame(batches.flatMap(lambda r: Texts(r[1][1]).rows()),
                                         "gid bigint, doc_id bigint, tag bigint, n int, ka bigint, kb bigint", verifySchema=False), "sets")
     chosen = sets.where("n > 0").groupBy("ka", "kb").agg(F.min("gid").alias("gid")).select("gid").rdd.map(
-        lambda r: (place(r[0] >> 24, n), ("chosen", r[0] >> 24, r[0] & 0xFFFFFF))).partitionBy(n, same)
+        lambda r: (place(r[0] >> DOC_BITS, n), ("chosen", r[0] >> DOC_BITS, r[0] % (1 << DOC_BITS)))).partitionBy(n, same)
 
     def texts(records: Iterable) -> Iterator[tuple]:
         found = list(records)
@@ -332,7 +334,7 @@ def candidate_sets(docs: DataFrame):
             for i, s in zip(ids, own, strict=True):
                 keys = rare_part(s, rank[np.searchsorted(ordered, s)])
                 if len(keys):
-                    yield (key << 24) + i, len(s), bytearray(s.tobytes()), keys.view(np.int64).tolist()
+                    yield (key << DOC_BITS) + i, len(s), bytearray(s.tobytes()), keys.view(np.int64).tolist()
 
     found = spark.createDataFrame(marked.union(told).mapPartitions(candidates),
                                   "gid bigint, n int, grams binary, keys array<bigint>", verifySchema=False)

@@ -90,15 +90,10 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         for cell, x in p.items():
             yield int(b.contexts[b.context_of[cell]]), x
 
-    total = model._buckets(sums).filter(lambda r: r[0] == _hash(words[0])).map(lambda r: r[1]).sum()
+    total = model._buckets(sums).filter(lambda r: r[0] == hpylm.word_hash(words[0])).map(lambda r: r[1]).sum()
     assert abs(total - 1) < 1e-4
 
 
-def _hash(word):
-    import xxhash
-    return xxhash.xxh64_intdigest(word)
-
-
 def test_held_out_text_is_likelier_than_by_the_base(spark):
     source = cases.prose(3, 300, 50).split()
     rows = [(k, " ".join(source[(k * 7) % 200:(k * 7) % 200 + 60])) for k in range(150)]
