@@ -5,7 +5,9 @@ scratch folder, word and shingle expressions, and row order over a whole table.
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -120,3 +122,12 @@ def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` (a stored table) with a broadcast hint if it has ``max_rows`` rows
     at most; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def kept(name: str, make):
+    """An object that a Python worker keeps from task to task (its own module
+    is sent by value and starts anew with each)."""
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)

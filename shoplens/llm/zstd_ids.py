@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import WORDS, n_partitions, scratch_path, table
+from shoplens.llm.common import WORDS, kept, n_partitions, scratch_path, table
 
 END_ID = 2
 # The dictionary: bytes, and the documents (count, characters each) it is trained on.
@@ -41,8 +41,9 @@ DICTIONARY_BYTES = 65536
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
 LEVEL = 3
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 20
-# Words a Python worker remembers the ids of.
-MAX_CACHE = 600_000
+# Words a Python worker remembers the ids of: so many lately met, and as many
+# met before those.
+MAX_CACHE = 500_000
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a sentence mark after it.
@@ -62,13 +63,14 @@ class WordEncoder:
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn_plain(self, heads: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(heads), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(heads):
             for w, a, b in zip(heads, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
@@ -103,9 +105,11 @@ class WordEncoder:
         pieces = WORDS.findall(text) if UNICODE_SPACE.search(text) else text.split()
         missing = set(pieces).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > MAX_CACHE:
-                self.known, missing = {}, set(pieces)
-            self._learn(missing)
+            if len(self.known) > MAX_CACHE:
+                self.known, self.older, missing = {}, self.known, set(pieces)
+            again = missing & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self._learn(missing - again)
         return b"".join([*map(self.known.__getitem__, pieces), self.end])
 
 
@@ -114,7 +118,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     no bytes if there are too few to train on."""
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer))
         for b in batches:
             yield pd.DataFrame({"ids": [encoder.encode(t or "") for t in b["text"]]})
 
@@ -137,8 +141,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     sent = spark.sparkContext.broadcast(dictionary)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer))
         shared = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         part, before, ids, counts, frames = TaskContext.get().partitionId(), 0, [], [], []
 
