@@ -197,10 +197,52 @@ def trend_class(m):
     return reports.trend_class(reports.daily_sales(m.orders_in(W30), W30))
 
 
-@register("fallback_report")
+def _site_lines() -> str:
+    from shoplens.plans.queries_core import SITE_SQL
+    return SITE_SQL
+
+
+@register("fallback_report", with_std(RANKING_CTE + PERF_CTE + f"""
+, tot AS (
+  SELECT CAST(round(coalesce(sum(gmv), 0), 2) AS DOUBLE) AS gmv, CAST(count(*) AS BIGINT) AS orders,
+         coalesce(round(CAST(sum(gmv) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 2), 0) AS aov
+  FROM std_orders WHERE {IN365}
+), d AS (SELECT CAST(round(sum(gmv), 2) AS DOUBLE) AS v FROM std_orders WHERE {IN365} GROUP BY CAST(paid_at AS DATE)),
+s0 AS (SELECT count(*) AS days, avg(v) AS a, max(v) AS mx, min(v) AS mn FROM d),
+tr AS (SELECT CASE WHEN days < 3 THEN 'insufficient' WHEN mx > a * 1.2 THEN 'volatile' WHEN mn < a * 0.8 THEN 'dip' ELSE 'stable' END AS trend,
+              round(coalesce(a, 0), 2) AS a, coalesce(mx, 0) AS mx, coalesce(mn, 0) AS mn FROM s0),
+pr AS (SELECT product_id, product_name, total_sales, row_number() OVER (ORDER BY total_sales DESC, product_id) AS pos,
+              row_number() OVER (ORDER BY total_sales ASC, product_id DESC) AS rev FROM rank_),
+ri AS (SELECT *, row_number() OVER (ORDER BY total_sales DESC, influencer_id) AS pos FROM perf WHERE NOT is_suspicious AND total_sales > 0),
+bi AS (SELECT creator_id, row_number() OVER (ORDER BY engagement_rate DESC NULLS LAST, creator_id) AS pos FROM std_influencers
+       WHERE coalesce(is_suspicious, false)
+          OR (coalesce(engagement_rate, 0) >= 20.0 AND conversion_rate IS NOT NULL AND conversion_rate < 0.5)),
+n AS (SELECT (SELECT count(*) FROM bi WHERE pos <= 5) AS black)
+SELECT 'weekly' AS report_type, '{W365.label_start} ~ {W365.label_end}' AS period, gmv AS total_gmv, orders AS total_orders, aov AS avg_order_value,
+       coalesce((SELECT string_agg(product_id, ',' ORDER BY pos) FROM pr WHERE pos <= 5), '') AS product_red_list,
+       coalesce((SELECT string_agg(product_id, ',' ORDER BY pos) FROM pr WHERE rev <= 3), '') AS product_black_list,
+       coalesce((SELECT string_agg(influencer_id, ',' ORDER BY pos) FROM ri WHERE pos <= 5), '') AS influencer_red_list,
+       coalesce((SELECT string_agg(creator_id, ',' ORDER BY pos) FROM bi WHERE pos <= 5), '') AS influencer_black_list,
+       coalesce((SELECT string_agg(site_code || '/' || currency, ',' ORDER BY total_gmv DESC, site_code, currency) FROM ({_site_lines()}) sites), '') AS site_breakdown,
+       trend,
+       CASE trend WHEN 'volatile' THEN printf('日销售额起伏较大：最高一天 %.2f，日均 %.2f。', mx, a)
+                  WHEN 'dip' THEN printf('最低一天仅 %.2f，明显少于日均 %.2f。', mn, a)
+                  WHEN 'stable' THEN printf('每日销售额基本持平，日均 %.2f。', a) ELSE '' END AS trend_analysis,
+       CASE WHEN black > 0 THEN printf('有 %d 位达人互动多而成交极少，需要核查。', black) ELSE '' END AS anomaly_analysis,
+       concat_ws(chr(10), (SELECT '优先投放销售榜首商品「' || product_name || '」。' FROM pr WHERE pos = 1),
+                 (SELECT '与销售领先的达人「' || influencer_name || '」延长合作。' FROM ri WHERE pos = 1),
+                 CASE WHEN black > 0 THEN '待核查的达人暂不签新单。' END, '按站点跟踪销售变化，据此调配预算。') AS action_suggestions
+FROM tot, tr, n
+""", products=True, influencers=True))
 def fallback_report(m):
-    """Structured fallback report row (rows-only check)."""
-    return reports.fallback_report(m.orders, m.products, m.influencers, W365, "weekly")
+    """The structured report row, its lists as text in list order."""
+    r = reports.fallback_report(m.orders, m.products, m.influencers, W365, "weekly")
+    names = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *[x[k] for k in f])), ",").alias(c)
+    return r.select(
+        "report_type", "period", "core_summary.*", names("product_red_list", "product_id"), names("product_black_list", "product_id"),
+        names("influencer_red_list", "influencer_id"), names("influencer_black_list", "influencer_id"),
+        names("site_breakdown", "site_code", "currency"), "trend", "trend_analysis", "anomaly_analysis",
+        F.array_join("action_suggestions", "\n").alias("action_suggestions"))
 
 
 @register("daily_digest", with_std(f"""
