@@ -13,8 +13,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import ASCII_LOWER, WORDS
-
 WORD_BUCKETS = 1 << 15
 # Rows of a classifier's training sample, and the longest text in it.
 MAX_SAMPLE = 6000
@@ -45,32 +43,35 @@ class Buckets(dict):
         return k
 
 
-def statistics(text: str, raw: list[str], low: list[str]) -> np.ndarray:
-    """Structure of a text: sizes, shares of character classes, repetition."""
+def statistics(text: str, ids: np.ndarray, n_distinct: int) -> np.ndarray:
+    """Structure of a text: sizes, shares of character classes, repetition.
+    ``ids`` are the words' buckets in order."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    n, m = max(1, len(data)), max(1, len(raw))
-    kinds = np.bincount(_CLASS[data], minlength=8) / n
+    kinds = _CLASS[data]
+    n, m = max(1, len(data)), max(1, len(ids))
+    share = np.bincount(kinds, minlength=8) / n
+    gap = np.concatenate([[True], (kinds == 3) | (kinds == 4), [True]])
+    alone = (gap[:-2] & ~gap[1:-1] & gap[2:]).sum()
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = max(1e-9, kinds[0] + kinds[1] + kinds[7])
+    letters = max(1e-9, share[0] + share[1] + share[7])
     return np.array([
-        np.log1p(len(text)), np.log1p(len(raw)), np.log1p(len(lines)), n / m / 10,
-        kinds[0] / letters, kinds[2], kinds[4] * 50, kinds[5], kinds[6],
-        len(set(low)) / m, len(set(lines)) / max(1, len(lines)),
-        sum(a == b for a, b in zip(low, low[1:], strict=False)) / m,
-        text.count("|") / m, text.count("!") / m, sum(len(w) == 1 for w in raw) / m,
+        np.log1p(len(text)), np.log1p(len(ids)), np.log1p(len(lines)), n / m / 10,
+        share[0] / letters, share[2], share[4] * 50, share[5], share[6],
+        n_distinct / m, len(set(lines)) / max(1, len(lines)), (ids[1:] == ids[:-1]).sum() / m,
+        text.count("|") / m, text.count("!") / m, alone / m,
     ])
 
 
 def featurize(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word buckets, their weights, statistics) of a whole text."""
     text = text or ""
-    raw = WORDS.findall(text)
-    low = WORDS.findall(text.translate(ASCII_LOWER))
+    low = text.lower().split()
+    every = np.fromiter(map(buckets.__getitem__, low), np.int32, len(low))
     if not low:
-        return np.zeros(0, np.int32), np.zeros(0), statistics(text, raw, low)
-    ids, counts = np.unique(np.fromiter(map(buckets.__getitem__, low), np.int32, len(low)), return_counts=True)
+        return every, np.zeros(0), statistics(text, every, 0)
+    ids, counts = np.unique(every, return_counts=True)
     weights = np.log1p(counts)
-    return ids, weights / np.sqrt((weights * weights).sum()), statistics(text, raw, low)
+    return ids, weights / np.sqrt((weights * weights).sum()), statistics(text, every, len(ids))
 
 
 def fold(modulus: int, id_col: str = "doc_id") -> Column:

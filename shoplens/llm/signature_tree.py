@@ -20,9 +20,10 @@ At scale the trees work on groups that are sure to hold every linked pair:
 3. they are grouped by their first, then second shared shingle, and each group
    (in blocks of ``BLOCK``) is joined by a tree on the sets themselves.  This
    finds most links and turns large groups of near copies into components;
-4. for every shared shingle of the rare part whose sets are not all in one
-   component yet, a tree on fixed-size bitmaps yields the pairs that may be
-   linked (larger groups as pairs of blocks), and these are verified exactly.
+4. sets with a shared shingle in their rare parts that is not all in one
+   component yet meet once more (under that shingle's least component; more
+   than ``BLOCK`` as pairs of blocks), and trees that start from the components
+   find the links that are left.
 
 Defined results: null or blank text has no shingles and its own component;
 fewer than five words are one shingle; rows with equal id and text are one node
@@ -48,7 +49,6 @@ PERCENT = 80
 BLOCK = 1000
 LEAF, FANOUT = 8, 8
 ROUNDS = 2
-SIGNATURE_BITS = 512
 MAX_BITS = 1 << 17
 # a row's number is its batch's and, in so many bits, its place in the batch
 DOC_BITS = 22
@@ -184,16 +184,21 @@ def likeness_order(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
 
 
 def tree_links(block: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect the sets of a block as all its links would."""
+    """Links that connect the sets of a block as all its links would.  Sets of
+    one ``label`` are connected already; of two ``side``s only pairs across."""
     sets = [np.frombuffer(g, np.uint64) for g in block["grams"]]
     sizes = np.array([len(s) for s in sets], np.int64)
     width = min(MAX_BITS, 64 << int(np.ceil(np.log2(max(1, sizes.max() / 16)))))
     bits = bitmaps(sets, width)
     ids = block["gid"].to_numpy()
-    forest, found = Forest(ids), []
+    forest, found = Forest(block["label"].to_numpy() if "label" in block else ids), []
+    side = block["side"].to_numpy() if "side" in block else np.zeros(len(ids))
+    across = side.min() != side.max()
 
     def leaves(a: Node, b: Node) -> None:
         for i, j in pairs_within(a, b, bits, sizes, forest):
+            if across and side[i] == side[j]:
+                continue
             if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
                 forest.join(i, j)
                 found.append((ids[i], ids[j]))
@@ -202,21 +207,6 @@ def tree_links(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def tree_candidates(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block (of two blocks: across) that bitmaps and sizes allow."""
-    bits = np.stack([np.frombuffer(s, np.uint64) for s in block["signature"]])
-    sizes, ids, side = block["n"].to_numpy(np.int64), block["gid"].to_numpy(), block["side"].to_numpy()
-    forest, found = Forest(block["label"].to_numpy()), []
-    across = side.min() != side.max()
-
-    def leaves(a: Node, b: Node) -> None:
-        found.extend((min(ids[i], ids[j]), max(ids[i], ids[j]))
-                     for i, j in pairs_within(a, b, bits, sizes, forest) if not across or side[i] != side[j])
-
-    dual_join(tree(bits, sizes, np.lexsort((sizes, block["label"].to_numpy()))), forest, leaves)
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
 # -- sets -------------------------------------------------------------------
 class Texts:
     """The shingle sets of a batch."""
@@ -401,37 +391,20 @@ def block_links(candidates: DataFrame, at: int) -> DataFrame:
     return per_group(blocks.select("key", "block", "gid", "grams"), ["key", "block"], tree_links)
 
 
-def open_pairs(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components with a shared shingle in both rare parts
-    that may be linked."""
-
-    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.frombuffer(g, np.uint64) for g in b["grams"]]
-            yield b.assign(grams=[x.tobytes() for x in bitmaps(sets, SIGNATURE_BITS)])
-
-    rows = (candidates.join(labels, "gid", "left").select("gid", "n", "grams", "keys", F.coalesce("label", "gid").alias("label"))
-            .mapInPandas(signatures, "gid bigint, n int, grams binary, keys array<bigint>, label bigint")
-            .select("gid", "n", F.col("grams").alias("signature"), "label", F.explode("keys").alias("key")))
-    mixed_keys = (rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
-                  .where("x <> y").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    sided = rows.join(mixed_keys, "key").withColumn("side", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
-    met = (sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")))
-    return per_group(met.select("key", "one", "two", "side", "gid", "n", "signature", "label"), ["key", "one", "two"], tree_candidates).distinct()
-
-
-def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    grams = candidates.select("gid", "grams")
-    full = (pairs.join(grams.select(F.col("gid").alias("a"), F.col("grams").alias("x")), "a")
-            .join(grams.select(F.col("gid").alias("b"), F.col("grams").alias("y")), "b"))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(f["x"], f["y"], strict=True)]
-            yield f.loc[np.array(good, bool), ["a", "b"]]
-
-    return full.mapInPandas(check, "a bigint, b bigint")
+def open_links(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components that the rounds left apart: all sets that have
+    a shingle of more than one component in their rare parts meet, in blocks,
+    under the least label of that shingle."""
+    known = candidates.join(labels, "gid", "left").withColumn("label", F.coalesce("label", "gid"))
+    rows = known.select("gid", "label", F.explode("keys").alias("key"))
+    apart = (rows.groupBy("key").agg(F.min("label").alias("meet"), F.max("label").alias("most"))
+             .where("meet <> most").select("key", "meet"))
+    members = stored(rows.join(apart, "key").select("meet", "gid").distinct(), "meetings")
+    sizes = members.groupBy("meet").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    met = (members.join(sizes, "meet").withColumn("side", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("meet", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "gid"))
+    return per_group(met.join(known.select("gid", "label", "grams"), "gid"), ["meet", "one", "two"], tree_links)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -440,7 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the text, ``component`` the least gid of the component."""
     sets, candidates = candidate_sets(docs.select("doc_id", "text"))
     edges = stored(block_links(candidates, 0).union(block_links(candidates, 1)), "links")
-    more = stored(verified(open_pairs(candidates, components(edges)), candidates), "more-links")
+    more = stored(open_links(candidates, components(edges)), "more-links")
     labels = components(edges.union(more))
     groups = (sets.where("n > 0").groupBy("ka", "kb").agg(F.min("gid").alias("gid"), F.min("doc_id").alias("least_id"))
               .join(labels, "gid", "left").withColumn("component", F.coalesce("label", "gid")))

@@ -82,12 +82,28 @@ def test_trees_find_all_pairs(seed):
     exact = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
              if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert truth == exact and truth
-    block = pd.DataFrame({"gid": range(len(sets)), "grams": [s.tobytes() for s in sets], "n": [len(s) for s in sets], "label": range(len(sets)),
-                          "side": 0, "signature": [x.tobytes() for x in st.bitmaps(sets, st.SIGNATURE_BITS)]})
-    found = {tuple(p) for p in st.tree_candidates(block).to_numpy().tolist()}
-    assert truth <= found and len(found) < 60 * 119 / 2
-    links = st.tree_links(block)
-    assert {tuple(sorted(p)) for p in links.to_numpy().tolist()} <= truth
+    block = pd.DataFrame({"gid": range(len(sets)), "grams": [s.tobytes() for s in sets]})
+
+    def groups(pairs):
+        up = list(range(len(sets)))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, j in pairs:
+            up[find(i)] = find(j)
+        return {frozenset(i for i in range(len(sets)) if find(i) == find(k)) for k in range(len(sets))}
+
+    links = {tuple(sorted(p)) for p in st.tree_links(block).to_numpy().tolist()}
+    assert links <= truth and groups(links) == groups(truth)
+    # two sides: links across are found, labels count as links
+    side = np.arange(len(sets)) % 2
+    links = {tuple(sorted(p)) for p in st.tree_links(block.assign(side=side)).to_numpy().tolist()}
+    assert links <= truth and groups(links) == groups({(i, j) for i, j in truth if side[i] != side[j]})
+    label = np.array([min(min(g) for g in groups(truth) if i in g) for i in range(len(sets))])
+    assert st.tree_links(block.assign(label=label)).empty
 
 
 def test_components_of_a_long_path(spark):
