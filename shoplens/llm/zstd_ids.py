@@ -43,7 +43,7 @@ LEVEL = 3
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 20
 # Words a Python worker remembers the ids of: so many lately met, and as many
 # met before those.
-MAX_CACHE = 500_000
+MAX_CACHE = 800_000
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a sentence mark after it.
