@@ -84,6 +84,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     chosen = (labels.select("doc_id", F.col(label).alias("label")).dropna()
               .groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    # dropDuplicates and the limit hold: a repeated document counts once
+    # a repeated id counts once, with its least text
     return (docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_SAMPLE_CHARS)
-            .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
