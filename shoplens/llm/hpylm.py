@@ -39,11 +39,13 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shoplens.llm.common import ASCII_LOWER, WORDS, n_partitions, table
 from shoplens.llm.features import fold
 
 BATCH_TOKENS = 2_000_000
+BUCKET_CHARS = 64_000_000
 SWEEPS = 2
 BURN_IN = 1
 THETA, THETA_ROOT = 1.0, 10.0
@@ -370,13 +372,20 @@ def discount(n1: int, n2: int) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets for the size of the texts: the session's shuffle partitions, or
+    more where a bucket would hold the cells of over ``BUCKET_CHARS``."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(n_partitions(docs.sparkSession), -(-chars // BUCKET_CHARS))
+
+
 class Model:
     """Seating by rounds between buckets and parts, and the scores."""
 
     def __init__(self, docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN):
         """``docs``: doc_id, text, train (boolean)."""
         self.burn_in = burn_in
-        n = self.n = n_partitions(docs.sparkSession)
+        n = self.n = buckets_for(docs)
         rows = docs.select("doc_id", "text", "train").mapInPandas(
             batches_of, "batch bigint, ids array<bigint>, train array<boolean>, lengths binary, vocabulary binary, tokens binary").rdd
         # one shuffle keeps the batches for both uses

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import SHINGLE_WORDS, n_partitions, stored, table
-from shoplens.llm.hpylm import batches_of, grouped, loosed, mixed, place, pressed, same, wide
+from shoplens.llm.hpylm import batches_of, buckets_for, grouped, loosed, mixed, place, pressed, same, wide
 
 PERCENT = 80
 BLOCK = 1000
@@ -278,7 +278,7 @@ def rare_part(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def candidate_sets(docs: DataFrame):
     """(sets, candidates): every document's (gid, doc_id, tag, n, ka, kb), and
     (gid, n, grams, keys) of the representatives that may have links."""
-    spark, n = docs.sparkSession, n_partitions(docs.sparkSession)
+    spark, n = docs.sparkSession, buckets_for(docs)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("train")).mapInPandas(
         batches_of, "batch bigint, ids array<bigint>, train array<bigint>, lengths binary, vocabulary binary, tokens binary").rdd
     batches = rows.map(lambda r: (place(r[0], n), (
