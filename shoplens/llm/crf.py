@@ -126,6 +126,12 @@ class ToxicChain:
         self.before, self.after = np.zeros(BUCKETS), np.zeros(BUCKETS)
         self.bias, self.trans = 0.0, np.zeros((2, 2))
         self.document = np.zeros(4)
+        self.memory: tuple[dict[str, int], list[tuple[float, float, float]]] = ({}, [])
+
+    def sent(self) -> dict:
+        """What a worker needs to score."""
+        small = {k: getattr(self, k).astype(np.float32) for k in ("weights", "before", "after")}
+        return self.__dict__ | small | {"memory": ({}, [])}
 
     # -- training ---------------------------------------------------------
     def fit(self, texts: list[str], y: np.ndarray) -> ToxicChain:
@@ -179,7 +185,7 @@ class ToxicChain:
                 moments[1] = 0.99 * moments[1] + 0.01 * grad * grad
                 theta -= RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         self.weights, self.before, self.after = np.split(theta[:-5], 3)
-        self.bias, self.trans = float(theta[-5]), theta[-4:].reshape(2, 2).copy()
+        self.bias, self.trans, self.memory = float(theta[-5]), theta[-4:].reshape(2, 2).copy(), ({}, [])
         self._fit_document(texts, y)
         return self
 
@@ -205,8 +211,10 @@ class ToxicChain:
     # -- scoring ----------------------------------------------------------
     def marginals(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
         """Per text: the tokens' character offsets and marginals."""
-        known: dict[str, int] = {}
-        effect: list[tuple[float, float, float]] = []
+        # word -> place in the list of its effects on itself, the next and the last token
+        known, effect = self.memory
+        if len(known) > MAX_CACHE:
+            known.clear(), effect.clear()
 
         def look(word: str) -> int:
             k = known.get(word)
@@ -264,12 +272,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_SAMPLE) -> Tox
 def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
     """(doc_id, score, predicted, spans) of every whole text; spans are
     character offsets [start, end) into the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(
-        model.__dict__ | {k: getattr(model, k).astype(np.float32) for k in ("weights", "before", "after")})
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = ToxicChain.__new__(ToxicChain)
-        m.__dict__.update(sent.value)
+        m.__dict__.update(sent.value | {"memory": ({}, [])})
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for at in range(0, len(texts), 1000):
@@ -285,11 +292,11 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.__dict__)
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = ToxicChain.__new__(ToxicChain)
-        m.__dict__.update(sent.value)
+        m.__dict__.update(sent.value | {"memory": ({}, [])})
         for b in batches:
             texts = [t or "" for t in b]
             yield pd.Series([s for at in range(0, len(texts), 1000) for s, _ in m.results(texts[at:at + 1000])], dtype="float64")
