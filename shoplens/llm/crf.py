@@ -17,13 +17,16 @@ logistic fitted on the sample.
 
 Defined results: null counts as empty; a text without words has the marginals
 of no tokens (score low, no spans); equal texts score equal; without toxic
-labelled rows no token is toxic; without labelled rows every score is 0.5; an
+labelled rows no token is toxic; without labelled rows, or with toxic ones
+only, nothing tells toxic from clean: the field is untrained, every score is
+0.5, no row is predicted toxic and ``without_toxic`` keeps every document; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -126,6 +129,7 @@ class ToxicChain:
         self.before, self.after = np.zeros(BUCKETS), np.zeros(BUCKETS)
         self.bias, self.trans = 0.0, np.zeros((2, 2))
         self.document = np.zeros(4)
+        self.trained = False
         self.memory: tuple[dict[str, int], list[tuple[float, float, float]]] = ({}, [])
 
     def sent(self) -> dict:
@@ -135,8 +139,9 @@ class ToxicChain:
 
     # -- training ---------------------------------------------------------
     def fit(self, texts: list[str], y: np.ndarray) -> ToxicChain:
-        if not texts:
+        if not (y <= 0).any():
             return self
+        self.trained = True
         docs = [TOKEN.findall(t.lower()) for t in texts]
         toxic = self._toxic_features(docs, y)
         vocabulary: dict[str, int] = {}
@@ -283,7 +288,7 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
                 found = m.results(texts[at:at + 1000])
                 p = np.array([f[0] for f in found])
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:at + 1000].astype("Int64").array, "score": p,
-                                    "predicted": (p >= 0.5).astype("int32"),
+                                    "predicted": ((p >= 0.5) & m.trained).astype("int32"),
                                     "spans": [[{"start": x, "end": y} for x, y in f[1]] for f in found]})
 
     return docs.select("doc_id", "text").mapInPandas(
@@ -291,7 +296,11 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more."""
+    """``docs`` without the documents that score ``threshold`` or more; all of
+    ``docs``, with a warning, if the field is untrained."""
+    if not model.trained:
+        warnings.warn("toxicity: no usable labelled rows, every document is kept", stacklevel=2)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

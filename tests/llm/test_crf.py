@@ -67,3 +67,15 @@ def test_odd_rows_no_labels_empty_table(spark):
     assert crf.score(cases.empty(spark), model).count() == 0
     clean = crf.train(docs, cases.labels(spark, range(1, 12), toxic=lambda i: False))
     assert not any(r.predicted for r in crf.score(docs, clean).collect())
+
+
+def test_untrained_field_keeps_every_document(spark):
+    docs = cases.docs(spark, cases.odd_rows())
+    ids = sorted(i for i, _ in cases.odd_rows() if i is not None)
+    nulls = spark.createDataFrame([(i, 1, None) for i in ids], "doc_id bigint, quality int, toxic int")
+    for labels in (cases.labels(spark, []), nulls, cases.labels(spark, [888_888]), cases.labels(spark, ids, toxic=lambda i: True)):
+        model = crf.train(docs, labels)
+        assert {(r.score, r.predicted) for r in crf.score(docs, model).collect()} == {(0.5, 0)}
+        kept = crf.without_toxic(docs, model)
+        assert kept.columns == docs.columns
+        assert cases.as_rows(kept, "doc_id", "text") == cases.as_rows(docs, "doc_id", "text")

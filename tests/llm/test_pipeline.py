@@ -56,3 +56,14 @@ def test_odd_and_empty_tables_pass(spark, tmp_path):
         spark.createDataFrame([(1, cases.prose(100, 30))] if rows else [], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
         out = corpus_pipeline.run(spark, d)
         assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and (rows or out.count() == 0)
+
+
+def test_toxicity_stage_without_usable_labels_keeps_the_corpus(spark, tmp_path):
+    docs = cases.docs(spark, cases.odd_rows())
+    held_out = [i for i, in spark.range(1, 400).where(fold(5, "id") == 0).collect()]
+    for k, ids in enumerate(([], held_out)):
+        d = str(tmp_path / str(k))
+        cases.labels(spark, ids).write.parquet(f"{d}/labels.parquet")
+        out = corpus_pipeline.toxicity(spark, docs, d)
+        assert out.columns == docs.columns
+        assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in cases.odd_rows())
