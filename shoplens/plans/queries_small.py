@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoplens.functions import exprs as X
 from shoplens.functions import periods
 from shoplens.operators import breakdowns, influencers, mappers, reports, upsert
+from shoplens.operators.ranking import global_rank
 from shoplens.plans import queries_core  # noqa: F401 - registers top_products
 from shoplens.plans.catalog import ORACLE, W30, W365, register, ts
 from shoplens.plans.oracle import AS_OF, with_std
@@ -97,7 +98,7 @@ def newest_orders(m):
 SELECT creator_id, name, roi FROM std_influencers ORDER BY roi ASC NULLS LAST, creator_id LIMIT 20
 """, influencers=True))
 def influencers_sorted(m):
-    """L4: a user's sort, nulls last."""
+    """L4: the first page of a user's sort (all rows: ``influencers_ranked``)."""
     return influencers.sort_nulls_last(m.influencers.select("creator_id", "name", "roi"), "roi", False, ("creator_id",)).limit(20)
 
 
@@ -106,11 +107,32 @@ SELECT product_id, platform, CAST(price AS DOUBLE) AS price FROM std_products
 ORDER BY std_products.price DESC NULLS LAST, product_id, platform LIMIT 20
 """, products=True))
 def products_sorted(m):
-    """The same on products."""
+    """The same on products (all rows: ``products_ranked``)."""
     p = influencers.sort_nulls_last(m.products, "price", True, ("product_id", "platform")).limit(20)
     return p.select("product_id", "platform", F.col("price").cast("double").alias("price"))
 
 
+@register("influencers_ranked", with_std("""
+SELECT creator_id, name, roi, row_number() OVER (ORDER BY roi ASC NULLS LAST, creator_id) AS rank_no FROM std_influencers
+""", influencers=True))
+def influencers_ranked(m):
+    """L4: a user's sort of the whole list, its order as a rank."""
+    i = m.influencers.select("creator_id", "name", "roi")
+    return global_rank(i, [F.col("roi").asc_nulls_last(), "creator_id"], "rank_no")
+
+
+@register("products_ranked", with_std("""
+SELECT product_id, platform, CAST(price AS DOUBLE) AS price,
+       row_number() OVER (ORDER BY std_products.price DESC NULLS LAST, product_id, platform) AS rank_no
+FROM std_products
+""", products=True))
+def products_ranked(m):
+    """The same on products."""
+    p = global_rank(m.products.select("product_id", "platform", "price"),
+                    [F.col("price").desc_nulls_last(), "product_id", "platform"], "rank_no")
+    return p.withColumn("price", F.col("price").cast("double"))
+
+
 @register("top_products_display", f"""
 SELECT product, rank_no, max(rank_no) OVER () - rank_no + 1 AS display_no FROM ({ORACLE["top_products"]}) t
 """)

@@ -13,6 +13,7 @@ from shoplens.functions import exprs as X
 from shoplens.functions import periods
 from shoplens.operators import influencers as inf
 from shoplens.operators import mappers, upsert
+from shoplens.plans import queries_small
 
 
 def _ts_frame(spark):
@@ -106,3 +107,16 @@ def test_generate_report_ranges(spark):
     w = reports.generate_report(m, "weekly", "1998-06-30").first()
     assert w["period"] == "1998-06-24 ~ 1998-06-30"
     assert w["core_summary"]["total_orders"] <= r["core_summary"]["total_orders"]
+
+
+def test_ranked_lists_return_every_row_with_nulls_last(spark):
+    class Lists:
+        influencers = spark.createDataFrame([(f"c{k:02}", "n", None if k % 5 == 0 else float(k % 7)) for k in range(60)],
+                                            "creator_id string, name string, roi double")
+        products = spark.createDataFrame([(f"p{k:02}", "tiktok", None if k % 5 == 0 else float(k % 7)) for k in range(60)],
+                                         "product_id string, platform string, price double")
+
+    for query, key, value, sign in ((queries_small.influencers_ranked, "creator_id", "roi", 1), (queries_small.products_ranked, "product_id", "price", -1)):
+        rows = query(Lists).collect()
+        expected = sorted(rows, key=lambda r: (r[value] is None, sign * (r[value] or 0), r[key]))
+        assert len(rows) == 60 and [r["rank_no"] for r in expected] == list(range(1, 61))
