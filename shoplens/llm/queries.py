@@ -14,6 +14,7 @@ QUERIES = {
     "op10_factor_machine": factor_machine.op10_factor_machine,
     "op6_containment": containment.op6_containment,
     "op7_winnow_lines": winnow.op7_winnow_lines,
+    "op7_winnow_passages": winnow.op7_winnow_passages,
     "op5_imatch": imatch.op5_imatch,
     "op8_feistel_shards": feistel.op8_feistel_shards,
 }
@@ -22,4 +23,5 @@ ORACLE: dict[str, str] = {
     "op3_signature_tree": signature_tree.ORACLE,
     "op6_containment": containment.ORACLE,
     "op7_winnow_lines": winnow.ORACLE,
+    "op7_winnow_passages": winnow.PASSAGES,
 }

@@ -19,16 +19,21 @@ the first occurrence stays (of a run that overlaps its own repeat, the lines
 before the repeat); rows equal in id and text are one document and get the
 same result; null ids come first; an empty table gives no rows; other columns
 are kept in ``deduped`` and ignored in the query.
+
+Passages that start or end inside a line are left by the line rule.
+``without_passages`` finds them too: its windows are ``min_words`` words in a
+row, selected by the least hash of the word runs of half that length inside.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import stored, table, text_key, words
+from shoplens.llm.common import let, stored, table, text_key, words
 
 MIN_WORDS = 50
+SPACE_CLASS = "\\x20\\x09-\\x0D"
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -78,6 +83,76 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.coalesce(F.size("gone.removed"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, doc_key, spans): the runs of words [first, last] (from 1) to
+    delete, in order, of the documents of ``docs`` (doc_id, doc_key, text) that
+    have any."""
+    doc = ["doc_id", "doc_key"]
+    in_gram = (min_words + 1) // 2
+    in_window = min_words - in_gram + 1  # grams
+    n = F.size("h")
+
+    def key(h: Column) -> Column:
+        return F.struct(F.xxhash64(h).alias("a"), F.xxhash64(F.lit(37), h).alias("b"))
+
+    hashed = (docs.where(F.col("text").isNotNull()).groupBy(*doc).agg(F.max("text").alias("text"))
+              .select(*doc, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+              .where(n >= min_words))
+    grams = F.transform(F.sequence(F.lit(1), n - in_gram + 1), lambda i: F.struct(
+        F.xxhash64(F.slice("h", i, in_gram)).alias("gram"), i.alias("at")))
+    least = F.transform(F.sequence(F.lit(1), n - min_words + 1), lambda i: F.array_min(F.slice("g", i, in_window)))
+    marks = stored(hashed.withColumn("g", grams).select(*doc, F.explode(F.array_distinct(least)).alias("m"))
+                   .select(*doc, "m.*"), "marks")
+    shared = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    near = (marks.join(shared, "gram", "left_semi").groupBy(*doc).agg(F.collect_set("at").alias("at"))
+            .withColumnsRenamed({"doc_id": "id", "doc_key": "key"}))
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(
+        F.greatest(F.lit(1), p - in_window + 1), F.least(p, n - min_words + 1)))))
+    windows = stored(hashed.join(near, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+                     .select(*doc, "h", F.explode(starts).alias("pos"))
+                     .select(*doc, "pos", key(F.slice("h", F.col("pos"), min_words)).alias("run_key")), "passages")
+    place = F.struct("doc_id", "doc_key", "pos")
+    first = windows.groupBy("run_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    by_place = Window.partitionBy(*doc).orderBy("pos")
+    return (windows.join(first, "run_key").where(~place.eqNullSafe(F.col("first"))).select(*doc, "pos")
+            .withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(by_place) > min_words, F.lit(True)))
+            .withColumn("run", F.sum(F.col("new").cast("int")).over(by_place))
+            .groupBy(*doc, "run").agg(F.min("pos").alias("first"), (F.max("pos") + min_words - 1).alias("last"))
+            .groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")))
+
+
+def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with ``text`` replaced by its kept words, each with the white
+    space that follows it, and ``n_words`` and ``n_removed``.
+
+    A word goes if it lies in ``min_words`` words in a row, wherever lines end,
+    that occurred before in corpus order.
+    """
+    whole = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key"))
+    gone = repeated_passages(docs.select("doc_id", text_key(F.col("text")).alias("doc_key"), "text"), min_words).alias("gone")
+    text, spans = F.col("doc.text"), F.col("gone.spans")
+    joined = whole.join(gone, (F.col("key") == F.col("doc_key")) & F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    pieces = F.regexp_extract_all(text, F.lit(f"([^{SPACE_CLASS}]+[{SPACE_CLASS}]*)"))
+
+    def between(p: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["last"]))
+        firsts = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(p) + 1))
+        return F.flatten(F.zip_with(ends, firsts, lambda a, b: F.slice(p, a + 1, b - a - 1)))
+
+    kept = F.concat(F.regexp_extract(text, f"^[{SPACE_CLASS}]*", 0), F.array_join(let(pieces, between), ""))
+    removed = F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
+    return joined.select(
+        *[F.col(f"doc.`{c}`") for c in docs.columns if c not in ("text", "n_words", "n_removed")],
+        F.when(spans.isNull(), text).otherwise(kept).alias("text"),
+        F.size(words(text)).cast("bigint").alias("n_words"),
+        F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"))
+
+
+def op7_winnow_passages(spark, sf_dir):
+    return without_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", "text")
+
+
 def op7_winnow_lines(spark, sf_dir):
     return deduped(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", "text")
@@ -99,3 +174,19 @@ kept AS (SELECT c.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, k.text
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+PASSAGES = f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t-\\r]+[ \\t-\\r]*') AS p,
+                  list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {MIN_WORDS - 1})) AS pos FROM t WHERE len(w) >= {MIN_WORDS}),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(w[pos:pos + {MIN_WORDS - 1}], ' ')
+                                             ORDER BY doc_id, pos) AS nth FROM c),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + {MIN_WORDS - 1})) AS pos FROM r WHERE nth > 1),
+e AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM t),
+k AS (SELECT e.doc_id, count(g.pos) AS n_removed,
+             string_agg(e.piece, '' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL) AS kept
+      FROM e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY 1)
+SELECT t.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       CASE WHEN n_removed > 0 THEN regexp_extract(text, '^[ \\t-\\r]*') || coalesce(kept, '') ELSE text END AS text
+FROM t LEFT JOIN k USING (doc_id)
+"""

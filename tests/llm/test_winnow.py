@@ -50,3 +50,43 @@ def test_odd_rows_and_empty_table(spark):
     out = winnow.deduped(cases.docs(spark, rows)).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
     assert winnow.deduped(cases.empty(spark)).count() == 0
+
+
+def brute_words(rows, min_words):
+    """Every word in a run of ``min_words`` words that occurred before goes."""
+    docs = sorted({(i is not None, i or 0, t, i) for i, t in rows if t is not None}, key=lambda d: d[:2])
+    first, out = {}, {}
+    for d in docs:
+        pieces = re.findall("[^ \t-\r]+[ \t-\r]*", d[2])
+        w, cut = [p.rstrip(" \t\n\v\f\r") for p in pieces], set()
+        for a in range(len(w) - min_words + 1):
+            if first.setdefault(tuple(w[a:a + min_words]), (d, a)) != (d, a):
+                cut |= set(range(a, a + min_words))
+        lead = re.match("[ \t-\r]*", d[2])[0]
+        out[d[3], d[2]] = lead + "".join(p for k, p in enumerate(pieces) if k not in cut), len(w), len(cut)
+    return out
+
+
+def test_passages_inside_lines_against_brute_force(spark):
+    rng = random.Random(4)
+    passage = [cases.prose(700 + k, 20).split() for k in range(4)]
+    rows = []
+    for i in range(50):
+        w = cases.prose(i, rng.randrange(5, 60)).split()
+        if i % 2:  # starts and ends anywhere, its lines broken elsewhere
+            at = rng.randrange(len(w))
+            w[at:at] = passage[i % 4][rng.randrange(6):]
+        rows.append((i, rng.choice(["", "  "]) + "".join(x + rng.choice([" ", " ", "  ", "\n", "\t"]) for x in w)))
+    again = " ".join(passage[0])
+    rows += [(100, None), (101, ""), (None, rows[1][1]), (5, rows[5][1]), (103, again + " " + again), (104, "a " * 90)]
+    docs = cases.docs(spark, rows)
+    out = winnow.without_passages(docs, 12)
+    assert set(docs.columns) <= set(out.columns)
+    expected = brute_words(rows, 12)
+    wanted = Counter((i, *(expected[i, t] if t is not None else (None, 0, 0))) for i, t in rows)
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in got) == wanted
+    assert sum(r.n_removed for r in got) > 200
+    assert winnow.without_passages(cases.empty(spark)).count() == 0
+    odd = winnow.without_passages(cases.docs(spark, cases.odd_rows())).collect()
+    assert Counter(r.doc_id for r in odd) == Counter(i for i, _ in cases.odd_rows())
