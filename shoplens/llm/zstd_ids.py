@@ -10,8 +10,9 @@ decompressing others.  The dictionary is trained on the serialized ids of a
 bounded sample of documents and stored beside the blocks.  Spark's own writer
 and reader move the files, so any store that Spark reaches will do.
 
-Tokenizing is remembered per word: the tokenizer splits at white space, so the
-ids of a text are those of its white-space pieces in order.
+Batches of texts are encoded at once (``word_ids``); a tokenizer that does not
+split at white space encodes whole texts.  The number of range partitions
+follows the bytes of text (``PART_BYTES``).
 
 Defined results: null counts as empty, and an empty text has the end id only;
 null ids come first; rows of equal id are ordered by text hash, equal rows take
@@ -22,18 +23,18 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import WORDS, kept, n_partitions, scratch_path, table
+from shoplens.llm.common import kept, n_partitions, scratch_path, table
+from shoplens.llm.word_ids import WordEncoder, public_tokenizer
 
 END_ID = 2
 # The dictionary: bytes, and the documents (count, characters each) it is trained on.
@@ -41,90 +42,26 @@ DICTIONARY_BYTES = 65536
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
 LEVEL = 3
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 20
-# Words a Python worker remembers the ids of: so many lately met, and as many
-# met before those.
-MAX_CACHE = 800_000
-
-# Letters that neither compose nor change length in lower case: a run of them
-# is one piece to the tokenizer, and so is a sentence mark after it.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]?)")
-UNICODE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-
-
-class WordEncoder:
-    """Ids of texts as little-endian arrays of ``dtype`` (16 bits if all fit)."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        top = max(vocabulary.values())
-        self.dtype = np.dtype("<u2") if max(top, END_ID) < 65536 else np.dtype("<u4")
-        self.ends = np.zeros(top + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn_plain(self, heads: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(heads):
-            for w, a, b in zip(heads, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
-                self.known[w] = ids[a:b].tobytes()
-        else:
-            for w in heads:
-                self.known[w] = self._ids(w)
-
-    def _learn(self, missing: set[str]) -> None:
-        marked, heads = [], set()
-        for w in missing:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                self.known[w] = self._ids(w)
-            elif m[1]:
-                marked.append(w)
-                heads.add(w[:-1].lower())
-                if m[1] not in self.known:
-                    self.known[m[1]] = self._ids(m[1])
-            else:
-                marked.append(w)
-                heads.add(w.lower())
-        new = [h for h in heads if h not in self.known]
-        for at in range(0, len(new), 5000):
-            self._learn_plain(new[at:at + 5000])
-        for w in marked:
-            last = w[-1]
-            self.known[w] = self.known[w.lower()] if last.isalpha() else self.known[w[:-1].lower()] + self.known[last]
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, then the end id."""
-        pieces = WORDS.findall(text) if UNICODE_SPACE.search(text) else text.split()
-        missing = set(pieces).difference(self.known)
-        if missing:
-            if len(self.known) > MAX_CACHE:
-                self.known, self.older, missing = {}, self.known, set(pieces)
-            again = missing & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            self._learn(missing - again)
-        return b"".join([*map(self.known.__getitem__, pieces), self.end])
+PART_BYTES = 64 << 20
+
+BLOCK = pa.schema([("part", pa.int32()), ("ids_before", pa.int64()), ("sha256", pa.string()), ("id_bytes", pa.int32()),
+                   ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())),
+                   ("frames", pa.binary())])
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary from the documents whose id has the least hash;
     no bytes if there are too few to train on."""
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer))
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer, END_ID))
         for b in batches:
-            yield pd.DataFrame({"ids": [encoder.encode(t or "") for t in b["text"]]})
+            made, counts = encoder.encode_all(b.column("text"), END_ID)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(made, np.cumsum(counts)[:-1])][:len(counts)], pa.binary())], ["ids"])
 
     sample = (docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
               .orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select("text"))
-    samples = sorted(bytes(r["ids"]) for r in sample.mapInPandas(ids, "ids binary").collect())
+    samples = sorted(bytes(r["ids"]) for r in sample.mapInArrow(ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples
@@ -140,36 +77,39 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark.range(1).select(F.lit(sha).alias("sha256"), F.lit(dictionary).alias("dictionary")).write.parquet(f"{path}/dictionary")
     sent = spark.sparkContext.broadcast(dictionary)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer, END_ID))
         shared = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
         if shared:
             shared.precompute_compress(level=LEVEL)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
-        part, before, ids, counts, frames = TaskContext.get().partitionId(), 0, [], [], []
+        part, before, held, ids, counts, frames = TaskContext.get().partitionId(), 0, 0, [], [], []
 
-        def block() -> pd.DataFrame:
-            return pd.DataFrame({
-                "part": [part], "ids_before": [before], "sha256": [sha], "id_bytes": [encoder.dtype.itemsize],
-                "doc_ids": [ids], "n_tokens": [counts], "offsets": [np.cumsum([0, *map(len, frames)])], "frames": [b"".join(frames)]})
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{
+                "part": part, "ids_before": before, "sha256": sha, "id_bytes": encoder.dtype.itemsize,
+                "doc_ids": ids, "n_tokens": counts, "offsets": np.cumsum([0, *map(len, frames)]), "frames": b"".join(frames)}], schema=BLOCK)
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                data = encoder.encode(text)
-                ids.append(None if doc_id is pd.NA else int(doc_id))
-                counts.append(len(data) // encoder.dtype.itemsize)
-                frames.append(compressor.compress(data))
-                if len(ids) >= BLOCK_DOCS or sum(counts[-1:]) >= BLOCK_IDS or sum(counts) >= BLOCK_IDS:
+            made, sizes = encoder.encode_all(b.column("text"), END_ID)
+            data, at = memoryview(made).cast("B"), 0
+            for doc_id, size in zip(b.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
+                end = at + size * encoder.dtype.itemsize
+                ids.append(doc_id)
+                counts.append(size)
+                frames.append(compressor.compress(data[at:end]))
+                at, held = end, held + size
+                if len(ids) >= BLOCK_DOCS or held >= BLOCK_IDS:
                     yield block()
-                    before += sum(counts)
-                    ids, counts, frames = [], [], []
+                    before, held, ids, counts, frames = before + held, 0, [], [], []
         if ids:
             yield block()
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    (docs.repartitionByRange(n_partitions(spark), *order).sortWithinPartitions(*order)
-     .mapInPandas(pack, "part int, ids_before bigint, sha256 string, id_bytes int, doc_ids array<bigint>, "
-                        "n_tokens array<bigint>, offsets array<bigint>, frames binary")
+    (docs.repartitionByRange(max(n_partitions(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
+     .mapInArrow(pack, "part int, ids_before bigint, sha256 string, id_bytes int, doc_ids array<bigint>, "
+                       "n_tokens array<bigint>, offsets array<bigint>, frames binary")
      .withColumn("first_id", F.array_min("doc_ids")).withColumn("last_id", F.array_max("doc_ids"))
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
@@ -225,11 +165,6 @@ def read_document(spark, path: str, doc_id: int) -> list[list[int]]:
             for r in hits.orderBy("part", "ids_before", "k").collect()]
 
 
-def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 def checked(ids: DataFrame) -> DataFrame:
     """The digest of what ``read_ids`` returns."""
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

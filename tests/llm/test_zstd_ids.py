@@ -1,16 +1,18 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from shoplens.llm import zstd_ids
+from shoplens.llm import word_ids, zstd_ids
 from shoplens.llm.common import scratch_path
 
 from . import cases
 
-PATH = zstd_ids.public_tokenizer()
+PATH = word_ids.public_tokenizer()
 
 
 @pytest.fixture(scope="module")
@@ -23,20 +25,31 @@ def ids(plain, text):
 
 
 ODD = ["", " ", "a", "Don't we'll 'tis it's", "x<|endoftext|>y <|startoftext|>", "İstanbul ΣΊΣΥΦΟΣ ß ŉ ǅ Ǆ K Å", "é ́a á.",
-       "1234 5,6 a1b2", "Hello,World! foo.bar... baz?! end.", "\x1c a\x85b\xa0c d　e", "漢字 한글 하", "mail@x.org http://a/b?c=d", "\x00 � 🙂🙂"]
-
-
-def test_remembered_words_give_the_tokenizers_ids(plain):
-    encoder = zstd_ids.WordEncoder(PATH)
-    for text in [*ODD, " ".join(ODD), *[t or "" for _, t in cases.odd_rows()]]:
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids(plain, text), text
-
-
-def test_cache_limit_changes_nothing(plain, monkeypatch):
-    monkeypatch.setattr(zstd_ids, "MAX_CACHE", 5)
-    encoder = zstd_ids.WordEncoder(PATH)
-    for text in ODD:
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == ids(plain, text)
+       "1234 5,6 a1b2", "YES!!", "a$$$ b&&& c.,!! d<| e<|endoftext|>!", "it's' x'", "rock'n'roll ''s", "Hello,World! foo.bar... baz?! end.", "\x1c a\x85b\xa0c d　e", "漢字 한글 하", "mail@x.org http://a/b?c=d", "\x00 � 🙂🙂"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("cache", [word_ids.MAX_CACHE, 5])
+def test_batches_give_the_tokenizers_ids(name, cache, monkeypatch):
+    monkeypatch.setattr(word_ids, "MAX_CACHE", cache)
+    monkeypatch.setattr(word_ids, "CHUNK_BYTES", 100)
+    path = word_ids.public_tokenizer(name)
+    tokenizer = Tokenizer.from_file(path)
+    texts = [*ODD, " ".join(ODD), *[t for _, t in cases.odd_rows()], *ODD]
+    encoder = word_ids.WordEncoder(path)
+    made, counts = encoder.encode_all(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(made, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == ids(tokenizer, text), text
+    assert [len(x) for x in encoder.encode_all(pa.array([], pa.string()), 2)] == [0, 0]
+
+
+def test_random_texts_give_the_tokenizers_ids(plain):
+    rng = random.Random(3)
+    letters = "aZéÉßøĦ'’.,!?-$<|>\x1c\x85\xa0\u0301\u0307İſK漢9 \t\n" * 3 + "abcdefghst"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    made, counts = word_ids.WordEncoder(PATH).encode_all(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(made, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == ids(plain, text), text
 
 
 def test_round_trip(spark, plain, monkeypatch):
