@@ -3,7 +3,7 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, signature_tree, winnow, zstd_ids
+from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, resampling, signature_tree, vector_fit, winnow, zstd_ids
 
 QUERIES = {
     "op3_signature_tree": signature_tree.op3_signature_tree,
@@ -17,6 +17,8 @@ QUERIES = {
     "op7_winnow_passages": winnow.op7_winnow_passages,
     "op5_imatch": imatch.op5_imatch,
     "op8_feistel_shards": feistel.op8_feistel_shards,
+    "op12_vector_fit": vector_fit.op12_vector_fit,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLE: dict[str, str] = {
@@ -24,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op6_containment": containment.ORACLE,
     "op7_winnow_lines": winnow.ORACLE,
     "op7_winnow_passages": winnow.PASSAGES,
+    "op13_resampling": resampling.ORACLE,
 }
