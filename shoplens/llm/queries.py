@@ -3,7 +3,7 @@ can state the same rows."""
 
 from __future__ import annotations
 
-from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, resampling, signature_tree, vector_fit, winnow, zstd_ids
+from shoplens.llm import containment, crf, factor_machine, feistel, hpylm, imatch, mixing, prefix_trie, resampling, signature_tree, vector_fit, winnow, zstd_ids
 
 QUERIES = {
     "op3_signature_tree": signature_tree.op3_signature_tree,
@@ -17,6 +17,7 @@ QUERIES = {
     "op7_winnow_passages": winnow.op7_winnow_passages,
     "op5_imatch": imatch.op5_imatch,
     "op8_feistel_shards": feistel.op8_feistel_shards,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_vector_fit": vector_fit.op12_vector_fit,
     "op13_resampling": resampling.op13_resampling,
 }
@@ -26,5 +27,6 @@ ORACLE: dict[str, str] = {
     "op6_containment": containment.ORACLE,
     "op7_winnow_lines": winnow.ORACLE,
     "op7_winnow_passages": winnow.PASSAGES,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_resampling": resampling.ORACLE,
 }

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 
 # Pieces a Python worker remembers the ids of: so many lately met, and as many
 # met before those.
-MAX_CACHE = 800_000
+MAX_CACHE = 600_000
 # Bytes of text that are worked on at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a run of marks after it (but for
