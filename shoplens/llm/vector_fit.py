@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import broadcast_if, kept, stored, table
-from shoplens.llm.word_ids import WordEncoder, public_tokenizer
+from shoplens.llm.word_ids import WordEncoder, chunks, public_tokenizer
 
 END_ID = 0
 MAX_TOKENS = 2048
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_piece: int = MAX_TOKENS, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer, end_id))
         task, seen = TaskContext.get().partitionId(), np.zeros(max_piece + 1, np.int64)
-        for b in batches:
+        for b in chunks(batches):
             made, sizes = encoder.encode_all(b.column("text"), end_id)
             pieces = -(-sizes // max_piece)
             doc = np.repeat(np.arange(len(sizes)), pieces)

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces a Python worker remembers the ids of: so many lately met, and as many
-# met before those.
-MAX_CACHE = 600_000
+# Pieces a Python worker remembers the ids of, before it begins anew.
+MAX_CACHE = 2_000_000
 # Bytes of text that are worked on at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a run of marks after it (but for
@@ -53,54 +53,64 @@ class WordEncoder:
         self.by_word = splits_at_space(path)
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _forget(self) -> None:
+        """Known pieces, and where the ids of each begin in ``pool``."""
+        self.words, self.pool, self.starts = pa.array([""], pa.large_string()), np.empty(0, self.dtype), np.zeros(2, np.int64)
 
-    def _learn_plain(self, heads: list[str]) -> None:
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in made]
+
+    def _encode_heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded as one text."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(heads):
-            for w, a, b in zip(heads, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
-                self.known[w] = ids[a:b].tobytes()
-        else:
-            for w in heads:
-                self.known[w] = self._ids(w)
+        if len(cuts) != len(heads):
+            return self._encode(heads)
+        data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, missing: list[str]) -> None:
-        plain, other, known = {}, [], self.known
+        """Add pieces that are not known."""
+        plain, other = {}, []
         for w in missing:
             m = PLAIN.fullmatch(w)
             if m is None:
                 other.append(w)
             else:
                 plain[w] = (m[1].lower(), m[2])
-                if m[2] not in known:
-                    known[m[2]] = self._ids(m[2])
-        new = list({head for head, _ in plain.values() if head not in known})
-        for at in range(0, len(new), 5000):
-            self._learn_plain(new[at:at + 5000])
-        for w, (head, marks) in plain.items():
-            known[w] = known[head] + known[marks]
-        for at in range(0, len(other), 5000):
-            part = other[at:at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        found = [*map(self.known.get, pieces)]
-        missing = [w for w, ids in zip(pieces, found, strict=True) if ids is None]
-        if missing:
-            if len(self.known) > MAX_CACHE:
-                self.known, self.older, missing = {"": b""}, self.known, pieces
-            again = [w for w in missing if w in self.older]
-            self.known.update((w, self.older[w]) for w in again)
-            self._learn([w for w in missing if w not in self.known])
-            found = [*map(self.known.__getitem__, pieces)]
-        return found
+        parts = list({h for h, _ in plain.values()} | {m for _, m in plain.values()})
+        at = self._find(pa.array(parts, pa.large_string())).tolist()
+        data, ends = self.pool.tobytes() if plain else b"", (self.starts * self.dtype.itemsize).tolist()
+        got = {p: data[ends[k]:ends[k + 1]] for p, k in zip(parts, at, strict=True) if k >= 0}
+        new = [p for p, k in zip(parts, at, strict=True) if k < 0]
+        for encode, some in ((self._encode_heads, [p for p in new if p[0].isalpha()]), (self._encode, [p for p in new if not p[0].isalpha()] + other)):
+            for a in range(0, len(some), 5000):
+                got.update(zip(some[a:a + 5000], encode(some[a:a + 5000]), strict=True))
+        add = {p: got[p] for p in new} | {w: got[w] for w in other} | {w: got[h] + got[m] for w, (h, m) in plain.items()}
+        self.words = pa.concat_arrays([self.words, pa.array(add, pa.large_string())])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(add.values()), self.dtype)])
+        sizes = np.fromiter(map(len, add.values()), np.int64, len(add)) // self.dtype.itemsize
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(pieces, value_set=self.words), -1).to_numpy()
+
+    def _known(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces among the known, learning the others."""
+        at = self._find(pieces)
+        if len(self.words) > MAX_CACHE and (at < 0).any():
+            self._forget()
+            at = self._find(pieces)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            some = pieces.take(pa.array(missing))
+            self._learn(some.to_pylist())
+            at = at.copy()
+            at[missing] = self._find(some)
+        return at
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
@@ -108,37 +118,37 @@ class WordEncoder:
             return np.concatenate([*made, np.empty(0, self.dtype)]), np.array([len(m) for m in made], np.int64)
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        known = self._pieces(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
-        pool = np.frombuffer(b"".join(known), self.dtype)
-        which = words.indices.to_numpy()
-        sizes = size[which]
-        to = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        shift = (np.cumsum(size, dtype=np.int64) - size)[which] - to[:-1]
-        small = np.int32 if max(len(pool), to[-1]) < 1 << 31 else np.int64
-        ids = pool[np.repeat(shift.astype(small), sizes) + np.arange(to[-1], dtype=small)]
+        known, which = self._known(words.dictionary), words.indices.to_numpy()
+        starts = self.starts[known]
+        sizes = (self.starts[known + 1] - starts)[which]
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        small = np.int32 if max(len(self.pool), to[-1]) < 1 << 31 else np.int64
+        ids = self.pool[np.repeat((starts[which] - to[:-1]).astype(small), sizes) + np.arange(to[-1], dtype=small)]
         return ids, np.diff(to[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) one after the other, ``end_id``
         after each, and the number of ids of each."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes) // CHUNK_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-        all_ids, all_counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            ids, counts = self._chunk(texts.slice(a, b - a))
-            out = np.empty(len(ids) + len(counts), self.dtype)
-            ended = np.zeros(len(out), bool)
-            ended[np.cumsum(counts + 1) - 1] = True
-            out[ended] = end_id
-            out[~ended] = ids
-            all_ids.append(out)
-            all_counts.append(counts + 1)
-        return np.concatenate(all_ids), np.concatenate(all_counts)
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        ids, counts = self._chunk(pc.fill_null(texts.cast(pa.large_string()), ""))
+        out = np.empty(len(ids) + len(counts), self.dtype)
+        ended = np.zeros(len(out), bool)
+        ended[np.cumsum(counts + 1) - 1] = True
+        out[ended] = end_id
+        out[~ended] = ids
+        return out, counts + 1
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut where their texts exceed ``CHUNK_BYTES``."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()
+        group = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if z > a:
+                yield b.slice(a, z - a)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import kept, n_partitions, scratch_path, table
-from shoplens.llm.word_ids import WordEncoder, public_tokenizer
+from shoplens.llm.word_ids import WordEncoder, chunks, public_tokenizer
 
 END_ID = 2
 # The dictionary: bytes, and the documents (count, characters each) it is trained on.
 DICTIONARY_BYTES = 65536
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
-LEVEL = 3
+LEVEL = 2
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 20
 PART_BYTES = 64 << 20
 
@@ -55,7 +55,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"ids of {tokenizer}", lambda: WordEncoder(tokenizer, END_ID))
-        for b in batches:
+        for b in chunks(batches):
             made, counts = encoder.encode_all(b.column("text"), END_ID)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(made, np.cumsum(counts)[:-1])][:len(counts)], pa.binary())], ["ids"])
 
@@ -90,7 +90,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
                 "part": part, "ids_before": before, "sha256": sha, "id_bytes": encoder.dtype.itemsize,
                 "doc_ids": ids, "n_tokens": counts, "offsets": np.cumsum([0, *map(len, frames)]), "frames": b"".join(frames)}], schema=BLOCK)
 
-        for b in batches:
+        for b in chunks(batches):
             made, sizes = encoder.encode_all(b.column("text"), END_ID)
             data, at = memoryview(made).cast("B"), 0
             for doc_id, size in zip(b.column("doc_id").to_pylist(), sizes.tolist(), strict=True):

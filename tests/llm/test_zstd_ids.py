@@ -32,14 +32,17 @@ ODD = ["", " ", "a", "Don't we'll 'tis it's", "x<|endoftext|>y <|startoftext|>",
 @pytest.mark.parametrize("cache", [word_ids.MAX_CACHE, 5])
 def test_batches_give_the_tokenizers_ids(name, cache, monkeypatch):
     monkeypatch.setattr(word_ids, "MAX_CACHE", cache)
-    monkeypatch.setattr(word_ids, "CHUNK_BYTES", 100)
     path = word_ids.public_tokenizer(name)
     tokenizer = Tokenizer.from_file(path)
     texts = [*ODD, " ".join(ODD), *[t for _, t in cases.odd_rows()], *ODD]
     encoder = word_ids.WordEncoder(path)
-    made, counts = encoder.encode_all(pa.array(texts), 2)
-    for text, got in zip(texts, np.split(made, np.cumsum(counts)[:-1]), strict=True):
-        assert got.tolist() == ids(tokenizer, text), text
+    monkeypatch.setattr(word_ids, "CHUNK_BYTES", 100)
+    parts = [*word_ids.chunks([pa.record_batch([pa.array(texts)], ["text"]), pa.record_batch([pa.array([], pa.string())], ["text"])])]
+    assert len(parts) > 5 and [t for p in parts for t in p.column("text").to_pylist()] == texts
+    for part in parts:
+        made, counts = encoder.encode_all(part.column("text"), 2)
+        for text, got in zip(part.column("text").to_pylist(), np.split(made, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == ids(tokenizer, text), text
     assert [len(x) for x in encoder.encode_all(pa.array([], pa.string()), 2)] == [0, 0]
 
 
