@@ -17,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces a Python worker remembers the ids of, before it begins anew.
-MAX_CACHE = 2_000_000
-# Bytes of text that are worked on at once.
-CHUNK_BYTES = 16 << 20
+MAX_CACHE = 1_000_000
+# Pieces learned, and bytes of text worked on, at once.
+LEARN_WORDS = 100_000
+CHUNK_BYTES = 8 << 20
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a run of marks after it (but for
@@ -73,7 +74,7 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, missing: list[str]) -> None:
-        """Add pieces that are not known."""
+        """Add pieces that are not known (some may be by now, as parts of others)."""
         plain, other = {}, []
         for w in missing:
             m = PLAIN.fullmatch(w)
@@ -82,10 +83,10 @@ class WordEncoder:
             else:
                 plain[w] = (m[1].lower(), m[2])
         parts = list({h for h, _ in plain.values()} | {m for _, m in plain.values()})
-        at = self._find(pa.array(parts, pa.large_string())).tolist()
-        data, ends = self.pool.tobytes() if plain else b"", (self.starts * self.dtype.itemsize).tolist()
-        got = {p: data[ends[k]:ends[k + 1]] for p, k in zip(parts, at, strict=True) if k >= 0}
-        new = [p for p, k in zip(parts, at, strict=True) if k < 0]
+        at = self._find(pa.array(parts, pa.large_string()))
+        known, new = np.flatnonzero(at >= 0).tolist(), [parts[k] for k in np.flatnonzero(at < 0)]
+        got = {parts[k]: self.pool[a:b].tobytes() for k, a, b in
+               zip(known, self.starts[at[known]].tolist(), self.starts[at[known] + 1].tolist(), strict=True)}
         for encode, some in ((self._encode_heads, [p for p in new if p[0].isalpha()]), (self._encode, [p for p in new if not p[0].isalpha()] + other)):
             for a in range(0, len(some), 5000):
                 got.update(zip(some[a:a + 5000], encode(some[a:a + 5000]), strict=True))
@@ -107,7 +108,8 @@ class WordEncoder:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             some = pieces.take(pa.array(missing))
-            self._learn(some.to_pylist())
+            for a in range(0, len(some), LEARN_WORDS):
+                self._learn(some[a:a + LEARN_WORDS].to_pylist())
             at = at.copy()
             at[missing] = self._find(some)
         return at
