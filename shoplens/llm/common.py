@@ -4,6 +4,7 @@ scratch folder, word and shingle expressions, and row order over a whole table.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -131,3 +132,21 @@ def kept(name: str, make):
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def lean(run):
+    """``run`` (a function from iterator to iterator), giving the memory that it
+    freed back to the system at the end: Python workers outlive their tasks, and
+    an idle one would keep it from the stages that follow."""
+
+    def leaner(rows):
+        try:
+            yield from run(rows)
+        finally:
+            import pyarrow as pa
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
+
+    return leaner

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import table
+from shoplens.llm.common import lean, table
 from shoplens.llm.features import fold, labelled_sample
 
 MAX_SAMPLE = 4000
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
                                     "spans": [[{"start": x, "end": y} for x, y in f[1]] for f in found]})
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int>>")
+        lean(run), "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) -> DataFrame:
@@ -303,13 +303,16 @@ def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) ->
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = ToxicChain.__new__(ToxicChain)
         m.__dict__.update(sent.value | {"memory": ({}, [])})
         for b in batches:
             texts = [t or "" for t in b]
             yield pd.Series([s for at in range(0, len(texts), 1000) for s, _ in m.results(texts[at:at + 1000])], dtype="float64")
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(scores)(batches)
+
     return docs.where(F.pandas_udf(run, "double")(F.col("text")) < threshold)
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import stored, table, text_key
+from shoplens.llm.common import lean, stored, table, text_key
 from shoplens.llm.features import MAX_SAMPLE, N_STATS, WORD_BUCKETS, Buckets, featurize, labelled_sample
 
 # language / quality label, and the share of tokens it is to have
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DomainModel
                                 "weights": [x[1].astype(np.float32).tobytes() for x in f],
                                 "stats": [x[2].tobytes() for x in f]})
 
-    rows = sorted(sample.mapInPandas(features, "doc_id bigint, label bigint, ids binary, weights binary, stats binary").collect(),
+    rows = sorted(sample.mapInPandas(lean(features), "doc_id bigint, label bigint, ids binary, weights binary, stats binary").collect(),
                   key=lambda r: r["doc_id"])
     data = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32).astype(float),
              np.frombuffer(r["stats"])) for r in rows]
@@ -128,7 +128,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
                                 "posterior": [m.posterior(*x) for x in f]})
 
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("k")).select("doc_id", "text", "k.a", "k.b")
-    out = keyed.mapInPandas(run, "doc_id bigint, a bigint, b bigint, n_tokens bigint, posterior array<double>")
+    out = keyed.mapInPandas(lean(run), "doc_id bigint, a bigint, b bigint, n_tokens bigint, posterior array<double>")
     return stored(out.select("doc_id", F.struct("a", "b").alias("doc_key"), "n_tokens", "posterior"), "posteriors")
 
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import SHINGLE_WORDS, n_partitions, stored, table
+from shoplens.llm.common import SHINGLE_WORDS, lean, n_partitions, stored, table
 from shoplens.llm.hpylm import batches_of, buckets_for, grouped, loosed, mixed, place, pressed, same, wide
 
 PERCENT = 80
@@ -280,7 +280,7 @@ def candidate_sets(docs: DataFrame):
     (gid, n, grams, keys) of the representatives that may have links."""
     spark, n = docs.sparkSession, buckets_for(docs)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("train")).mapInPandas(
-        batches_of, "batch bigint, ids array<bigint>, train array<bigint>, lengths binary, vocabulary binary, tokens binary").rdd
+        lean(batches_of), "batch bigint, ids array<bigint>, train array<bigint>, lengths binary, vocabulary binary, tokens binary").rdd
     batches = rows.map(lambda r: (place(r[0], n), (
         "batch", (r[0], list(r[1]), list(r[2]), bytes(r[3]), bytes(r[4]), bytes(r[5]))))).partitionBy(n, same)
     sets = stored(spark.createDataFrame(batches.flatMap(lambda r: Texts(r[1][1]).rows()),
@@ -310,7 +310,7 @@ def candidate_sets(docs: DataFrame):
                                pressed(np.minimum(counts[a:z], 65535).astype(np.uint16)))
 
     marked = batches.union(chosen)
-    told = marked.mapPartitions(ask).partitionBy(n, same).mapPartitions(count_part).map(
+    told = marked.mapPartitions(lean(ask)).partitionBy(n, same).mapPartitions(lean(count_part)).map(
         lambda r: (place(r[0], n), r[1])).partitionBy(n, same)
 
     def candidates(records: Iterable) -> Iterator[tuple]:
@@ -326,7 +326,7 @@ def candidate_sets(docs: DataFrame):
                 if len(keys):
                     yield (key << DOC_BITS) + i, len(s), bytearray(s.tobytes()), keys.view(np.int64).tolist()
 
-    found = spark.createDataFrame(marked.union(told).mapPartitions(candidates),
+    found = spark.createDataFrame(marked.union(told).mapPartitions(lean(candidates)),
                                   "gid bigint, n int, grams binary, keys array<bigint>", verifySchema=False)
     return sets, stored(found, "candidates")
 
@@ -379,7 +379,7 @@ def per_group(rows: DataFrame, keys: list[str], act) -> DataFrame:
             yield act(rest)
 
     n = n_partitions(rows.sparkSession)
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(lean(run), "a bigint, b bigint")
 
 
 def block_links(candidates: DataFrame, at: int) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import broadcast_if, kept, stored, table
+from shoplens.llm.common import broadcast_if, kept, lean, stored, table
 from shoplens.llm.word_ids import WordEncoder, chunks, public_tokenizer
 
 END_ID = 0
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_piece: int = MAX_TOKENS, e
                 pa.array(np.full(len(doc), task, np.int32)), pa.array(nth), ids.cast(pa.binary())], schema=PIECE)
 
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, task int, nth bigint, ids binary")
+        lean(cut), "doc_id bigint, piece int, start bigint, length bigint, task int, nth bigint, ids binary")
     return stored(made, "pieces")
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import kept, n_partitions, scratch_path, table
+from shoplens.llm.common import kept, lean, n_partitions, scratch_path, table
 from shoplens.llm.word_ids import WordEncoder, chunks, public_tokenizer
 
 END_ID = 2
@@ -61,7 +61,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
 
     sample = (docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
               .orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select("text"))
-    samples = sorted(bytes(r["ids"]) for r in sample.mapInArrow(ids, "ids binary").collect())
+    samples = sorted(bytes(r["ids"]) for r in sample.mapInArrow(lean(ids), "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples
@@ -108,7 +108,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (docs.repartitionByRange(max(n_partitions(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
-     .mapInArrow(pack, "part int, ids_before bigint, sha256 string, id_bytes int, doc_ids array<bigint>, "
+     .mapInArrow(lean(pack), "part int, ids_before bigint, sha256 string, id_bytes int, doc_ids array<bigint>, "
                        "n_tokens array<bigint>, offsets array<bigint>, frames binary")
      .withColumn("first_id", F.array_min("doc_ids")).withColumn("last_id", F.array_max("doc_ids"))
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
@@ -151,7 +151,7 @@ def read_ids(spark, path: str) -> DataFrame:
                                     "start": starts[r.part] + r.ids_before + np.cumsum(counts) - counts,
                                     "n_tokens": counts, "ids": ids})
 
-    return blocks.mapInPandas(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return blocks.mapInPandas(lean(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def read_document(spark, path: str, doc_id: int) -> list[list[int]]:
