@@ -18,9 +18,8 @@ import pyarrow.compute as pc
 
 # Pieces a Python worker remembers the ids of, before it begins anew.
 MAX_CACHE = 1_000_000
-# Pieces learned, and bytes of text worked on, at once.
-LEARN_WORDS = 100_000
-CHUNK_BYTES = 8 << 20
+# Bytes of text that are worked on at once.
+CHUNK_BYTES = 10 << 20
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a run of marks after it (but for
@@ -58,7 +57,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         """Known pieces, and where the ids of each begin in ``pool``."""
-        self.words, self.pool, self.starts = pa.array([""], pa.large_string()), np.empty(0, self.dtype), np.zeros(2, np.int64)
+        self.words, self.pool, self.starts = pa.array([""], pa.large_string()), np.empty(0, self.dtype), np.zeros(2, np.int32)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -73,16 +72,16 @@ class WordEncoder:
         data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Add pieces that are not known (some may be by now, as parts of others)."""
+    def _learn(self, missing: list[str]) -> np.ndarray:
+        """Add distinct pieces that are not known; their numbers."""
         plain, other = {}, []
         for w in missing:
             m = PLAIN.fullmatch(w)
             if m is None:
                 other.append(w)
             else:
-                plain[w] = (m[1].lower(), m[2])
-        parts = list({h for h, _ in plain.values()} | {m for _, m in plain.values()})
+                plain[w] = m.groups()
+        parts = list({h.lower() for h, _ in plain.values()} | {m for _, m in plain.values()})
         at = self._find(pa.array(parts, pa.large_string()))
         known, new = np.flatnonzero(at >= 0).tolist(), [parts[k] for k in np.flatnonzero(at < 0)]
         got = {parts[k]: self.pool[a:b].tobytes() for k, a, b in
@@ -90,11 +89,14 @@ class WordEncoder:
         for encode, some in ((self._encode_heads, [p for p in new if p[0].isalpha()]), (self._encode, [p for p in new if not p[0].isalpha()] + other)):
             for a in range(0, len(some), 5000):
                 got.update(zip(some[a:a + 5000], encode(some[a:a + 5000]), strict=True))
-        add = {p: got[p] for p in new} | {w: got[w] for w in other} | {w: got[h] + got[m] for w, (h, m) in plain.items()}
-        self.words = pa.concat_arrays([self.words, pa.array(add, pa.large_string())])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(add.values()), self.dtype)])
-        sizes = np.fromiter(map(len, add.values()), np.int64, len(add)) // self.dtype.itemsize
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        first = len(self.words)
+        beside = [p for p in new if p not in plain]
+        add = [got[plain[w][0].lower()] + got[plain[w][1]] if w in plain else got[w] for w in missing] + [got[p] for p in beside]
+        self.words = pa.concat_arrays([self.words, pa.array(missing + beside, pa.large_string())])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(add), self.dtype)])
+        sizes = np.fromiter(map(len, add), np.int32, len(add)) // self.dtype.itemsize
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int32)])
+        return first + np.arange(len(missing))
 
     def _find(self, pieces: pa.Array) -> np.ndarray:
         return pc.fill_null(pc.index_in(pieces, value_set=self.words), -1).to_numpy()
@@ -107,11 +109,8 @@ class WordEncoder:
             at = self._find(pieces)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            some = pieces.take(pa.array(missing))
-            for a in range(0, len(some), LEARN_WORDS):
-                self._learn(some[a:a + LEARN_WORDS].to_pylist())
             at = at.copy()
-            at[missing] = self._find(some)
+            at[missing] = self._learn(pieces.take(pa.array(missing)).to_pylist())
         return at
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +122,11 @@ class WordEncoder:
         known, which = self._known(words.dictionary), words.indices.to_numpy()
         starts = self.starts[known]
         sizes = (self.starts[known + 1] - starts)[which]
-        to = np.concatenate([[0], np.cumsum(sizes)])
-        small = np.int32 if max(len(self.pool), to[-1]) < 1 << 31 else np.int64
-        ids = self.pool[np.repeat((starts[which] - to[:-1]).astype(small), sizes) + np.arange(to[-1], dtype=small)]
+        to = np.zeros(len(sizes) + 1, np.int32 if int(sizes.sum(dtype=np.int64)) < 1 << 31 else np.int64)
+        np.cumsum(sizes, out=to[1:])
+        at = np.arange(to[-1], dtype=to.dtype)
+        at += np.repeat(starts[which] - to[:-1], sizes)
+        ids = self.pool[at]
         return ids, np.diff(to[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
