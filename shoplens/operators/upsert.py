@@ -11,10 +11,10 @@ Scale notes
   key repeated across a third of the batch costs one row per task, not a
   third of the batch in one task (a ``row_number`` window would sort the whole
   group in one task).
-* The anti-join against the target shuffles both sides on the key.  If the
-  target is stored bucketed by the key (``df.write.bucketBy(n, *keys)
-  .saveAsTable(...)``) the target side is read pre-partitioned and only the
-  batch moves.
+* An upsert compares the target with the batch's keys alone; a batch of few
+  keys is broadcast and the target is not shuffled.  A table that is kept by
+  key over many batches belongs in ``sources.keyed_table``, which reads and
+  rewrites only the key buckets that a batch touches.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return df.groupBy(*keys).agg(win).select(*keys, "_w._row.*")
 
 
-def _valid_key(keys: list[str]) -> Column:
+def valid_key(keys: list[str]) -> Column:
     c = F.lit(True)
     for k in keys:
         c = c & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
@@ -51,24 +51,43 @@ def _valid_key(keys: list[str]) -> Column:
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column],
-           keep_newer_target: bool = True) -> DataFrame:
+           keep_newer_target: bool = True, keyed_batch: bool = False) -> DataFrame:
     """K1/K3: every target column overwritten by the batch's latest row per key;
     rows with an empty key are skipped.  A target row whose ``order`` tuple is
     greater survives an older delivery that arrives later (at a tie the batch
-    wins); ``keep_newer_target=False`` lets the order of arrival decide."""
-    valid = batch.where(_valid_key(keys)).select(*target.columns)
-    if keep_newer_target:
-        both = target.withColumn("_from_batch", F.lit(0)).unionByName(valid.withColumn("_from_batch", F.lit(1)))
-        return latest_per_key(both, keys, [*order, F.col("_from_batch")]).select(*target.columns)
-    b = latest_per_key(valid, keys, order)
-    kept = target.join(b.select(*keys), keys, "left_anti")
-    return kept.unionByName(b.select(*target.columns))
+    wins); ``keep_newer_target=False`` lets the order of arrival decide.
+
+    ``target`` has one row per key at most.  The batch is reduced to its latest
+    rows and written once (a batch that is stored so already: ``keyed_batch``).
+    Its keys and order values alone meet the target: up to
+    ``MAX_BROADCAST_KEYS`` of them are broadcast, and then no target row is
+    shuffled; more are joined by a shuffle.
+    """
+    spark, columns = target.sparkSession, target.columns
+    oc = [F.col(c) if isinstance(c, str) else c for c in order]
+    if not keyed_batch:
+        path = staging_path(spark, "upsert-batch")
+        latest_per_key(batch.where(valid_key(keys)).select(*columns), keys, order).select(*columns).write.parquet(path)
+        batch = spark.read.schema(target.schema).parquet(path)
+    small = batch.count() <= MAX_BROADCAST_KEYS
+    near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
+    stamp = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(oc)])
+    if not keep_newer_target:
+        return target.join(near(batch.select(*keys)), keys, "left_anti").unionByName(batch.select(*columns))
+    stamped = batch.select(*keys, stamp.alias("_batch_order"))
+    # stored rows: those without a batch row, or later than it
+    marked = target.withColumn("_stored_order", stamp).join(near(stamped), keys, "left")
+    kept = marked.where("_batch_order IS NULL OR _stored_order > _batch_order").select(*columns)
+    # batch rows: those that no later stored row beats
+    beaten = (target.select(*keys, stamp.alias("_stored_order")).join(near(stamped), keys)
+              .where("_stored_order > _batch_order").select(*keys))
+    return kept.unionByName(batch.select(*columns).join(near(beaten), keys, "left_anti"))
 
 
 def upsert_outcomes(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """K5: counters per outcome -- inserted / updated keys and skipped rows
     (empty key) -- as one row (fetched, inserted, updated, skipped)."""
-    ok = _valid_key(keys)
+    ok = valid_key(keys)
     bk = batch.where(ok).select(*keys).distinct()
     tk = target.select(*keys).distinct().withColumn("_hit", F.lit(True))
     o = bk.join(tk, keys, "left").groupBy().agg(
@@ -88,7 +107,7 @@ def product_upsert(target: DataFrame, batch: DataFrame, keys=("product_id", "pla
     told apart by their values)."""
     keys = list(keys)
     rest = [c for c in target.columns if c not in keys]
-    valid = batch.where(_valid_key(keys))
+    valid = batch.where(valid_key(keys))
     b = latest_per_key(valid, keys, [*order, F.struct(*rest)]).select(*target.columns)
     b = b.withColumn("_in_b", F.lit(True))
     t = target.withColumn("_in_t", F.lit(True))

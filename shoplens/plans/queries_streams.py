@@ -15,6 +15,7 @@ from shoplens.operators import upsert as U
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
 from shoplens.sources import feeds
+from shoplens.sources.keyed_table import KeyedTable
 from shoplens.sources.tables import ORDER_SOURCES
 from shoplens.sources.tables import landed as land
 from shoplens.streaming import jobs
@@ -116,6 +117,21 @@ def _land_deliveries(m, name: str) -> str:
     return land(m.spark, m.sf_dir, "deliveries-a", write, ORDER_SOURCES + ["pages"])
 
 
+def _land_redeliveries(m) -> str:
+    """The two deliveries, and a third one: older states of a part of the orders
+    (another quantity, a day before), repeats of others, and orders without id."""
+    def write(path):
+        from shoplens.plans import queries_feeds as QF
+        some = F.pmod(F.xxhash64("order_id"), F.lit(10))
+        older = (m.orders.where(some < 2).withColumn("quantity", F.col("quantity") + 1)
+                 .withColumn("update_time", F.col("update_time") - F.expr("INTERVAL 1 DAY")))
+        nameless = m.orders.where(some == 3).withColumn("order_id", F.lit(""))
+        again = QF.platform_a_pages(m, older.unionByName(m.orders.where(some.between(1, 2))).unionByName(nameless))
+        for df in [*platform_a_pages_split(m), again]:
+            df.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("append").text(path)
+    return land(m.spark, m.sf_dir, "redeliveries-a", write, ORDER_SOURCES + ["pages"])
+
+
 def platform_a_pages_split(m):
     """Two deliveries: orders paid before 1998, then the rest."""
     from shoplens.plans import queries_feeds as QF
@@ -133,11 +149,14 @@ SELECT order_id, product_name, CAST(gmv AS DOUBLE) AS gmv, quantity, status, str
 FROM mapped_a
 """))
 def stream_orders_upsert(m):
-    """R1s: landed page deliveries -> micro-batch mapping -> keyed upsert."""
-    landing = _land_deliveries(m, "orders")
+    """R1s: landed page deliveries -> micro-batch mapping -> upsert of the touched
+    key buckets; the deliveries hold repeated, late (older) and replayed
+    records and records without an id."""
+    landing = _land_redeliveries(m)
     table = U.staging_path(m.spark, "orders-table")
-    jobs.ingest_feed(m.spark, landing, table, _parse_a, ["order_id", "platform"], [F.col("update_time")], max_files=16)
-    t = U.read_current(m.spark, table)
+    keys, order = ["order_id", "platform"], [F.col("update_time")]
+    jobs.ingest_feed(m.spark, landing, table, _parse_a, keys, order, max_files=16, buckets=16)
+    t = KeyedTable(m.spark, table, keys, order, 16).read()
     return t.select("order_id", "product_name", F.col("gmv").cast("double").alias("gmv"), "quantity", "status",
                     F.date_format("paid_at", "yyyy-MM-dd HH:mm:ss").alias("paid_at"))
 
