@@ -49,12 +49,12 @@ def dirty_creator_upload(m) -> DataFrame:
 
 def exported(m, name: str, df: DataFrame, encoding: str) -> DataFrame:
     """The export written as CSV part files in ``encoding`` (once per data
-    set, under the shared checkpoint folder), then read back through S1:
-    per-file encoding detection and an all-STRING CSV scan."""
+    set, under the shared checkpoint folder), then read back through S1: each
+    file under its own encoding and header."""
     def write(path):
         df.write.option("header", "true").option("encoding", encoding).mode("overwrite").csv(path)
     path = land(m.spark, m.sf_dir, f"upload-{name}", write, ORDER_SOURCES + ["events"])
-    return uploads.load_csv_folder(m.spark, path)
+    return uploads.load_upload(m.spark, path)
 
 
 def shop_export(m) -> DataFrame:

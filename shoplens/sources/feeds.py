@@ -92,16 +92,49 @@ def read_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return explode_pages(spark.read.schema(page_schema(kind)).json(path), kind)
 
 
-def parse_pages(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
-    """Same, for page bodies held in a string column; HTML bodies (S9) are dropped."""
-    ok = text.where(~X.is_html(col))
-    return explode_pages(ok.select(F.from_json(col, page_schema(kind)).alias("p")).select("p.*"), kind)
+def told_pages(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
+    """(page, body, records) of every page, in one parse.  ``page`` is
+    ``data``, ``html``, ``unparsable``, ``no_list`` (JSON without the list) or
+    ``empty``."""
+    key, _ = PAGE_SCHEMAS[kind]
+    schema = T.StructType([*page_schema(kind).fields, T.StructField("_broken", S)])
+    blank = F.trim(F.coalesce(F.col(col), F.lit(""))) == ""
+    p = F.from_json(F.when(~blank & ~X.is_html(col), F.col(col)), schema, {"columnNameOfCorruptRecord": "_broken"})
+    parsed = text.select(F.col(col).alias("body"), blank.alias("blank"), X.is_html(col).alias("html"), p.alias("p"))
+    records = F.coalesce(F.col(f"p.{key}"), F.col(f"p.data.{key}"))
+    page = (F.when(F.col("blank"), "empty").when(F.col("html"), "html").when(F.col("p").isNull() | F.col("p._broken").isNotNull(), "unparsable")
+            .when(records.isNull(), "no_list").otherwise("data"))
+    return parsed.select(page.alias("page"), "body", records.alias("records"))
+
+
+def split_pages(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
+    """S9 + D3: one row per record ``r`` of every data page (one with a null
+    ``r`` for an empty list), and one with its ``body`` for every other page."""
+    told = told_pages(text, kind, col)
+    return told.select("page", F.when(F.col("page") != "data", F.col("body")).alias("body"),
+                       F.explode_outer(F.when(F.col("page") == "data", F.col("records"))).alias("r"))
+
+
+def page_records(split: DataFrame) -> DataFrame:
+    """The records of ``split_pages``."""
+    return split.where("page = 'data' AND r IS NOT NULL").select("r.*")
 
 
-def quarantine_html(text: DataFrame, col: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Split payloads into (data, html) -- html bodies are not feed data."""
-    h = X.is_html(col)
-    return text.where(~h), text.where(h)
+def quarantined(split: DataFrame) -> DataFrame:
+    """The pages of ``split_pages`` that hold no data: (page, body)."""
+    return split.where("page <> 'data'").select("page", "body")
+
+
+def page_counts(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
+    """Pages and records of each kind of page."""
+    return told_pages(text, kind, col).groupBy("page").agg(
+        F.count("*").alias("pages"), F.sum(F.when(F.col("page") == "data", F.size("records")).otherwise(0)).cast("bigint").alias("records"))
+
+
+def parse_pages(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
+    """The records of page bodies held in a string column; pages that are HTML
+    or no data (S9) give none -- ``split_pages`` tells which."""
+    return page_records(split_pages(text, kind, col))
 
 
 # ---------------------------------------------------------------- S8 adapter registry

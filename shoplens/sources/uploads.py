@@ -5,24 +5,21 @@ read as STRING (never ``inferSchema``) and parsed explicitly downstream.
 
 * S11 -- ``gate_uploads`` lists candidate files with ``binaryFile`` metadata
   (path, length) only; the content column is pruned, so nothing is read.
-* S1 -- the encoding of each CSV is detected on Spark (``binaryFile`` +
-  ``decode``): BOM -> utf-8-sig, clean UTF-8 -> utf-8, else gbk, else
-  gb18030, the order the source system tries.  Files are then read in one
-  ``spark.read.csv`` per detected encoding.
-* S2 -- Excel has no Spark source; ``mapInPandas`` parses one workbook per
-  task (files are size-gated by S11 first).
+* S1, S2 -- ``upload_files`` parses each file where its content lies, under its
+  own encoding and header; the parsed records are written once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shoplens import constants as K
+from shoplens.session import checkpoint_root
 
 def gate_uploads(spark: SparkSession, path: str, max_bytes: int = K.UPLOAD_MAX_BYTES,
                  suffixes=tuple(K.UPLOAD_SUFFIXES)) -> DataFrame:
@@ -38,157 +35,41 @@ def gate_uploads(spark: SparkSession, path: str, max_bytes: int = K.UPLOAD_MAX_B
          .when(~ok_size, "too_large").alias("reason"))
 
 
-_ENCODINGS: dict[tuple, str | None] = {}
-
-
-def _file_key(path: str):
-    p = path[5:] if path.startswith("file:") else path
-    try:
-        st = os.stat(p)
-        return (path, st.st_size, int(st.st_mtime))
-    except OSError:
-        return None
-
-
-def detect_encodings(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None]]:
-    """(path, encoding) per file -- the first of utf-8-sig, utf-8, gbk,
-    gb18030 that decodes the whole file.  BOM and UTF-8 validity are checked
-    natively (``is_valid_utf8``); only files that are not UTF-8 go through a
-    strict Python decode (no native GBK validator), a few files per Arrow batch
-    (uploads are at most 50 MB after the S11 gate).  Returns one small row per
-    file to the driver."""
-    def strict_codec(content):
-        # defined inline so it is shipped by value: workers need no import of this package
-        import pandas as pd
-
-        def pick(b):
-            if b is None:
-                return None
-            for c in ("gbk", "gb18030"):
-                try:
-                    bytes(b).decode(c)
-                    return c
-                except UnicodeDecodeError:
-                    continue
-            return None
-        return pd.Series([pick(b) for b in content])
-
-    codec = F.pandas_udf(strict_codec, "string")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    c = F.col("content")
-    bom = F.substring(F.hex(c), 1, 6) == "EFBBBF"
-    utf8 = F.is_valid_utf8(c.cast("string"))
-    enc = F.when(bom, F.lit("utf-8-sig")).when(utf8, F.lit("utf-8")).otherwise(codec(c))
-    # per-file results are metadata: remembered by (path, size, mtime) for local files
-    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
-    keys = {p: _file_key(p) for p in listed}
-    known = {p: _ENCODINGS[k] for p, k in keys.items() if k is not None and k in _ENCODINGS}
-    todo = [p for p in listed if p not in known]
-    found = dict(known)
-    if todo:
-        conf_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        old = spark.conf.get(conf_key, None)
-        spark.conf.set(conf_key, "4")
-        try:
-            rows = raw.where(F.col("path").isin(todo)).select("path", enc.alias("encoding")).collect()
-        finally:
-            if old is None:
-                spark.conf.unset(conf_key)
-            else:
-                spark.conf.set(conf_key, old)
-        for r in rows:
-            found[r["path"]] = r["encoding"]
-            if keys.get(r["path"]) is not None:
-                _ENCODINGS[keys[r["path"]]] = r["encoding"]
-    return [(p, found.get(p)) for p in listed]
-
-
-def read_csv_strings(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    """CSV file(s) of one encoding with every column as STRING (header row kept as names)."""
-    java_enc = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030"}[encoding]
-    df = (spark.read.option("header", "true").option("encoding", java_enc).option("multiLine", "true")
-          .option("inferSchema", "false").option("mode", "PERMISSIVE").csv(path))
-    # the UTF-8 BOM is stripped by the reader; strip a stray one defensively
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-
-
-def read_excel_strings(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of one .xlsx/.xls as a STRING DataFrame (needs openpyxl/xlrd)."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise ValueError("Excel uploads need the openpyxl package, which is not installed") from e
-    def excel_to_pandas(it):
-        # inline so it is shipped by value (workers need no import of this package)
-        import io
-
-        import pandas as pd
-        for pdf in it:
-            for _, row in pdf.iterrows():
-                book = pd.read_excel(io.BytesIO(row["content"]), dtype=str, header=None)
-                rows = book.where(book.notna(), None).values.tolist()
-                yield pd.DataFrame({"path": [row["path"]] * len(rows), "cells": rows})
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    cells = raw.mapInPandas(excel_to_pandas, "path string, cells array<string>")
-    first = cells.first()
-    if first is None:
-        raise ValueError("empty workbook")
-    header = [str(h) if h is not None else f"_c{i}" for i, h in enumerate(first["cells"])]
-    body = cells.where(F.col("cells") != F.array(*[F.lit(h) for h in first["cells"]]))
-    return body.select(*[F.col("cells")[i].alias(h) for i, h in enumerate(header)])
-
-
-def load_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """S1 for an export split over several CSV part files (same header):
-    detect each file's encoding, read each encoding group in one scan, union."""
-    found = detect_encodings(spark, [os.path.join(folder, "*.csv")])
-    if not found or any(e is None for _, e in found):
+def load_upload(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """The uploaded table -- one file or a folder of them, CSV or .xlsx,
+    each under its own header -- with every column STRING.  A file that cannot
+    be read is an error here; ``upload_files.upload_records`` keeps such files
+    and rows with surplus cells apart and counts them."""
+    from shoplens.sources import upload_files as UF
+    root = checkpoint_root(spark)
+    stage = os.path.join(root, "uploads", uuid.uuid4().hex)  # parsed once, read by all that follows
+    UF.upload_records(UF.files(spark, path), max_bytes).write.parquet(stage)
+    records = spark.read.parquet(stage)
+    bad = records.where("kind IN ('rejected', 'extra')").select("path", "kind", "reason", "line").orderBy("path", "line").limit(1).collect()
+    if bad and bad[0]["reason"] == "unknown_encoding":
         raise ValueError("cannot detect the CSV encoding; save it as UTF-8 and retry")
-    groups: dict[str, list[str]] = {}
-    for p, e in found:
-        groups.setdefault(e, []).append(p)
-    frames = [read_csv_strings(spark, ps, e) for e, ps in sorted(groups.items())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
-
-
-def load_upload(spark: SparkSession, path: str) -> DataFrame:
-    """The uploaded table, every column STRING."""
-    suffix = os.path.splitext(path)[1].lower()
-    if suffix in (".xlsx", ".xls"):
-        return read_excel_strings(spark, path)
-    if suffix != ".csv":
-        raise ValueError(f"unsupported file format: {suffix}")
-    found = detect_encodings(spark, [path])
-    if not found or found[0][1] is None:
-        raise ValueError("cannot detect the CSV encoding; save it as UTF-8 and retry")
-    return read_csv_strings(spark, path, found[0][1])
+    if bad:
+        raise ValueError(f"cannot read {os.path.basename(bad[0]['path'])}: " + (bad[0]["reason"] or f"line {bad[0]['line']} has more cells than the header"))
+    return UF.table(records)
 
 
 # ---------------------------------------------------------------- cleaning / header mapping
 def clean(df: DataFrame, materialize: bool = True) -> DataFrame:
     """trim header names, drop all-null rows, all-null columns, exact duplicates.
 
-    The empty-column test is one aggregate pass (one count per column).  An
-    upload is size-bounded (S11 gate), so the cleaned table is checkpointed
-    (reliably, under ``spark.checkpoint.dir``) and every summary aggregate
-    reads it instead of re-parsing and re-deduplicating the file.
+    The cleaned rows are written once (a checkpoint under
+    ``spark.checkpoint.dir``, so every summary aggregate reads them instead of
+    the file); one aggregate over them finds the empty columns, which change
+    neither what is an empty row nor what is a duplicate.
     """
     df = df.toDF(*[str(c).strip() for c in df.columns])
     blank = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))  # noqa: E731 - '' reads as missing
-    df = df.select(*[blank(c).alias(c) for c in df.columns])
-    df = df.na.drop(how="all")
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    keep = [c for i, c in enumerate(df.columns) if counts[f"c{i}"] > 0]
-    out = df.select(*[F.col(f"`{c}`") for c in keep]).dropDuplicates()
+    out = df.select(*[blank(c).alias(c) for c in df.columns]).na.drop(how="all").dropDuplicates()
     if materialize:
-        from shoplens.session import checkpoint_root
         checkpoint_root(df.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+        out = out.checkpoint(eager=False)
+    counts = out.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(out.columns)]).first()
+    return out.select(*[F.col(f"`{c}`") for i, c in enumerate(out.columns) if counts[f"c{i}"] > 0])
 
 
 def normalize_header(name: str) -> str:
@@ -222,11 +103,3 @@ def validate(df: DataFrame, mapping: dict[str, str]) -> None:
 def standardize(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename the recognised source columns to their canonical names."""
     return df.select(*[F.col(f"`{src}`").alias(std) for std, src in mapping.items()])
-
-
-UPLOAD_SCHEMA = T.StructType([T.StructField("filename", T.StringType()),
-                              T.StructField("data_type", T.StringType()),
-                              T.StructField("row_count", T.LongType()),
-                              T.StructField("columns", T.ArrayType(T.StringType())),
-                              T.StructField("summary", T.StringType()),
-                              T.StructField("created_at", T.TimestampType())])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens.operators import upload_summary as U
-from shoplens.sources import uploads
+from shoplens.sources import upload_files, uploads
 
 SHOP_CSV = """日期,商品名称,销售额,订单数,访客数
 2026-07-14,磁吸手机壳,"¥1,234.50",32,1200
@@ -54,7 +54,8 @@ def test_encoding_detection(spark, tmp_dir):
     a = _write(tmp_dir, "a.csv", SHOP_CSV, "utf-8-sig")
     b = _write(tmp_dir, "b.csv", CREATOR_CSV, "gbk")
     c = _write(tmp_dir, "c.csv", MIXED_CSV, "utf-8")
-    got = {os.path.basename(p): e for p, e in uploads.detect_encodings(spark, [a, b, c])}
+    records = upload_files.upload_records(upload_files.files(spark, [a, b, c]))
+    got = {os.path.basename(r["path"]): r["encoding"] for r in records.where("kind = 'header'").collect()}
     assert got == {"a.csv": "utf-8-sig", "b.csv": "gbk", "c.csv": "utf-8"}
 
 
