@@ -2,8 +2,8 @@
 
 Tokens are words with their ends' punctuation cut off, lower-cased.  ``labels``
 marks whole documents, so tokens are labelled first: a token of a toxic
-training document is toxic if its word, or its first four or five letters, is
-in many toxic training documents (``MIN_SHARE``) and far fewer clean ones
+training document is toxic if its word (of any length), or its first four or
+five letters, is in many toxic training documents (``MIN_SHARE``) and far fewer clean ones
 (``MIN_ODDS``); all others, and all tokens of clean documents, are clean.  The field has hashed weights for
 the word, its first 3, 4 and 5 and last 3 letters, and the words before and
 after, and a transition matrix; it is trained by stochastic gradient on the
@@ -19,8 +19,9 @@ Defined results: null counts as empty; a text without words has the marginals
 of no tokens (score low, no spans); equal texts score equal; without toxic
 labelled rows no token is toxic; without labelled rows, or with toxic ones
 only, nothing tells toxic from clean: the field is untrained, every score is
-0.5, no row is predicted toxic and ``without_toxic`` keeps every document; an
-empty table gives no rows; other columns are ignored.
+0, no row is predicted toxic and ``without_toxic`` keeps every document; a null
+id is never held out and never learned from; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +61,13 @@ def kinds(word: str) -> tuple[str, ...]:
     return "w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "e" + word[-3:]
 
 
+def folded(text: str) -> str:
+    """Lower case, letter by letter where the whole would change in length, so
+    that offsets hold in the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text), strict=True))
+
+
 def bucket(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature) % BUCKETS
 
@@ -142,7 +150,7 @@ class ToxicChain:
         if not (y <= 0).any():
             return self
         self.trained = True
-        docs = [TOKEN.findall(t.lower()) for t in texts]
+        docs = [TOKEN.findall(folded(t)) for t in texts]
         toxic = self._toxic_features(docs, y)
         vocabulary: dict[str, int] = {}
         tokens = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int64, len(d)) for d in docs]
@@ -199,7 +207,7 @@ class ToxicChain:
         """Words and word beginnings that tell toxic from clean documents."""
         seen = {True: Counter(), False: Counter()}
         for d, label in zip(docs, y, strict=True):
-            seen[label > 0].update({f for w in set(d) for f in kinds(w) if f[0] in "w45" and len(f) > 4})
+            seen[label > 0].update({f for w in set(d) for f in kinds(w) if f[0] == "w" or f[0] in "45" and len(f) > 4})
         n_toxic, n_clean = int((y > 0).sum()), int((y <= 0).sum())
         return {f for f, k in seen[True].items() if k >= max(MIN_DOCS, MIN_SHARE * n_toxic)
                 and (k + 0.5) / (n_toxic + 1) >= MIN_ODDS * (seen[False][f] + 0.5) / (n_clean + 1)}
@@ -231,7 +239,7 @@ class ToxicChain:
 
         tokens = []
         for t in texts:
-            low = TOKEN.findall(t.lower())
+            low = TOKEN.findall(folded(t))
             tokens.append(np.fromiter(map(look, low), np.int64, len(low)))
         effects = np.array(effect).reshape(-1, 3)
         emission = []
@@ -257,7 +265,7 @@ class ToxicChain:
             spans: list[list[int]] = []
             if (m >= 0.5).any():
                 last = -2
-                for k, match in enumerate(TOKEN.finditer(text.lower())):
+                for k, match in enumerate(TOKEN.finditer(folded(text))):
                     if m[k] >= 0.5:
                         if last == k - 1:
                             spans[-1][1] = match.end()
@@ -286,9 +294,9 @@ def score(docs: DataFrame, model: ToxicChain) -> DataFrame:
             texts = [t or "" for t in b["text"]]
             for at in range(0, len(texts), 1000):
                 found = m.results(texts[at:at + 1000])
-                p = np.array([f[0] for f in found])
+                p = np.array([f[0] if m.trained else 0.0 for f in found])
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:at + 1000].astype("Int64").array, "score": p,
-                                    "predicted": ((p >= 0.5) & m.trained).astype("int32"),
+                                    "predicted": (p >= 0.5).astype("int32"),
                                     "spans": [[{"start": x, "end": y} for x, y in f[1]] for f in found]})
 
     return docs.select("doc_id", "text").mapInPandas(
@@ -319,4 +327,4 @@ def without_toxic(docs: DataFrame, model: ToxicChain, threshold: float = 0.5) ->
 def op4_crf_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold(5) != 0))
-    return score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "spans")
+    return score(docs, model).select("doc_id", fold(5).eqNullSafe(F.lit(0)).alias("held_out"), "score", "predicted", "spans")

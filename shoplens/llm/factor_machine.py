@@ -127,4 +127,4 @@ def score(docs: DataFrame, model: FactorMachine, threshold: float) -> DataFrame:
 def op10_factor_machine(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold(4) != 2), "quality")
-    return score(docs, model, 0.7).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+    return score(docs, model, 0.7).select("doc_id", fold(4).eqNullSafe(F.lit(2)).alias("held_out"), "score", "predicted")

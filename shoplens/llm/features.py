@@ -80,10 +80,12 @@ def fold(modulus: int, id_col: str = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_SAMPLE) -> DataFrame:
     """(doc_id, text, label) of at most ``max_rows`` labelled documents, those
-    whose id has the least hash; rows without id or label are passed over."""
-    chosen = (labels.select("doc_id", F.col(label).alias("label")).dropna()
-              .groupBy("doc_id").agg(F.max("label").alias("label"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    whose id has the least hash; rows without id or label, labels of absent
+    documents, and (as the sample is held in one place) documents of more than
+    ``MAX_SAMPLE_CHARS`` characters are passed over before the choice."""
+    usable = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_SAMPLE_CHARS)
+    chosen = (labels.select("doc_id", F.col(label).alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+              .join(usable.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     # a repeated id counts once, with its least text
-    return (docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_SAMPLE_CHARS)
-            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    return (usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from shoplens.llm import crf
+from shoplens.llm import crf, factor_machine, features
 
 from . import cases
 
@@ -59,7 +59,7 @@ def test_learns_toxic_words_and_marks_spans(spark):
 def test_odd_rows_no_labels_empty_table(spark):
     docs = cases.docs(spark, cases.odd_rows())
     untrained = crf.train(docs, cases.labels(spark, []))
-    assert {r.score for r in crf.score(docs, untrained).collect()} == {0.5}
+    assert {r.score for r in crf.score(docs, untrained).collect()} == {0.0}
     model = crf.train(docs, cases.labels(spark, range(1, 12)))
     out = crf.score(docs, model).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in cases.odd_rows())
@@ -75,7 +75,35 @@ def test_untrained_field_keeps_every_document(spark):
     nulls = spark.createDataFrame([(i, 1, None) for i in ids], "doc_id bigint, quality int, toxic int")
     for labels in (cases.labels(spark, []), nulls, cases.labels(spark, [888_888]), cases.labels(spark, ids, toxic=lambda i: True)):
         model = crf.train(docs, labels)
-        assert {(r.score, r.predicted) for r in crf.score(docs, model).collect()} == {(0.5, 0)}
+        assert {(r.score, r.predicted) for r in crf.score(docs, model).collect()} == {(0.0, 0)}
         kept = crf.without_toxic(docs, model)
         assert kept.columns == docs.columns
         assert cases.as_rows(kept, "doc_id", "text") == cases.as_rows(docs, "doc_id", "text")
+
+
+def test_short_toxic_words_and_offsets_in_the_text_itself(spark):
+    rows = [(k, cases.prose(k, 40) + (" zzq " if k % 3 == 0 else " ok ") + cases.prose(k + 500, 10)) for k in range(300)]
+    rows += [(1000, "İİİ ǅ " + cases.prose(1, 5) + " ZZq " + cases.prose(2, 5))]
+    docs = cases.docs(spark, rows)
+    model = crf.train(docs, cases.labels(spark, range(300)))
+    out = {r.doc_id: r for r in crf.score(docs, model).collect()}
+    assert sum(out[k].predicted == (k % 3 == 0) for k in range(300)) >= 297
+    texts = dict(rows)
+    assert [texts[1000][s.start:s.end] for s in out[1000].spans] == ["ZZq"]
+
+
+def test_labels_of_absent_documents_do_not_starve_the_sample(spark):
+    rows = [(k, cases.prose(k, 20)) for k in range(50)]
+    docs = cases.docs(spark, rows)
+    labels = cases.labels(spark, range(20_000))
+    assert features.labelled_sample(docs, labels, "toxic", 40).count() == 40
+    assert features.labelled_sample(docs, labels, "toxic").count() == 50
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    rows = cases.odd_rows()
+    cases.docs(spark, rows, clashes=False).write.parquet(f"{tmp_path}/documents.parquet")
+    cases.labels(spark, range(12)).write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (crf.op4_crf_toxicity, factor_machine.op10_factor_machine):
+        out = query(spark, str(tmp_path)).collect()
+        assert len(out) == len(rows) and all(r.held_out in (True, False) for r in out)
