@@ -170,7 +170,7 @@ SELECT strftime(ws AT TIME ZONE 'UTC', '{TS}') AS window_start, product_name, CA
 FROM r WHERE rank_no <= 3
 """))
 def stream_top_products(m):
-    """R3s: top-3 products per 30-day window of the order stream (complete mode)."""
+    """R3s: top-3 products per 30-day window of the order stream (sums added batch by batch)."""
     landing = _land_deliveries(m, "topk")
     rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
     t = jobs.top_per_window(m.spark, rows, "paid_at", "product_name", "gmv", "30 days", 3)
@@ -204,10 +204,11 @@ SELECT day, round(gmv, 2) AS gmv, orders, refunds, round(rr, 2) AS refund_rate,
 FROM r WINDOW w AS (ORDER BY day)
 """))
 def stream_order_alerts(m):
-    """R6s: day-over-day gmv-drop and refund-rate-surge flags maintained from the order stream."""
+    """R6s: day-over-day gmv-drop and refund-rate-surge flags, emitted by the
+    micro-batch that moves a day; the last state of every day."""
     landing = _land_deliveries(m, "alerts")
     rows = _parse_a(jobs.page_stream(m.spark, landing, max_files=16))
-    return jobs.order_alerts(jobs.daily_order_kpis(m.spark, rows))
+    return jobs.order_alert_stream(m.spark, rows)
 
 
 @register("stream_dedup_batched", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
