@@ -3,6 +3,8 @@ display text and the write-side helpers."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
@@ -26,7 +28,8 @@ SELECT {TOTALS} FROM std_orders WHERE paid_at BETWEEN TIMESTAMP '1998-06-01' AND
 """))
 def closed_between(m):
     """orders paid between two midnights, both included."""
-    return _totals(m.orders.where(periods.between_closed("paid_at", "1998-06-01", "1998-06-30")))
+    june = m.orders_between(dt.datetime(1998, 6, 1), dt.datetime(1998, 6, 30, 0, 0, 1))  # prunes months
+    return _totals(june.where(periods.between_closed("paid_at", "1998-06-01", "1998-06-30")))
 
 
 @register("epoch_window", with_std(f"""
@@ -38,6 +41,10 @@ def epoch_window(m):
     return _totals(mappers.epoch_window(m.orders, "1998-06-01", "1998-06-30", "delivery_time"))
 
 
+def _midnight(day) -> dt.datetime:
+    return dt.datetime.fromisoformat(str(day)[:10])
+
+
 KINDS = ["weekly", "monthly", "last30", "daily"]
 
 
@@ -53,7 +60,8 @@ def report_ranges(m):
     out = None
     for kind in KINDS:
         a, b = periods.report_range(kind, AS_OF)
-        row = _totals(m.orders.where(periods.in_range("paid_at", a, b))).select(
+        within = m.orders_between(_midnight(a), _midnight(b) + dt.timedelta(days=1))  # prunes months
+        row = _totals(within.where(periods.in_range("paid_at", a, b))).select(
             F.lit(kind).alias("kind"), F.lit(str(a)).alias("first_day"), F.lit(str(b)).alias("last_day"), "orders", "gmv")
         out = row if out is None else out.unionByName(row)
     return out
@@ -69,7 +77,7 @@ def period_presets(m):
     """totals of the preset windows."""
     out = None
     for p, w in PRESETS.items():
-        row = _totals(m.orders.where(w.contains("paid_at")) if w else m.orders).select(F.lit(p).alias("preset"), "orders", "gmv")
+        row = _totals(m.orders_in(w).where(w.contains("paid_at")) if w else m.orders).select(F.lit(p).alias("preset"), "orders", "gmv")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -80,7 +88,8 @@ WHERE paid_at >= date_trunc('week', {ts(W30.end)} - INTERVAL 1 DAY) AND paid_at
 """))
 def current_week(m):
     """from Monday to the end of the as-of day."""
-    return _totals(m.orders.where(periods.current_week("paid_at", AS_OF)))
+    days = m.orders_between(W30.end - dt.timedelta(days=7), W30.end)  # prunes months
+    return _totals(days.where(periods.current_week("paid_at", AS_OF)))
 
 
 @register("newest_orders", with_std("""
@@ -95,20 +104,20 @@ def newest_orders(m):
 
 
 @register("influencers_sorted", with_std("""
-SELECT creator_id, name, roi FROM std_influencers ORDER BY roi ASC NULLS LAST, creator_id LIMIT 20
+SELECT creator_id, name, roi FROM std_influencers ORDER BY roi ASC NULLS LAST, creator_id
 """, influencers=True))
 def influencers_sorted(m):
-    """L4: the first page of a user's sort (all rows: ``influencers_ranked``)."""
-    return influencers.sort_nulls_last(m.influencers.select("creator_id", "name", "roi"), "roi", False, ("creator_id",)).limit(20)
+    """L4: a user's sort of all rows (with ranks: ``influencers_ranked``)."""
+    return influencers.sort_nulls_last(m.influencers.select("creator_id", "name", "roi"), "roi", False, ("creator_id",))
 
 
 @register("products_sorted", with_std("""
 SELECT product_id, platform, CAST(price AS DOUBLE) AS price FROM std_products
-ORDER BY std_products.price DESC NULLS LAST, product_id, platform LIMIT 20
+ORDER BY std_products.price DESC NULLS LAST, product_id, platform
 """, products=True))
 def products_sorted(m):
-    """The same on products (all rows: ``products_ranked``)."""
-    p = influencers.sort_nulls_last(m.products, "price", True, ("product_id", "platform")).limit(20)
+    """The same on products (with ranks: ``products_ranked``)."""
+    p = influencers.sort_nulls_last(m.products, "price", True, ("product_id", "platform"))
     return p.select("product_id", "platform", F.col("price").cast("double").alias("price"))
 
 

@@ -86,3 +86,13 @@ def test_fallback_report_matches_its_parts(spark):
     assert sorted((x["site_code"], x["currency"], x["total_gmv"]) for x in rep["site_breakdown"]) == sites
     reds = [r["influencer_id"] for r in q["influencer_red_list"](spark, SF).collect()]
     assert sorted(x["influencer_id"] for x in rep["influencer_red_list"]) == sorted(reds)
+
+
+@pytest.mark.parametrize("name", ["closed_between", "current_week", "report_ranges", "period_presets"])
+def test_windows_prune_paid_months(spark, name):
+    from shoplens.plans import catalog
+    catalog.load_all()
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    bounded = plan.count("PartitionFilters: [isnotnull(paid_month")
+    # the preset "all" has no bound
+    assert bounded >= plan.count("FileScan parquet") - (name == "period_presets") > 0
