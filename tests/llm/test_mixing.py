@@ -48,3 +48,44 @@ def test_odd_rows_no_labels_empty_table(spark):
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in cases.odd_rows())
     assert mixing.rates(cases.empty(spark), cases.labels(spark, [])).count() == 0
     assert mixing.mixed(cases.empty(spark), cases.labels(spark, [])).count() == 0
+
+
+def skewed(spark, share, hot=7, n=2000):
+    """Posteriors of one domain each, ``share`` of the tokens in domain ``hot``."""
+    k = len(mixing.TARGETS)
+    cold = [d for d in range(k) if d != hot]
+    domains = [hot if i < share * n else cold[i % len(cold)] for i in range(n)]
+    return spark.createDataFrame([(i, 100, [float(j == d) for j in range(k)]) for i, d in enumerate(domains)],
+                                 "doc_id bigint, n_tokens bigint, posterior array<double>")
+
+
+def test_heavy_skew_converges_to_the_ridge_share(spark, recwarn):
+    targets = np.array(list(mixing.TARGETS.values()))
+    for share in (0.7, 0.9):
+        rows = skewed(spark, share)
+        gaps = mixing.fit_gaps(rows, targets)
+        p = np.array([r.posterior for r in rows.collect()])
+        rate = mixing.replay(p, gaps)
+        for d in range(len(targets)):
+            of = rate[p[:, d] == 1]
+            assert np.ptp(of) < 1e-9
+            # the optimum in closed form: gap = RIDGE (1 - r), tokens = r x share
+            assert abs(gaps[-1][d] - mixing.RIDGE * (1 - of[0])) < 2e-3
+        assert gaps[-1].max() < 0.02
+    assert not [w for w in recwarn if "mixing" in str(w.message)]
+
+
+def test_unconverged_descent_says_so_and_gaps_are_reported(spark, monkeypatch):
+    import pytest
+    targets = np.array(list(mixing.TARGETS.values()))
+    rows = skewed(spark, 0.7)
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    with pytest.warns(UserWarning, match="rates still move"):
+        mixing.fit_gaps(rows, targets)
+    fitted = rows.withColumn("rate", F.lit(1.0))
+    got = {r.domain: r for r in mixing.remaining_gaps(fitted).collect()}
+    p = np.array([r.posterior for r in rows.collect()])
+    for i, (d, t) in enumerate(mixing.TARGETS.items()):
+        assert abs(got[d].share - p[:, i].mean()) < 1e-9 and abs(got[d].gap - (p[:, i].mean() / t - 1)) < 1e-6
+    none = mixing.remaining_gaps(fitted.where("false")).collect()
+    assert len(none) == len(targets) and all(r.share is None and r.gap is None for r in none)
