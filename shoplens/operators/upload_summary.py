@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shoplens import constants as K
 from shoplens.functions import exprs as X
+from shoplens.operators import ranking
 
 
 def _num(c: str) -> Column:
@@ -110,7 +111,7 @@ def creator_totals(df: DataFrame) -> DataFrame:
                  F.count_if(F.coalesce(_num("gmv"), F.lit(0.0)) > 0).alias("producing")]
     if _has(df, "roi"):
         r = _num("roi")
-        aggs += [F.avg(r).alias("ar"), F.median(r).alias("mr")]
+        aggs.append(F.avg(r).alias("ar"))
         for i, (_, lo, hi) in enumerate(K.UPLOAD_ROI_BUCKETS):
             cond = r.isNotNull()
             if lo is not None:
@@ -121,6 +122,8 @@ def creator_totals(df: DataFrame) -> DataFrame:
     if _has(df, "videos"):
         aggs.append(F.coalesce(F.sum(_num("videos")), F.lit(0.0)).alias("vid"))
     a = df.agg(*aggs)
+    if _has(df, "roi"):
+        a = X.attach(a, ranking.exact_quantile(df.select(_num("roi").alias("roi")), "roi", 0.5, "mr"))
     nd, nl = F.lit(None).cast("double"), F.lit(None).cast("bigint")
     rate = _r2(F.col("producing") * 100.0 / F.col("n")) if _has(df, "gmv") else nd
     cols = [
