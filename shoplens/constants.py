@@ -120,6 +120,17 @@ COLUMN_ALIASES = {
     "cost": ["cost", "花费", "投放金额", "成本", "spend", "样品成本"],
 }
 
+# ---------------------------------------------------------------------------
+# Period label of a report (all rows; both bounds; first only; last only)
+# ---------------------------------------------------------------------------
+PERIOD_ALL = "全部数据"
+PERIOD_BOTH = "%s 至 %s"
+PERIOD_FROM = "%s 至今"
+PERIOD_UPTO = "截至 %s"
+
+# ---------------------------------------------------------------------------
+# Upload limits, rule thresholds, benchmark ranges
+# ---------------------------------------------------------------------------
 # Upload encodings tried in order.
 UPLOAD_ENCODINGS = ["utf-8-sig", "utf-8", "gbk", "gb18030"]
 UPLOAD_SUFFIXES = [".csv", ".xlsx", ".xls"]

@@ -101,6 +101,15 @@ def attach(base, one_row):
         *[F.col(f"`{c}`") for c in base.columns], *[F.col("_one")[c].alias(c) for c in one_row.columns])
 
 
+def ranked_lines(bounded, order, line, name: str):
+    """One row: ``line(number)`` of every row of a top-k frame, numbered from 1
+    in ``order``, joined by line breaks ('' without rows)."""
+    from pyspark.sql import Window as W
+    i = F.row_number().over(W.orderBy(*order))  # a few rows at most
+    rows = bounded.withColumn("_i", i).select("_i", line(F.col("_i")).alias("_line"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda x: x["_line"]), "\n").alias(name))
+
+
 def exists(df) -> Column:
     """Scalar: does ``df`` hold at least one row (reads at most one row per task)."""
     return df.limit(1).select(F.count(F.lit(1)) > 0).scalar()

@@ -84,6 +84,11 @@ def rolling(as_of: dt.date | dt.datetime | str, days: int) -> Window:
     return Window(start, end, start - dt.timedelta(days=int(days)), start, int(days))
 
 
+def previous(w: Window) -> Window:
+    """the equal-length window before ``w`` as one of its own."""
+    return Window(w.prev_start, w.prev_end, w.prev_start - (w.prev_end - w.prev_start), w.prev_start, w.days)
+
+
 def inclusive_days(start: str | dt.date, end: str | dt.date) -> Window:
     """``[start, end_date + 1 day)``; ``end`` may be a date or ISO datetime."""
     s = _as_datetime(start)

@@ -64,19 +64,30 @@ def influencer_product(orders: DataFrame, influencers: DataFrame, products: Data
         F.round(F.coalesce("roi", F.lit(0.0)), 2).alias("roi"))
 
 
-def influencer_performance(orders: DataFrame, influencers: DataFrame, window: Window, limit: int = 10) -> DataFrame:
+def influencer_performance(orders: DataFrame, influencers: DataFrame, window: Window, limit: int = 10,
+                           ever: str | None = None) -> DataFrame:
     """A18 + J4: influencers with their in-range sales and order count.
 
     Reference semantics of the left join + post-filter: an influencer with no
     orders at all is kept (sales null, orders 0); one whose orders all fall
     outside the window disappears.  Sorted by sales desc, nulls last.
+
+    ``ever`` names a column of ``influencers`` that holds the number of orders
+    ever attributed (the stored roll-up).  With it only the window's orders are
+    read, so a table partitioned by month is pruned; without it the roll-up is
+    made from all ``orders``.
     """
     o = orders.where(F.col("creator_id").isNotNull())
     inr = window.contains("paid_at")
-    agg = o.groupBy("creator_id").agg(
-        F.sum(F.when(inr, F.col("gmv"))).alias("s"), F.count_if(inr).alias("n_in"),
-        F.count(F.lit(1)).alias("n_all"))
-    j = influencers.join(agg, "creator_id", "left").where((F.col("n_in") > 0) | F.col("n_all").isNull())
+    if ever is not None:
+        agg = o.where(inr).groupBy("creator_id").agg(F.sum("gmv").alias("s"), F.count(F.lit(1)).alias("n_in"))
+        kept = (F.col("n_in") > 0) | (F.coalesce(F.col(ever), F.lit(0)) == 0)
+    else:
+        agg = o.groupBy("creator_id").agg(
+            F.sum(F.when(inr, F.col("gmv"))).alias("s"), F.count_if(inr).alias("n_in"),
+            F.count(F.lit(1)).alias("n_all"))
+        kept = (F.col("n_in") > 0) | F.col("n_all").isNull()
+    j = influencers.join(agg, "creator_id", "left").where(kept)
     top = j.orderBy(F.col("s").desc_nulls_last(), "creator_id").limit(limit)
     return top.select(
         F.col("creator_id").alias("influencer_id"), F.col("name").alias("influencer_name"),

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
-from shoplens.functions.periods import Window
+from shoplens.functions.periods import Window, previous
 
 # Closes a digest summary that was cut.
 SUMMARY_CUT = "\n……（其余内容见完整报告）"
@@ -104,15 +104,17 @@ def _collect(df: DataFrame, cols: list[str], order: Column | None = None, name:
 
 
 def fallback_report(orders: DataFrame, products: DataFrame, influencers: DataFrame, window: Window,
-                    report_type: str = "weekly", site_code: str | None = None) -> DataFrame:
+                    report_type: str = "weekly", site_code: str | None = None, ever: str | None = None) -> DataFrame:
     """The structured report row assembled from A12, A16, A17, A18, A19,
-    A20, A22, A23 and F14, with rule-based trend / anomaly / suggestion text."""
+    A20, A22, A23 and F14, with rule-based trend / anomaly / suggestion text.
+    ``ever`` as in ``influencer_performance``; it counts the orders of all
+    sites, so with a ``site_code`` the roll-up is made from the orders."""
     from shoplens.operators import breakdowns, influencers as inf
 
     o = orders if site_code is None else orders.where(F.col("site_code") == site_code)
     summ = sales_totals(o, window)
     rank = product_ranking(o, products, window, 10)
-    perf = inf.influencer_performance(o, influencers, window, 10)
+    perf = inf.influencer_performance(o, influencers, window, 10, ever if site_code is None else None)
     reds = inf.red_list(perf, 5)
     blacks = inf.suspicious_top(influencers, 5)
     sites = breakdowns.site_breakdown(o, window)
@@ -240,10 +242,26 @@ def report_with_dataset(reports_df: DataFrame, datasets: DataFrame) -> DataFrame
     return reports_df.join(d, "dataset_id", "left")
 
 
+def report_with_growth(orders: DataFrame, products: DataFrame, influencers: DataFrame, window: Window,
+                       report_type: str, generated_at: str, ever: str | None = None) -> DataFrame:
+    """A21 with what its core summary leaves open filled in: the growth of gmv
+    and orders over the previous window in per cent (null where that had none),
+    and the time it was made.  ``orders`` must hold both windows."""
+    was = sales_totals(orders, previous(window)).select(F.col("gmv").alias("was_gmv"), F.col("orders").alias("was_orders"))
+    row = X.attach(fallback_report(orders, products, influencers, window, report_type, ever=ever), was)
+    core = F.col("core_summary")
+    grown = lambda now, then: F.round(X.ratio((core[now] - F.col(then)) * 100.0, F.col(then)), 2)
+    return (row.withColumn("core_summary", F.struct("core_summary.*", grown("total_gmv", "was_gmv").alias("gmv_growth"),
+                                                    grown("total_orders", "was_orders").alias("order_growth")))
+            .withColumn("generated_at", F.lit(generated_at)).drop("was_gmv", "was_orders"))
+
+
 def generate_report(model, kind: str, as_of, site_code: str | None = None) -> DataFrame:
     """F19 + A21: the structured report for a weekly / monthly / last30 /
     daily range ending at ``as_of`` (inclusive days), over a ``Model``."""
     from shoplens.functions import periods
     start, end = periods.report_range(kind, as_of)
     w = periods.inclusive_days(start, end)
-    return fallback_report(model.orders, model.products, model.influencers, w, kind, site_code)
+    if site_code is not None:
+        return fallback_report(model.orders, model.products, model.influencers, w, kind, site_code)
+    return fallback_report(model.orders_in(w), model.products, model.influencers, w, kind, ever="orders")

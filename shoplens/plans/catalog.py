@@ -42,7 +42,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from shoplens.plans import queries_core, queries_feeds, queries_intake, queries_reports, queries_small, queries_streams, queries_upload  # noqa: F401
+    from shoplens.plans import queries_cards, queries_core, queries_feeds, queries_intake, queries_reports, queries_small, queries_streams, queries_upload  # noqa: F401
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:

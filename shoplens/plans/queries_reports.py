@@ -158,7 +158,7 @@ SELECT * EXCLUDE (s_) FROM perf
 """, influencers=True))
 def influencer_performance(m):
     """A18 + J4: influencer ranking with left-join post-filter semantics."""
-    return inf.influencer_performance(m.orders, m.influencers, W365, 10)
+    return inf.influencer_performance(m.orders_in(W365), m.influencers, W365, 10, ever="orders")
 
 
 @register("influencer_red_list", with_std(PERF_CTE + """
@@ -167,7 +167,7 @@ ORDER BY total_sales DESC, influencer_id LIMIT 5
 """, influencers=True))
 def influencer_red_list(m):
     """non-suspicious influencers with sales, first 5."""
-    return inf.red_list(inf.influencer_performance(m.orders, m.influencers, W365, 10))
+    return inf.red_list(inf.influencer_performance(m.orders_in(W365), m.influencers, W365, 10, ever="orders"))
 
 
 @register("suspicious_top", with_std("""
@@ -236,7 +236,7 @@ FROM tot, tr, n
 """, products=True, influencers=True))
 def fallback_report(m):
     """The structured report row, its lists as text in list order."""
-    r = reports.fallback_report(m.orders, m.products, m.influencers, W365, "weekly")
+    r = reports.fallback_report(m.orders_in(W365), m.products, m.influencers, W365, "weekly", ever="orders")
     names = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *[x[k] for k in f])), ",").alias(c)
     return r.select(
         "report_type", "period", "core_summary.*", names("product_red_list", "product_id"), names("product_black_list", "product_id"),

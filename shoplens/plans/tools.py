@@ -70,7 +70,7 @@ REPORT_TOOLS: dict[str, Tool] = {
     "get_top_suspicious_influencers": Tool(lambda m, limit=5: inf.suspicious_top(m.influencers, int(limit)), {"limit": int}),
     "get_product_sales_ranking": Tool(_rt(lambda m, w, n: reports.product_ranking(m.orders_in(w), m.products, w, n)),
                                       {"date_range": dict, "limit": int}, ("date_range",)),
-    "get_influencer_performance": Tool(_rt(lambda m, w, n: inf.influencer_performance(m.orders, m.influencers, w, n)),
+    "get_influencer_performance": Tool(_rt(lambda m, w, n: inf.influencer_performance(m.orders_in(w), m.influencers, w, n, ever="orders")),
                                        {"date_range": dict, "limit": int}, ("date_range",)),
     "get_site_breakdown": Tool(_rt(lambda m, w, n: breakdowns.site_breakdown(m.orders_in(w), w)),
                                {"date_range": dict}, ("date_range",)),
