@@ -116,8 +116,9 @@ def split_pages(text: DataFrame, kind: str, col: str = "body") -> DataFrame:
 
 
 def page_records(split: DataFrame) -> DataFrame:
-    """The records of ``split_pages``."""
-    return split.where("page = 'data' AND r IS NOT NULL").select("r.*")
+    """The records of ``split_pages``; only data pages have any.  A condition on
+    ``page`` would be pushed below the parse, which would run again for it."""
+    return split.where("r IS NOT NULL").select("r.*")
 
 
 def quarantined(split: DataFrame) -> DataFrame:

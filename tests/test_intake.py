@@ -7,7 +7,9 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from shoplens.functions import exprs
 from shoplens.plans.queries_intake import workbook
 from shoplens.sources import feeds, uploads
 from shoplens.sources import upload_files as UF
@@ -113,3 +115,16 @@ def test_pages_told_apart(spark):
     split = feeds.split_pages(text, "platform_a_orders")
     assert sorted(r["body"] or "" for r in feeds.quarantined(split).collect()) == sorted((p or "") for p in PAGES if p not in (PAGES[0], PAGES[1], PAGES[8], PAGES[12]))
     assert feeds.page_counts(text.limit(0), "platform_a_orders").count() == 0
+
+
+def test_each_page_is_parsed_once(spark):
+    text = spark.createDataFrame([(p,) for p in PAGES], "body string")
+    records = feeds.parse_pages(text, "platform_a_orders")
+    assert records._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_html_is_told_by_the_start_of_a_body(spark):
+    bodies = {"<html": True, "\r\n\t <HeAd>": True, "<BODY a='1'> ": True, "<!doctype": True, "": False, None: False, "x <html>": False,
+              "{}\n<html>": False, "<htm": False, " <html>": False}
+    rows = spark.createDataFrame(list(bodies.items()), "body string, html boolean")
+    assert rows.where(exprs.is_html("body") != F.col("html")).count() == 0
