@@ -35,3 +35,41 @@ def test_state_partitions_are_bounded(spark, tmp_dir, monkeypatch):
     states = [os.path.join(d, "state", "0") for d in made if "ckpt" in d]
     assert [len([p for p in os.listdir(s) if p.isdigit()]) for s in states] == [2, 2]
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_deliveries_land_in_files_of_a_size(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "landing")
+    QS._land(spark.range(200).select(F.concat(F.lit("a\r\n"), F.col("id").cast("string")).alias("body")).repartition(40), path)
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) <= 2
+    assert sorted(r[0] for r in spark.read.text(path).collect()) == sorted(f"a {k}" for k in range(200))
+
+
+def test_large_batches_meet_the_table_in_one_pass(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(U, "MAX_BROADCAST_KEYS", 0)
+    table = KeyedTable(spark, os.path.join(tmp_dir, "t"), ["k"], ["at"], buckets=3)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at int, v string")
+    table.upsert(frame([("a", 5, "a5"), ("b", 5, "b5"), ("c", 5, "c5"), ("d", None, "d-"), ("", 1, "x")]), 0)
+    monkeypatch.setattr(U, "upsert", lambda *a, **k: pytest.fail("stored rows joined"))
+    batch = frame([("a", 4, "a4"), ("b", 5, "b5new"), ("c", 6, "c6"), ("c", 7, "c7"), ("d", 1, "d1"), ("e", None, "e-"), (None, 1, "x")])
+    for _ in range(2):
+        table.upsert(batch, 1)
+        assert sorted(r["v"] for r in table.read().collect()) == ["a5", "b5new", "c7", "d1", "e-"]
+
+
+def test_alert_batches_are_read_once(spark, tmp_dir):
+    rows = [(f"2026-01-0{k % 3 + 1} 10:00:00", k, "refunded" if k % 4 == 0 else "paid") for k in range(30)]
+    path = os.path.join(tmp_dir, "in")
+    spark.createDataFrame(rows, "at string, gmv int, status string").coalesce(1).write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def parse(at):
+        read.add(1)
+        return dt.datetime.fromisoformat(at)
+
+    stream = spark.readStream.schema("at string, gmv int, status string").parquet(path).select(
+        F.udf(parse, T.TimestampType()).asNondeterministic()("at").alias("paid_at"), F.col("gmv").cast("decimal(14,2)").alias("gmv"), "status")
+    got = jobs.order_alert_stream(spark, stream, out_dir=os.path.join(tmp_dir, "out"))
+    assert sorted((r["day"], r["orders"], r["refunds"], r["gmv"]) for r in got.collect()) == [
+        (f"2026-01-0{d + 1}", 10, len([k for k in range(30) if k % 3 == d and k % 4 == 0]),
+         float(sum(k for k in range(30) if k % 3 == d and k % 4))) for d in range(3)]
+    assert read.value == len(rows)
