@@ -21,6 +21,10 @@ from shoplens.sources.tables import ORDER_SOURCES
 from shoplens.sources.tables import landed as land
 
 
+# Rows of an exported file, at most: files stay well below the upload limit.
+ROWS_PER_EXPORT = 200_000
+
+
 def dirty_shop_upload(m) -> DataFrame:
     """A shop export: refunded rows carry an unparseable date, COD rows an
     unparseable amount; visitors use thousands separators."""
@@ -52,7 +56,8 @@ def exported(m, name: str, df: DataFrame, encoding: str) -> DataFrame:
     set, under the shared checkpoint folder), then read back through S1: each
     file under its own encoding and header."""
     def write(path):
-        df.write.option("header", "true").option("encoding", encoding).mode("overwrite").csv(path)
+        (df.write.option("header", "true").option("encoding", encoding).option("maxRecordsPerFile", ROWS_PER_EXPORT)
+         .mode("overwrite").csv(path))
     path = land(m.spark, m.sf_dir, f"upload-{name}", write, ORDER_SOURCES + ["events"])
     return uploads.load_upload(m.spark, path)
 

@@ -73,3 +73,13 @@ def test_alert_batches_are_read_once(spark, tmp_dir):
         (f"2026-01-0{d + 1}", 10, len([k for k in range(30) if k % 3 == d and k % 4 == 0]),
          float(sum(k for k in range(30) if k % 3 == d and k % 4))) for d in range(3)]
     assert read.value == len(rows)
+
+
+def test_csv_text_is_never_held_whole():
+    content = ('中文,"x\r\ny",1\r\n' * 200_000).encode("gbk")
+    tracemalloc.start()
+    encoding = UF.encoding_of(content, ["utf-8-sig", "utf-8", "gbk"])
+    n = sum(1 for _ in UF.csv_rows(content, encoding))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (encoding, n) == ("gbk", 200_000) and peak < len(content) / 2
