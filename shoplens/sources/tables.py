@@ -82,7 +82,7 @@ def latest_lines(spark: SparkSession, sf_dir: str, li: DataFrame | None = None)
 
 
 def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: DataFrame | None = None,
-               paid_between: tuple | None = None) -> DataFrame:
+               paid_between: tuple | None = None, by_month: bool = False) -> DataFrame:
     """The standard order fact table (§1.3 of the survey), one row per line.
 
     ``lines`` replaces the full ``lineitem`` table (e.g. one feed delivery);
@@ -93,6 +93,14 @@ def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: Data
     keys (broadcast when the window is small, else a shuffle join) drops the
     out-of-window lines before they are aggregated.  Catalyst cannot push the
     date filter through the dedup aggregate by itself.
+    ``by_month`` adds ``paid_month`` ("none" without a paid time) and clusters
+    the rows by it: REBALANCE, so each task writes few directories; AQE splits
+    a large month across tasks and merges small ones.
+
+    The lines are what is large, so they are shuffled as seldom and as narrow
+    as can be: customers meet the orders, not the lines, and the rows are
+    clustered before texts are derived from them and the two fixed-size tables
+    are joined.
     """
     src = table(spark, sf_dir, "lineitem") if lines is None else lines
     o = table(spark, sf_dir, "orders")
@@ -109,12 +117,17 @@ def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: Data
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(c, o.o_custkey == c.c_custkey)
-           .join(n, c.c_nationkey == n.n_nationkey)
-           .join(r, n.n_regionkey == r.r_regionkey)
-           .join(p, li.l_partkey == p.p_partkey)
-           .join(s, li.l_suppkey == s.s_suppkey))
+    oc = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority").join(c, o.o_custkey == c.c_custkey)
+    j = (li.join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
+           .join(p, F.col("l_partkey") == F.col("p_partkey"))
+           .join(s, F.col("l_suppkey") == F.col("s_suppkey")))
+    j = j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity", "l_returnflag",
+                 "l_linestatus", "l_shipdate", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "c_nationkey",
+                 "p_name", "s_name", "s_nationkey",
+                 *([F.coalesce(F.date_format("o_orderdate", "yyyy-MM"), F.lit("none")).alias("paid_month")] if by_month else []))
+    if by_month:
+        j = j.hint("rebalance", "paid_month")
+    j = j.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
 
     gmv = (money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(14,2)")
     platform = F.element_at(F.array(*[F.lit(x) for x in PLATFORM_BY_MOD3]),
@@ -149,6 +162,7 @@ def std_orders(spark: SparkSession, sf_dir: str, dedup: bool = True, lines: Data
         F.when(F.col("l_linestatus") != "O",
                F.col("o_orderdate") + F.make_dt_interval(F.col("l_linenumber"))).alias("delivery_time"),
         F.col("l_shipdate").alias("update_time"),
+        *(["paid_month"] if by_month else []),
     )
 
 
@@ -249,14 +263,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str
     if path is None:
         t0 = time.perf_counter()
         path = os.path.join(checkpoint_root(spark), "model", f"{name}-{uuid.uuid4().hex}")
-        df = build()
-        if partition_by:
-            # REBALANCE clusters rows by the partition columns so each task
-            # writes few directories; AQE splits a large partition value across
-            # tasks and merges small ones (no giant single-month task, no
-            # tasks x months small files)
-            df = df.hint("rebalance", *partition_by)
-        w = df.write.mode("overwrite")
+        # the frame comes clustered by the partition columns (``std_orders``)
+        w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
@@ -310,8 +318,7 @@ class Model:
     def _orders_table(self) -> DataFrame:
         if not self.store:
             return std_orders(self.spark, self.sf_dir).withColumn("paid_month", F.date_format("paid_at", "yyyy-MM"))
-        build = lambda: std_orders(self.spark, self.sf_dir).withColumn(
-            "paid_month", F.coalesce(F.date_format("paid_at", "yyyy-MM"), F.lit("none")))
+        build = lambda: std_orders(self.spark, self.sf_dir, by_month=True)
         return stored(self.spark, self.sf_dir, "std_orders", build, ORDER_SOURCES, ["paid_month"])
 
     @property
@@ -362,9 +369,7 @@ def build_standard_model(spark: SparkSession, sf_dir: str, out_dir: str) -> dict
     by ``paid_month`` after a rebalance) -- the batch ingest job of a
     deployment.  Returns the table paths; read them with ``StoredModel``."""
     paths = {n: os.path.join(out_dir, n) for n in ("std_orders", "std_products", "std_influencers")}
-    orders = std_orders(spark, sf_dir).withColumn(
-        "paid_month", F.coalesce(F.date_format("paid_at", "yyyy-MM"), F.lit("none")))
-    orders.hint("rebalance", "paid_month").write.mode("overwrite").partitionBy("paid_month").parquet(paths["std_orders"])
+    std_orders(spark, sf_dir, by_month=True).write.mode("overwrite").partitionBy("paid_month").parquet(paths["std_orders"])
     stored_orders = spark.read.parquet(paths["std_orders"]).drop("paid_month")
     std_products(spark, sf_dir).write.mode("overwrite").parquet(paths["std_products"])
     std_influencers(spark, sf_dir, stored_orders).write.mode("overwrite").parquet(paths["std_influencers"])

@@ -83,3 +83,14 @@ def test_csv_text_is_never_held_whole():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (encoding, n) == ("gbk", 200_000) and peak < len(content) / 2
+
+
+def test_orders_are_clustered_before_texts_are_derived(spark):
+    by_month = tables.std_orders(spark, SF_SMALL, by_month=True)
+    plan = by_month._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RebalancePartitions"):]
+    assert "SKU" in plan and "SKU" not in below
+    plain = tables.std_orders(spark, SF_SMALL)
+    assert by_month.columns == [*plain.columns, "paid_month"]
+    assert by_month.drop("paid_month").exceptAll(plain).isEmpty() and plain.exceptAll(by_month.drop("paid_month")).isEmpty()
+    assert by_month.where("paid_month <> coalesce(date_format(paid_at, 'yyyy-MM'), 'none')").isEmpty()
