@@ -2,29 +2,32 @@
 
 A tokenizer that splits at white space gives a text the ids of its white-space
 pieces in order.  So a batch is cut into pieces by Arrow, its distinct pieces
-are looked up among those remembered (or encoded), and the ids of all texts
-are gathered from them at once.  Tokenizers of another make encode whole texts.
+into a run of letters and the marks after it; these parts are looked up among
+those remembered (or encoded, some thousands at once), and the ids of all texts
+are gathered from them at once.  All of it stays in arrays: as Python objects
+the new pieces of a batch took several times the room.  Tokenizers of another
+make encode whole texts.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces a Python worker remembers the ids of, before it begins anew.
-MAX_CACHE = 1_000_000
-# Bytes of text that are worked on at once.
-CHUNK_BYTES = 10 << 20
+# Parts of pieces a Python worker remembers the ids of, before it begins anew.
+MAX_CACHE = 400_000
+# Bytes of text that are worked on at once, and new parts that are encoded at once.
+CHUNK_BYTES = 4 << 20
+LEARNT_AT_ONCE = 5000
 
 # Letters that neither compose nor change length in lower case: a run of them
 # is one piece to the tokenizer, and so is a run of marks after it (but for
 # apostrophes and what may begin a special token).
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]*)")
+PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)\z"
 
 
 def splits_at_space(path: str) -> bool:
@@ -41,6 +44,16 @@ def splits_at_space(path: str) -> bool:
             and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"))
 
 
+def runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` one after the other, and where each begins and the
+    last ends."""
+    to = np.zeros(len(sizes) + 1, np.int32 if int(sizes.sum(dtype=np.int64)) < 1 << 31 else np.int64)
+    np.cumsum(sizes, out=to[1:])
+    at = np.arange(to[-1], dtype=to.dtype)
+    at += np.repeat(starts - to[:-1], sizes)
+    return pool[at], to
+
+
 class WordEncoder:
     """Ids of texts as arrays of ``dtype`` (16 bits if all fit)."""
 
@@ -56,77 +69,69 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces, and where the ids of each begin in ``pool``."""
+        """Known parts, and where the ids of each begin in ``pool``."""
         self.words, self.pool, self.starts = pa.array([""], pa.large_string()), np.empty(0, self.dtype), np.zeros(2, np.int32)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in made]
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts one after the other, and how many each has."""
+        made = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.concatenate([*made, np.empty(0, self.dtype)]), np.array([len(m) for m in made], np.int64)
 
-    def _encode_heads(self, heads: list[str]) -> list[bytes]:
-        """Ids of runs of letters, encoded as one text."""
+    def _encode_heads(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters, encoded as one text."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(heads):
-            return self._encode(heads)
-        data, ends = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def _learn(self, missing: list[str]) -> np.ndarray:
-        """Add distinct pieces that are not known; their numbers."""
-        plain, other = {}, []
-        for w in missing:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                other.append(w)
-            else:
-                plain[w] = m.groups()
-        parts = list({h.lower() for h, _ in plain.values()} | {m for _, m in plain.values()})
-        at = self._find(pa.array(parts, pa.large_string()))
-        known, new = np.flatnonzero(at >= 0).tolist(), [parts[k] for k in np.flatnonzero(at < 0)]
-        got = {parts[k]: self.pool[a:b].tobytes() for k, a, b in
-               zip(known, self.starts[at[known]].tolist(), self.starts[at[known] + 1].tolist(), strict=True)}
-        for encode, some in ((self._encode_heads, [p for p in new if p[0].isalpha()]), (self._encode, [p for p in new if not p[0].isalpha()] + other)):
-            for a in range(0, len(some), 5000):
-                got.update(zip(some[a:a + 5000], encode(some[a:a + 5000]), strict=True))
-        first = len(self.words)
-        beside = [p for p in new if p not in plain]
-        add = [got[plain[w][0].lower()] + got[plain[w][1]] if w in plain else got[w] for w in missing] + [got[p] for p in beside]
-        self.words = pa.concat_arrays([self.words, pa.array(missing + beside, pa.large_string())])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(add), self.dtype)])
-        sizes = np.fromiter(map(len, add), np.int32, len(add)) // self.dtype.itemsize
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int32)])
-        return first + np.arange(len(missing))
-
-    def _find(self, pieces: pa.Array) -> np.ndarray:
-        return pc.fill_null(pc.index_in(pieces, value_set=self.words), -1).to_numpy()
-
-    def _known(self, pieces: pa.Array) -> np.ndarray:
-        """Numbers of distinct pieces among the known, learning the others."""
-        at = self._find(pieces)
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(heads) else self._encode(heads)
+
+    def _learn(self, heads: pa.Array, others: pa.Array) -> None:
+        """Add distinct parts that are not known: runs of letters, and others."""
+        pool, counts = [self.pool], [np.diff(self.starts)]
+        for encode, parts in ((self._encode_heads, heads), (self._encode, others)):
+            for a in range(0, len(parts), LEARNT_AT_ONCE):
+                ids, sizes = encode(parts.slice(a, LEARNT_AT_ONCE).to_pylist())
+                pool.append(ids)
+                counts.append(sizes)
+        self.words = pa.concat_arrays([self.words, heads, others])
+        self.pool = np.concatenate(pool)
+        self.starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.concatenate(counts), dtype=np.int32)])
+
+    def _find(self, parts: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(parts, value_set=self.words), -1).to_numpy()
+
+    def _known(self, first: pa.Array, plain: np.ndarray, second: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of parts among the known, learning the others; a ``first``
+        part is a run of letters where ``plain``."""
+        at = self._find(pa.concat_arrays([first, second]))
         if len(self.words) > MAX_CACHE and (at < 0).any():
             self._forget()
-            at = self._find(pieces)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
+            at = self._find(pa.concat_arrays([first, second]))
+        if (at < 0).any():
+            new, beside = at[:len(first)] < 0, at[len(first):] < 0
+            heads, others = first.filter(pa.array(new & plain)), pa.concat_arrays([first.filter(pa.array(new & ~plain)), second.filter(pa.array(beside))])
+            self._learn(heads.unique(), others.unique())
             at = at.copy()
-            at[missing] = self._learn(pieces.take(pa.array(missing)).to_pylist())
-        return at
+            at[at < 0] = self._find(pa.concat_arrays([first.filter(pa.array(new)), second.filter(pa.array(beside))]))
+        return at[:len(first)], at[len(first):]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after the other, and where each begins."""
+        cut = pc.extract_regex(pieces, PLAIN)
+        first = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "head")), pieces)
+        second = pc.fill_null(pc.struct_field(cut, "marks"), "")
+        both = np.stack(self._known(first, cut.is_valid().to_numpy(zero_copy_only=False), second), axis=1).ravel()
+        starts = self.starts[both]
+        sizes = self.starts[both + 1] - starts
+        ids, to = runs(self.pool, starts, sizes)
+        return ids, to[::2]
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
-            made = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([*made, np.empty(0, self.dtype)]), np.array([len(m) for m in made], np.int64)
+            return self._encode(texts.to_pylist())
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        known, which = self._known(words.dictionary), words.indices.to_numpy()
-        starts = self.starts[known]
-        sizes = (self.starts[known + 1] - starts)[which]
-        to = np.zeros(len(sizes) + 1, np.int32 if int(sizes.sum(dtype=np.int64)) < 1 << 31 else np.int64)
-        np.cumsum(sizes, out=to[1:])
-        at = np.arange(to[-1], dtype=to.dtype)
-        at += np.repeat(starts[which] - to[:-1], sizes)
-        ids = self.pool[at]
+        pool, at = self._pieces(words.dictionary)
+        which = words.indices.to_numpy()
+        ids, to = runs(pool, at[which], np.diff(at)[which])
         return ids, np.diff(to[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

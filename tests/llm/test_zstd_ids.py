@@ -1,4 +1,6 @@
+import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -55,6 +57,26 @@ def test_random_texts_give_the_tokenizers_ids(plain):
         assert got.tolist() == ids(plain, text), text
 
 
+def test_parts_of_pieces_are_remembered_once(plain):
+    """Case and marks give no new entries, and a batch of new pieces takes
+    arrays, no Python objects for each of them."""
+    heads = ["".join(x) for x in itertools.product("abcdefgh", repeat=4)]
+    pieces = [f(h) + m for h, f, m in itertools.product(heads, (str.lower, str.title, str.upper), ("", ".", "!!", "$$$", ",-&"))]
+    encoder = word_ids.WordEncoder(PATH)
+    texts = pa.array([" ".join(pieces[a::20]) for a in range(20)])
+    encoder.encode_all(pa.array(["a"]), 2)
+    tracemalloc.start()
+    try:
+        made, counts = encoder.encode_all(texts, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for text, got in zip(texts.to_pylist(), np.split(made, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == ids(plain, text)
+    assert len(encoder.words) <= len(heads) + 10
+    assert peak < 200 * len(pieces)
+
+
 def test_round_trip(spark, plain, monkeypatch):
     monkeypatch.setattr(zstd_ids, "BLOCK_DOCS", 4)
     rows = cases.odd_rows() + [(100 + k, t) for k, t in enumerate(ODD)] + [(200 + k, cases.prose(k, 80)) for k in range(60)]
