@@ -1,10 +1,13 @@
 import itertools
 import math
 import sys
+import time
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -106,3 +109,57 @@ def test_empty_table_and_no_training(spark):
     docs = cases.docs(spark, [(1, "a b"), (2, None)]).select("doc_id", "text", F.lit(False).alias("train"))
     out = {r.doc_id: r for r in hpylm.language_scores(docs).collect()}
     assert out[1].n_tokens == 3 and out[1].n_known == 0 and out[1].train_tokens == 0 and out[1].score == 0.0
+
+
+def batched(monkeypatch, texts, tokens=10**9):
+    """Rows that ``batches_of`` makes of the texts, in two slices of one array."""
+    monkeypatch.setattr(hpylm, "BATCH_TOKENS", tokens)
+    monkeypatch.setattr(hpylm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    n = len(texts)
+    whole = pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string()), "train": pa.array([True] * n)})
+    return [tuple(c[0].as_py() for c in r.columns) for r in hpylm.batches_of(iter([whole.slice(0, n // 2), whole.slice(n // 2)]))]
+
+
+def test_batches_hold_the_words_of_each_text(monkeypatch):
+    texts = [t for _, t in cases.odd_rows()] + [" A b\u00c4 \t\x0bA ", "", None, "x\u00a0y"]
+    wanted = [hpylm.WORDS.findall((t or "").translate(hpylm.ASCII_LOWER)) for t in texts]
+    for tokens in (1, 7, 10**9):
+        rows = batched(monkeypatch, texts, tokens)
+        assert [i for r in rows for i in r[1]] == list(range(len(texts)))
+        got = []
+        for r in rows:
+            b = hpylm.Batch(r)
+            assert len(b.tokens) < tokens + b.lengths[-1]
+            got += [b.hashes[b.tokens[a:a + k]].tolist() for a, k in zip(b.starts, b.lengths, strict=True)]
+        assert got == [[*map(hpylm.word_hash, words), hpylm.END] for words in wanted]
+
+
+def test_batching_takes_less_time_than_a_lookup_for_every_word(monkeypatch):
+    texts = [cases.prose(k % 50, 2000, 5000) for k in range(300)]
+    t = time.process_time()
+    known = {}
+    for x in texts:
+        np.fromiter((known.setdefault(w, len(known)) for w in hpylm.WORDS.findall(x.translate(hpylm.ASCII_LOWER))), np.int64)
+    by_word = time.process_time() - t
+    t = time.process_time()
+    assert batched(monkeypatch, texts)
+    assert time.process_time() - t < 0.8 * by_word
+
+
+def test_bucket_adds_up_the_cells_of_all_batches():
+    rng = np.random.default_rng(5)
+    wanted, records = Counter(), []
+    for batch in range(4):
+        heads = np.sort(rng.choice(20, 8, False)).astype(np.uint64) * np.uint64(10**15)
+        sizes, words = rng.integers(1, 6, 8).astype(np.int32), []
+        for u, k in zip(heads, sizes, strict=True):
+            words += (rng.choice(15, k, False).astype(np.uint64) * np.uint64(3 * 10**15)).tolist()
+        counts = rng.integers(0, 4, len(words)).astype(np.int32)
+        for u, w, c in zip(np.repeat(heads, sizes).tolist(), words, counts.tolist(), strict=True):
+            wanted[u, w] += c
+        records.append(("cells", batch, hpylm.narrow(heads), hpylm.pressed(sizes), hpylm.narrow(np.array(words, np.uint64)), hpylm.pressed(counts)))
+    b = hpylm.Bucket(0, records, 3, np.zeros(0, np.uint64))
+    cells = list(zip(b.contexts[b.context_of].tolist(), b.words[b.word_of].tolist(), strict=True))
+    assert cells == sorted(wanted) and b.c.tolist() == [wanted[x] for x in cells]
+    sent = [(u, w) for r in b.sent for u, w in zip(np.repeat(hpylm.wide(r[2]), hpylm.loosed(r[3], np.int32)).tolist(), hpylm.wide(r[4]).tolist(), strict=True)]
+    assert [cells[k] for k in b.cell_of] == sent
