@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import broadcast_if, let, ranged, stored, table, words
+from shoplens.llm.common import SPACE_REGEX, broadcast_if, let, ranged, stored, table
 
 LOW, HIGH = 0.001, 0.1
 # a larger lexicon is joined by a shuffle instead
@@ -33,7 +33,11 @@ LEVELS = ((4, 2, 0), (4, 4, 2), (8, 6, 6), (16, 8, 12), (16, 10, 20), (16, 12, 3
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct words; white space at the ends leaves an empty
+    word, which is dropped by its hash (trimming goes through a text by the
+    character, twice)."""
+    hashed = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_REGEX), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -49,10 +53,11 @@ def fingerprint(in_band: Column, all_terms: Column) -> Column:
     digest = lambda a: F.when(F.size(a) > 0, F.hex(F.pmod(F.xxhash64(a), F.lit(2**32)))).otherwise("")
 
     def subsets(ordered: Column, n: int, bits: int, skip: int) -> Column:
-        subset_of = lambda h: F.shiftrightunsigned(h, skip).bitwiseAND(2**bits - 1)
-        of_level = F.filter(ordered, lambda h: subset_of(h) < n) if n < 2**bits else ordered
+        # n is a power of two: the bits above it tell the level's terms, those below the subset
+        of_level = F.filter(ordered, lambda h: h.bitwiseAND((2**bits - n) << skip) == 0) if n < 2**bits else ordered
         return let(of_level, lambda a: F.array_join(F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)), lambda j: let(F.filter(a, lambda h: subset_of(h) == j), digest)), "-"))
+            F.array(*[F.lit(j << skip).cast("bigint") for j in range(n)]),
+            lambda j: let(F.filter(a, lambda h: h.bitwiseAND((n - 1) << skip) == j), digest)), "-"))
 
     whole = F.when(F.size(in_band) > 0, F.hex(F.xxhash64(in_band))).otherwise(F.coalesce(F.hex(all_terms), F.lit("")))
     return F.concat_ws("-", whole, *[subsets(in_band, *level) for level in LEVELS])
@@ -76,7 +81,11 @@ def with_next(docs: DataFrame, columns: list[str]):
     key = F.struct("doc_id", "tie")
     part = F.lit(0)
     if len(bounds) > 1:
-        part = F.size(F.filter(F.array(*bounds[1:]), lambda b: b <= key))
+        # the last bound that is not above the row, by halving: as many bounds as
+        # partitions met every row before, so the work grew with the square
+        steps = [2**k for k in reversed(range((len(bounds) - 1).bit_length()))]
+        part = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+            F.when(at + step < len(bounds), F.get(F.array(*bounds), at + step) <= key).otherwise(False), at + step).otherwise(at))
     dealt = docs.withColumn("part", part).withColumn("extra", F.lit(0))
     lead = dealt.limit(0)
     if bounds:
@@ -103,27 +112,28 @@ def imatch_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH,
               .select("part", "row", "extra", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
               .withColumn("text_terms", terms(F.col("text"))).withColumn("edited_terms", terms(F.col("edited"))))
 
-    def marks(of: str, which: int) -> Column:
-        """One entry with what the result needs, one for each term."""
-        info = F.struct("extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
-                        F.when(F.size(of) > 0, F.xxhash64(F.sort_array(of))).alias("all_terms"))
-        key = F.col("row").cast("bigint") * 2 + which
-        return F.concat(
-            F.array(F.struct(key.alias("key"), F.lit(None).cast("bigint").alias("term"), info.alias("info"))),
-            F.transform(of, lambda h: F.struct(key.alias("key"), h.alias("term"), F.lit(None).cast(
-                "struct<extra:int,doc_id:bigint,n_chars:bigint,sha:string,all_terms:bigint>").alias("info"))))
-
+    def marks(of: Column, which: int) -> Column:
+        """One entry for each term: ``which`` 1 in the text, 2 in the edited text, 3 in both."""
+        return F.transform(of, lambda h: F.struct(F.col("row").alias("row"), h.alias("term"), F.lit(which).alias("which"), F.lit(None).cast(
+            "struct<extra:int,doc_id:bigint,n_chars:bigint,sha:string,all_terms:bigint,all_edited:bigint>").alias("info")))
+
+    hashed = lambda of: F.when(F.size(of) > 0, F.xxhash64(F.sort_array(of)))
+    # one entry with what the result needs
+    info = F.struct("extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
+                    hashed("text_terms").alias("all_terms"), hashed("edited_terms").alias("all_edited"))
+    entries = F.concat(
+        F.array(F.struct(F.col("row"), F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("which"), info.alias("info"))),
+        marks(F.array_intersect("text_terms", "edited_terms"), 3), marks(F.array_except("text_terms", "edited_terms"), 1),
+        marks(F.array_except("edited_terms", "text_terms"), 2))
+    in_band = lambda which: F.sort_array(F.collect_list(F.when(F.col("which").bitwiseAND(which) > 0, F.col("term"))))
     # Grouping keeps the partitioning by part: no shuffle from here on.
-    each = (paired.select("part", F.explode(F.concat(marks("text_terms", 0), marks("edited_terms", 1))).alias("t"))
+    both = (paired.select("part", F.explode(entries).alias("t"))
             .select("part", "t.*").join(lex, "term", "left").where("term IS NULL OR in_band")
-            .groupBy("key", "part").agg(F.sort_array(F.collect_list("term")).alias("in_band"),
+            .groupBy("row", "part").agg(in_band(1).alias("of_text"), in_band(2).alias("of_edited"),
                                         F.first("info", ignorenulls=True).alias("info"))
-            .select("part", F.shiftright("key", 1).alias("row"), (F.col("key") % 2).alias("edited"), "info.*",
-                    fingerprint(F.col("in_band"), F.col("info.all_terms")).alias("fp")))
-    both = each.groupBy("part", "row").agg(
-        *[F.first(c).alias(c) for c in ("extra", "doc_id", "n_chars", "sha")],
-        F.max(F.when(F.col("edited") == 0, F.col("fp"))).alias("fingerprint"),
-        F.max(F.when(F.col("edited") == 1, F.col("fp"))).alias("edited_fingerprint"))
+            .select("part", "row", "info.extra", "info.doc_id", "info.n_chars", "info.sha",
+                    fingerprint(F.col("of_text"), F.col("info.all_terms")).alias("fingerprint"),
+                    fingerprint(F.col("of_edited"), F.col("info.all_edited")).alias("edited_fingerprint")))
     following = Window.partitionBy("part").orderBy("row")
     return (both.withColumn("next_fingerprint", F.lead("fingerprint").over(following)).where("extra = 0")
             .select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",

@@ -75,3 +75,24 @@ def test_odd_rows_and_empty_table(spark):
     assert imatch.imatch_fingerprints(cases.empty(spark)).count() == 0
     one = imatch.imatch_fingerprints(cases.docs(spark, [(1, "a b c d")])).first()
     assert one.near_next == 1.0
+
+
+def test_rows_find_their_range_by_halving(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    made, aggregate = [], F.aggregate
+    monkeypatch.setattr(F, "aggregate", lambda steps, *a: (made.append(steps), aggregate(steps, *a))[1])
+    docs = cases.docs(spark, [(k, f"t{k}") for k in range(7 * 21)] + [(None, "t")]).select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    monkeypatch.setattr(imatch, "ranged", lambda df, *a: df.withColumn("pid", F.coalesce(F.floor(F.col("doc_id") / 7), F.lit(0)).cast("int")))
+    rows, _ = imatch.with_next(docs, [])
+    parts = {(r.doc_id, r.extra): r.part for r in rows.collect()}
+    # a row in no part but its own, and the first row of a part at the end of the one before
+    assert all(parts[k, 0] == k // 7 for k in range(7 * 21)) and parts[None, 0] == 0
+    assert all(parts[7 * k, 1] == k - 1 for k in range(1, 21)) and parts[None, 1] == 20
+    assert len(spark.range(1).select(made[0].alias("s")).first().s) == 5  # of 21 bounds
+
+
+def test_terms_of_both_texts_are_grouped_once(spark):
+    rows = [(k, f"a{k % 3} b{k % 4} c{k} d{k % 5} e{k % 2}") for k in range(30)]
+    plan = imatch.imatch_fingerprints(cases.docs(spark, rows), 0.05, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and plan.count("Generate explode") == 1
