@@ -18,7 +18,7 @@ from shoplens.operators import mappers, upsert
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
 from shoplens.sources import feeds
-from shoplens.sources.tables import ORDER_SOURCES, std_orders, std_products
+from shoplens.sources.tables import ORDER_SOURCES, land_pages, std_orders, std_products
 from shoplens.sources.tables import landed as land
 
 TS = "yyyy-MM-dd HH:mm:ss"
@@ -42,7 +42,7 @@ def landed(m, name: str, bodies: DataFrame) -> DataFrame:
     shared checkpoint folder, once per data set, and read back -- the path a
     feed sync takes, and a lineage cut between page generation and parsing."""
     def write(path):
-        bodies.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+        land_pages(bodies, path, "overwrite")
     path = land(m.spark, m.sf_dir, f"feed-{name}", write, ORDER_SOURCES + ["events", "pages"])
     return m.spark.read.text(path).select(F.col("value").alias("body"))
 
@@ -51,6 +51,11 @@ def landed(m, name: str, bodies: DataFrame) -> DataFrame:
 def platform_a_pages(m, orders: DataFrame | None = None) -> DataFrame:
     """Platform A order pages built from (a slice of) the standard orders."""
     o = (m.orders if orders is None else orders).where(F.col("platform") == "tiktok")
+    return o.select(F.to_json(F.struct(F.array(platform_a_record()).alias("orders"))).alias("body")).unionByName(_html_bodies(m))
+
+
+def platform_a_record() -> Column:
+    """A standard order as a platform A record."""
     raw_status = (F.when(F.col("is_sample_order"), "PARTIAL_SHIP").when(F.col("status") == "refunded", "CANCELLED")
                    .when(F.col("status") == "completed", "delivered").when(F.col("status") == "shipped", "IN_TRANSIT")
                    .otherwise("AWAITING_SHIPMENT"))
@@ -63,7 +68,7 @@ def platform_a_pages(m, orders: DataFrame | None = None) -> DataFrame:
     levels = F.when(F.col("province").isNotNull(), F.array(
         F.struct(F.lit("country").alias("address_level_name"), F.col("site_code").alias("address_name")),
         F.struct(F.lit("province").alias("address_level_name"), F.col("province").alias("address_name"))))
-    rec = F.struct(
+    return F.struct(
         F.col("order_id").alias("id"), raw_status.alias("status"), paid.alias("paid_time"),
         _ts("update_time").alias("update_time"), _epoch("rts_time").cast("string").alias("rts_time"),
         F.date_format("delivery_time", "yyyy-MM-dd'T'HH:mm:ss").alias("delivery_time"),
@@ -72,7 +77,6 @@ def platform_a_pages(m, orders: DataFrame | None = None) -> DataFrame:
         F.struct(total.alias("total_amount"), F.col("currency")).alias("payment"),
         F.struct(F.col("site_code").alias("region"), levels.alias("district_info")).alias("recipient_address"),
         F.array(item).alias("line_items"))
-    return o.select(F.to_json(F.struct(F.array(rec).alias("orders"))).alias("body")).unionByName(_html_bodies(m))
 
 
 def mapped_platform_a(m) -> DataFrame:

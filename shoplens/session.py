@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -89,6 +90,31 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def shuffles_freed(*sessions: SparkSession):
+    """What is written in here leaves no shuffle files behind: Spark removes them
+    as the write ends, where it would otherwise wait for the driver to collect
+    its garbage, while later steps fill the disks.  For writes alone: a frame
+    that is run a second time would have to shuffle again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [s.conf.get(name) for s in sessions]
+    for s in sessions:
+        s.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        for s, v in zip(sessions, before, strict=True):
+            s.conf.set(name, v)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote and nothing reads any more."""
+    sc = _context(spark)
+    if sc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "shoplens") -> SparkSession:
     """Session for tests and the local bench (``local[cores]``, UI off)."""

@@ -257,7 +257,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str
     the model: dashboards query the stored table (as the source system's
     dashboards query its standard tables), and the write cuts the lineage of
     the 7-way binding join and the dedup."""
-    from shoplens.session import app_id, checkpoint_root
+    from shoplens.session import app_id, checkpoint_root, shuffles_freed
     key = (app_id(spark), os.path.abspath(sf_dir), name, _fingerprint(sf_dir, sources))
     path = _STORED.get(key)
     if path is None:
@@ -267,7 +267,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        with shuffles_freed(spark):
+            w.parquet(path)
         _STORED[key] = path
         PREPARE_SECONDS[f"{os.path.basename(os.path.normpath(sf_dir))}/{name}"] = round(time.perf_counter() - t0, 3)
     # one DataFrame per stored table and session: its file index (the listing
@@ -284,18 +285,31 @@ def landed(spark: SparkSession, sf_dir: str, name: str, write, sources: list[str
     ``sf_dir``, written once per session by ``write(path)`` under
     ``spark.checkpoint.dir``.  These are the inputs the feed and upload
     operators read -- files that already exist in a real deployment."""
-    from shoplens.session import app_id, checkpoint_root
+    from shoplens.session import app_id, checkpoint_root, shuffles_freed
     key = (app_id(spark), os.path.abspath(sf_dir), "landed:" + name, _fingerprint(sf_dir, sources))
     path = _STORED.get(key)
     if path is None:
         t0 = time.perf_counter()
         path = os.path.join(checkpoint_root(spark), "landing", f"{name}-{uuid.uuid4().hex}")
-        write(path)
+        with shuffles_freed(spark):
+            write(path)
         _STORED[key] = path
         PREPARE_SECONDS[f"{os.path.basename(os.path.normpath(sf_dir))}/landing:{name}"] = round(time.perf_counter() - t0, 3)
     return path
 
 
+# Records in the pages of a landed file, at most: one task reads a compressed file.
+RECORDS_PER_FILE = 500_000
+
+
+def land_pages(bodies: DataFrame, path: str, mode: str = "error", records_per_page: int = 1) -> None:
+    """Feed pages (``body``) as text files, one page per line; compressed, as
+    pages repeat the names of all fields in every record and take several times
+    the room of the tables they are made of."""
+    (bodies.select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value"))
+     .write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE // records_per_page).mode(mode).text(path))
+
+
 ORDER_SOURCES = ["lineitem", "orders", "customer", "nation", "region", "part", "supplier"]
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoplens import session
 from shoplens.operators import upsert as U
 from shoplens.plans import queries_streams as QS
 from shoplens.sources import tables
@@ -94,3 +95,37 @@ def test_orders_are_clustered_before_texts_are_derived(spark):
     assert by_month.columns == [*plain.columns, "paid_month"]
     assert by_month.drop("paid_month").exceptAll(plain).isEmpty() and plain.exceptAll(by_month.drop("paid_month")).isEmpty()
     assert by_month.where("paid_month <> coalesce(date_format(paid_at, 'yyyy-MM'), 'none')").isEmpty()
+
+
+
+def _size(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_pages_land_compressed_in_files_of_a_size(spark, tmp_dir, monkeypatch):
+    bodies = spark.range(3000).select(F.concat(F.lit('{"orders":[\r\n{"id":"'), F.col("id").cast("string"), F.lit('","status":"PAID"}]}')).alias("body"))
+    monkeypatch.setattr(tables, "RECORDS_PER_FILE", 1000)
+    path = os.path.join(tmp_dir, "pages")
+    tables.land_pages(bodies.coalesce(1), path)
+    wanted = {f'{{"orders":[ {{"id":"{i}","status":"PAID"}}]}}' for i in range(3000)}
+    assert {r.value for r in spark.read.text(path).collect()} == wanted
+    assert _size(path) < sum(map(len, wanted)) / 4
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 3
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_dir):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.name() for f in (b for b in _listed(blocks.getAllBlocks())) if f.name().startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get(name)
+    with session.shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+        spark.range(1000).repartition(7, "id").write.parquet(os.path.join(tmp_dir, "t"))
+    assert not shuffles() - before and spark.conf.get(name) == setting
+    assert spark.read.parquet(os.path.join(tmp_dir, "t")).count() == 1000
+
+
+def _listed(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
