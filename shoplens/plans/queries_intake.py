@@ -15,10 +15,10 @@ from shoplens.functions import exprs as X
 from shoplens.operators import mappers
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
-from shoplens.plans.queries_feeds import platform_a_pages
+from shoplens.plans.queries_feeds import platform_a_record
 from shoplens.plans.queries_streams import MAPPED_A
 from shoplens.sources import feeds, upload_files
-from shoplens.sources.tables import ORDER_SOURCES
+from shoplens.sources.tables import ORDER_SOURCES, land_pages
 from shoplens.sources.tables import landed as land
 
 ORDERS_PER_FILE, ORDERS_PER_PAGE, ROWS_PER_BOOK = 2000, 25, 100
@@ -173,10 +173,9 @@ def paged_orders(m) -> DataFrame:
     every thirteenth as an empty list, every seventeenth as nothing; and the
     raw web pages."""
     def write(path):
-        key = F.get_json_object("body", "$.orders[0].id")
-        one = platform_a_pages(m).where(key.isNotNull()).select(
-            F.floor(F.split(key, "-")[0].cast("bigint") / ORDERS_PER_PAGE).alias("page"),
-            F.regexp_extract("body", r"^\{\"orders\":\[(.*)\]\}$", 1).alias("record"))
+        # the orders meet by page as columns: as JSON they take several times the room
+        one = (m.orders.where(F.col("platform") == "tiktok").withColumn("page", F.floor(_order_number() / ORDERS_PER_PAGE))
+               .repartition("page").select("page", F.to_json(platform_a_record()).alias("record")))
         # at most ORDERS_PER_PAGE orders of seven lines
         pages = one.groupBy("page").agg(F.concat(F.lit('{"orders":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("body"))
         no = F.col("page")
@@ -187,7 +186,7 @@ def paged_orders(m) -> DataFrame:
             F.when(no % 13 == 0, F.lit('{"orders": []}')),
             F.when(no % 17 == 0, F.lit(" "))))).alias("body"))
         html = m.raw("pages").select(F.col("html").alias("body"))
-        again.unionByName(html).select(F.regexp_replace("body", r"[\r\n]+", " ").alias("value")).write.text(path)
+        land_pages(again.unionByName(html), path, records_per_page=ORDERS_PER_PAGE)
     path = land(m.spark, m.sf_dir, "paged-orders", write, ORDER_SOURCES + ["pages"])
     return m.spark.read.text(path).select(F.col("value").alias("body"))
 

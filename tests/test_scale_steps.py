@@ -129,3 +129,30 @@ def _listed(seq):
     it = seq.iterator()
     while it.hasNext():
         yield it.next()
+
+
+def test_pages_of_many_records_are_grouped_before_they_are_json(spark, monkeypatch):
+    import json
+    import types
+
+    from shoplens.plans import queries_intake as QI
+    orders = spark.range(300).selectExpr(
+        "concat(id div 3, '-', id % 3) AS order_id", "IF(id div 3 % 4 = 0, 'douyin', 'tiktok') AS platform", "'p' AS product_id", "'n\\n' AS product_name", "'s' AS sku_id",
+        "CAST(id AS decimal(14,2)) AS gmv", "CAST(id % 7 AS int) AS quantity", "'USD' AS currency", "IF(id % 2 = 0, 'X', NULL) AS province", "'ASIA' AS site_code",
+        "id % 5 = 0 AS is_sample_order", "'paid' AS status", "TIMESTAMP '2020-01-01' AS paid_at", "TIMESTAMP '2020-01-01' AS update_time", "TIMESTAMP '2020-01-01' AS rts_time",
+        "CAST(NULL AS timestamp) AS delivery_time", "'c' AS customer_id", "CAST(NULL AS string) AS creator_id", "true AS is_cod", "'dhl' AS shipping_provider")
+    pages = spark.createDataFrame([("<html>\n</html>",)], "html string")
+    m = types.SimpleNamespace(spark=spark, sf_dir="/none", orders=orders, raw=lambda name: pages)
+    plans, land_pages = [], tables.land_pages
+    monkeypatch.setattr(QI, "land_pages", lambda bodies, path, **k: plans.append(bodies._jdf.queryExecution().optimizedPlan().toString()) or land_pages(bodies, path, **k))
+    monkeypatch.setattr(QI, "land", lambda s, d, n, write, sources: write(p := U.staging_path(s, "paged")) or p)
+    bodies = [r.body for r in QI.paged_orders(m).collect()]
+    plan = plans[0]
+    assert "get_json_object" not in plan.lower() and plan.index(" AS record#") < plan.index("RepartitionByExpression [page")
+    got = {}
+    for b in bodies:
+        if b.startswith('{"orders":[{') and b.endswith("]}"):
+            ids = [r["id"] for r in json.loads(b)["orders"]]
+            assert len({int(i.split("-")[0]) // QI.ORDERS_PER_PAGE for i in ids}) == 1
+            got |= dict.fromkeys(ids)
+    assert set(got) == {r.order_id for r in orders.where("platform = 'tiktok'").collect()} and "<html> </html>" in bodies and '{"orders": []}' in bodies
