@@ -131,6 +131,16 @@ def _listed(seq):
         yield it.next()
 
 
+def test_keyed_table_keeps_no_staged_batches(spark, tmp_dir, monkeypatch):
+    staged = []
+    monkeypatch.setattr(U, "staging_path", lambda s, n: staged.append(os.path.join(tmp_dir, f"{n}-{len(staged)}")) or staged[-1])
+    t = KeyedTable(spark, os.path.join(tmp_dir, "kt"), ["k"], ["v"], buckets=2)
+    for batch in (0, 1):
+        t.upsert(spark.createDataFrame([(str(i), i + batch) for i in range(6)], "k string, v int"), batch)
+    assert sorted(r.v for r in t.read().collect()) == [1, 2, 3, 4, 5, 6]
+    assert len(staged) == 2 and not any(os.path.exists(p) for p in staged)
+
+
 def test_pages_of_many_records_are_grouped_before_they_are_json(spark, monkeypatch):
     import json
     import types
