@@ -141,6 +141,14 @@ def test_keyed_table_keeps_no_staged_batches(spark, tmp_dir, monkeypatch):
     assert len(staged) == 2 and not any(os.path.exists(p) for p in staged)
 
 
+def test_cleaned_rows_are_written_as_parquet(spark, monkeypatch):
+    from shoplens.sources import uploads
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *a, **k: 1 / 0)
+    df = spark.createDataFrame([("x", "", "1"), ("x", None, "1"), (None, "", None), ("y", None, "2")], "` a b,(c) ` string, empty string, `订单数` string")
+    out = uploads.clean(df)
+    assert out.columns == ["a b,(c)", "订单数"] and sorted(map(tuple, out.collect())) == [("x", "1"), ("y", "2")]
+
+
 def test_pages_of_many_records_are_grouped_before_they_are_json(spark, monkeypatch):
     import json
     import types
