@@ -23,11 +23,11 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.exprs import attach
-from shoplens.session import checkpoint_root
+from shoplens.session import checkpoint_root, shuffles_freed
 
 
 # Longer key lists are joined by a shuffle (or as the planner finds).
@@ -59,21 +59,29 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str
 
     ``target`` has one row per key at most.  The batch is reduced to its latest
     rows and written once (a batch that is stored so already: ``keyed_batch``).
-    Its keys and order values alone meet the target: up to
-    ``MAX_BROADCAST_KEYS`` of them are broadcast, and then no target row is
-    shuffled; more are joined by a shuffle.
+    Up to ``MAX_BROADCAST_KEYS`` of its keys and order values are broadcast, and
+    then no target row is shuffled; more batch rows meet the target in one
+    shuffle of both (joins took each twice and the target's plan as well).
     """
     spark, columns = target.sparkSession, target.columns
     oc = [F.col(c) if isinstance(c, str) else c for c in order]
     if not keyed_batch:
         path = staging_path(spark, "upsert-batch")
-        latest_per_key(batch.where(valid_key(keys)).select(*columns), keys, order).select(*columns).write.parquet(path)
+        with shuffles_freed(spark, batch.sparkSession):
+            latest_per_key(batch.where(valid_key(keys)).select(*columns), keys, order).select(*columns).write.parquet(path)
         batch = spark.read.schema(target.schema).parquet(path)
     small = batch.count() <= MAX_BROADCAST_KEYS
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     stamp = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(oc)])
     if not keep_newer_target:
         return target.join(near(batch.select(*keys)), keys, "left_anti").unionByName(batch.select(*columns))
+    if not small:
+        rows = (target.withColumn("_in_batch", F.lit(False)).unionByName(batch.select(*columns).withColumn("_in_batch", F.lit(True)))
+                .withColumn("_order", stamp))
+        of_key = lambda which: F.max(F.when(which, F.col("_order"))).over(Window.partitionBy(*keys))
+        met = rows.withColumn("_batch_order", of_key(F.col("_in_batch"))).withColumn("_stored_order", of_key(~F.col("_in_batch")))
+        return met.where("IF(_in_batch, _stored_order IS NULL OR NOT _stored_order > _batch_order, "
+                         "_batch_order IS NULL OR _order > _batch_order)").select(*columns)
     stamped = batch.select(*keys, stamp.alias("_batch_order"))
     # stored rows: those without a batch row, or later than it
     marked = target.withColumn("_stored_order", stamp).join(near(stamped), keys, "left")

@@ -17,6 +17,7 @@ from shoplens.operators import influencers as inf
 from shoplens.operators import mappers, upsert
 from shoplens.plans.catalog import register
 from shoplens.plans.oracle import with_std
+from shoplens.session import shuffles_freed
 from shoplens.sources import feeds
 from shoplens.sources.tables import ORDER_SOURCES, land_pages, std_orders, std_products
 from shoplens.sources.tables import landed as land
@@ -339,6 +340,11 @@ def orders_upsert(m):
     """K1 + J5 + W4: target (lines shipped before the cutoff, deduplicated)
     upserted with the raw later deliveries = the fully deduplicated table."""
     target, batch = _split_feed(m)
+    # the table as it stood, stored: the upsert reads it more than once
+    path = upsert.staging_path(m.spark, "orders-before")
+    with shuffles_freed(m.spark):
+        target.write.parquet(path)
+    target = m.spark.read.schema(target.schema).parquet(path)
     u = upsert.upsert(target, batch, ORDER_KEY, order_tiebreak())
     return u.select("order_id", "platform", "product_id", F.col("gmv").cast("double").alias("gmv"), "quantity", "status",
                     _ts("paid_at").alias("paid_at"), _ts("update_time").alias("update_time"))

@@ -141,6 +141,18 @@ def test_keyed_table_keeps_no_staged_batches(spark, tmp_dir, monkeypatch):
     assert len(staged) == 2 and not any(os.path.exists(p) for p in staged)
 
 
+def test_upsert_of_many_keys_equals_that_of_few_in_one_shuffle_of_both(spark, monkeypatch):
+    stored = [("a", 1, "s"), ("a", 9, "t"), ("b", 5, "s"), ("c", 2, "s"), ("d", None, "s"), (None, 1, "s"), (None, 1, "s"), ("", 3, "s"), ("e", 4, "s")]
+    batch = [("a", 5, "n"), ("b", 5, "n"), ("c", 1, "n"), ("d", 0, "n"), ("e", None, "n"), ("f", 1, "n"), ("f", 2, "n"), (None, 7, "n"), ("", 8, "n")]
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int, w string")
+    made = lambda: U.upsert(frame(stored), frame(batch), ["k"], [F.col("v")])
+    few = sorted(map(repr, made().collect()))
+    monkeypatch.setattr(U, "MAX_BROADCAST_KEYS", 0)
+    many = made()
+    assert sorted(map(repr, many.collect())) == few
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
 def test_cleaned_rows_are_written_as_parquet(spark, monkeypatch):
     from shoplens.sources import uploads
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *a, **k: 1 / 0)
