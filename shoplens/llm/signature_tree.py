@@ -279,7 +279,7 @@ def candidate_sets(docs: DataFrame):
     """(sets, candidates): every document's (gid, doc_id, tag, n, ka, kb), and
     (gid, n, grams, keys) of the representatives that may have links."""
     spark, n = docs.sparkSession, buckets_for(docs)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("train")).mapInPandas(
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("train")).mapInArrow(
         lean(batches_of), "batch bigint, ids array<bigint>, train array<bigint>, lengths binary, vocabulary binary, tokens binary").rdd
     batches = rows.map(lambda r: (place(r[0], n), (
         "batch", (r[0], list(r[1]), list(r[2]), bytes(r[3]), bytes(r[4]), bytes(r[5]))))).partitionBy(n, same)
